@@ -5,11 +5,15 @@ from __future__ import annotations
 from photolith.llm.fingerprints import op1_fingerprints
 from photolith.llm.mixing import OP10_SQL, op10_mix
 from photolith.llm.piece_codec import op9_pieces
+from photolith.llm.quality import op2_quality
 from photolith.llm.token_counts import op6_token_counts
+from photolith.llm.toxicity import op3_toxicity
 from photolith.llm.warc import op5_warc
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_quality": op2_quality,
+    "op3_toxicity": op3_toxicity,
     "op5_warc": op5_warc,
     "op6_token_counts": op6_token_counts,
     "op9_pieces": op9_pieces,
