@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from photolith.llm.fingerprints import op1_fingerprints
+from photolith.llm.hidden_markov import op8_hidden_markov
+from photolith.llm.html_text import op4_html_text
 from photolith.llm.mixing import OP10_SQL, op10_mix
 from photolith.llm.piece_codec import op9_pieces
 from photolith.llm.quality import op2_quality
@@ -14,8 +16,10 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
+    "op4_html_text": op4_html_text,
     "op5_warc": op5_warc,
     "op6_token_counts": op6_token_counts,
+    "op8_hidden_markov": op8_hidden_markov,
     "op9_pieces": op9_pieces,
     "op10_mix": op10_mix,
 }
