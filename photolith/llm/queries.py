@@ -8,6 +8,7 @@ from photolith.llm.html_text import op4_html_text
 from photolith.llm.mixing import OP10_SQL, op10_mix
 from photolith.llm.piece_codec import op9_pieces
 from photolith.llm.quality import op2_quality
+from photolith.llm.shingle_join import op7_shingle_join
 from photolith.llm.token_counts import op6_token_counts
 from photolith.llm.toxicity import op3_toxicity
 from photolith.llm.warc import op5_warc
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_html_text": op4_html_text,
     "op5_warc": op5_warc,
     "op6_token_counts": op6_token_counts,
+    "op7_shingle_join": op7_shingle_join,
     "op8_hidden_markov": op8_hidden_markov,
     "op9_pieces": op9_pieces,
     "op10_mix": op10_mix,
