@@ -14,7 +14,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 _own_dirs: dict[str, str] = {}
 
 
+#: Rows of texts go to Python workers in batches of so many: texts can be long, and a batch is held several times over.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the tables, for a query whose Python workers read texts."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -388,5 +388,27 @@ def join_documents(docs: DataFrame) -> DataFrame:
     return with_set.unionAll(meta.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row with the smallest id, and of rows that
+    share an id and are alike, one; documents without words all stay.
+
+    Components with one row are passed by: only the ids of rows to drop are joined to the texts, and where they are few
+    they are broadcast, by a count, so that no text is shuffled."""
+    spark = docs.sparkSession
+    found = join_documents(docs)
+    gone = materialize(found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct(), "duplicates")
+    rest = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "doc_id", "left_anti").select(*docs.columns)
+    # ids that several rows share; none in a table with a key
+    shared = found.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    shared = materialize(shared, "shared-ids")
+    if shared.isEmpty():
+        return rest
+    once = rest.join(shared, rest.doc_id.eqNullSafe(shared.doc_id), "left_semi")
+    sets = F.pandas_udf(lambda texts: texts.map(lambda t: set_key(x) if len(x := shingle_set(t)) else None).astype("Int64"), "long")
+    once = once.withColumn("_key", sets("text"))
+    empty = once.where("_key is null").drop("_key")
+    return rest.join(shared, rest.doc_id.eqNullSafe(shared.doc_id), "left_anti").unionAll(once.where("_key is not null").dropDuplicates(["doc_id", "_key"]).drop("_key")).unionAll(empty)
+
+
 def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(table(spark, sf_dir, "documents"))
