@@ -152,7 +152,7 @@ def number_test(op: str, have: Column, value, read: Callable = number) -> Column
         "is": F.abs(have - want) < 1e-6, "isNot": F.abs(have - want) >= 1e-6, "gte": have >= want - 1e-9,
         "lte": have <= want + 1e-9, "gt": have > want, "lt": have < want,
     }
-    return F.coalesce(known & tests[op], F.lit(op == "isNot")) if op == "isNot" else _sure(known & tests[op])
+    return have.isNull() | _sure(known & tests[op]) if op == "isNot" else _sure(known & tests[op])
 
 
 def _seconds(value) -> float | None:
