@@ -207,4 +207,4 @@ def recently_added(photos: DataFrame, days: int = 30) -> DataFrame:
     """What was imported within ``days`` of the latest import."""
     latest = photos.where("not deleted and not local").agg(F.max("imported").alias("latest"))
     since = F.date_sub(F.to_date(F.substring("latest", 1, 10)), days).cast("string")
-    return photos.where("not deleted and not local").crossJoin(F.broadcast(latest)).where(F.substring("imported", 1, 10) >= since).drop("latest")
+    return photos.where("not deleted and not local").where(F.substring("imported", 1, 10) >= latest.select(since).scalar())

@@ -22,14 +22,29 @@ def similar(rows: DataFrame, query: list[float], least: float = 0.8) -> DataFram
     return rows.withColumn("score", score).where(F.col("score") >= least)
 
 
-def rank_people(unknown: DataFrame, known: DataFrame, best: int = 2) -> DataFrame:
+def rank_people(unknown: DataFrame, known: DataFrame, best: int = 2, block_rows: int = 512) -> DataFrame:
     """Per unknown vector and person the mean of its ``best`` similarities. (id, embedding), (person, embedding).
 
-    The unknown side is a query set; each pair is one row of a join whose known side is sent in blocks."""
-    pairs = unknown.select("id", F.col("embedding").alias("e")).crossJoin(known.select("person", F.col("embedding").alias("k")))
-    scored = pairs.select("id", "person", dot(F.col("e"), F.col("k")).alias("score")).where("score is not null")
-    top = F.row_number().over(Window.partitionBy("id", "person").orderBy(F.desc("score")))
-    return scored.withColumn("_k", top).where(F.col("_k") <= best).groupBy("id", "person").agg(F.avg("score").alias("score"), F.count("*").alias("n"))
+    The unknown vectors are a query set against all known ones, in blocks: each block of queries meets each part of the
+    known rows once, as a product of matrices, and only the best of a part go on; no pair is a row."""
+    parts = int(unknown.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-unknown.count() // block_rows))
+    asked = unknown.select("id", "embedding", F.pmod(F.hash("id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    held = known.select("person", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.hash("embedding"), F.lit(parts)).alias("part"))
+
+    def top(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(held):
+            scores = np.stack(asked["embedding"].to_numpy()).astype(float) @ np.stack(held["embedding"].to_numpy()).astype(float).T
+            for person, at in held.groupby("person").indices.items():
+                found = -np.sort(-scores[:, at], axis=1)[:, :best]
+                out.append(pd.DataFrame({"id": np.repeat(asked["id"].to_numpy(), found.shape[1]), "person": person, "score": found.ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "person": [], "score": []})
+
+    schema = f"id long, person {known.schema['person'].dataType.simpleString()}, score double"
+    partial = asked.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInPandas(top, schema)
+    place = F.row_number().over(Window.partitionBy("id", "person").orderBy(F.desc("score")))
+    return partial.withColumn("_k", place).where(F.col("_k") <= best).groupBy("id", "person").agg(F.avg("score").alias("score"), F.count("*").alias("n"))
 
 
 def suggest(ranked: DataFrame, least: float, margin: float) -> DataFrame:
