@@ -16,7 +16,7 @@ shuffled signature takes a few bytes. In each range equal signatures are found b
 * up to ``COLD`` sets share one: all their pairs are candidates;
 * more do: it is hot. A set that keeps a signature that isn't hot with each possible partner needs no more (it has fewer
   hot signatures than must agree, c = parts that aren't empty - k); the others meet the smallest set that shares a hot
-  signature, and later all those outside their component, if the distances to that smallest set allow a link at all.
+  signature, or several in a row, and in the end those outside their component that share one of their rarest shingles.
 
 Candidates are checked exactly on the sets, first one partner per set; pairs within a component then needn't be.
 
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from photolith.llm.common import materialize, partitions, table
@@ -42,6 +42,8 @@ from photolith.llm.components import connected_components
 N = 5
 NUMERATOR, DENOMINATOR = 75, 100
 COLD = 16
+#: So many hot signatures in a row make sets likely to be linked.
+IN_A_ROW = 3
 #: A task holds so many shingles before it packs their signatures; a range of signatures holds about so many.
 HELD_SHINGLES = 1_500_000
 RANGE_SIGNATURES = 4_000_000
@@ -100,7 +102,7 @@ def band_k(j: np.ndarray) -> np.ndarray:
 def band_parts(j: np.ndarray) -> np.ndarray:
     """More parts than k: the more, the rarer a part agrees by chance, and the longer the signatures' list."""
     k = band_k(j)
-    return np.ceil((k + 1) * np.where(k >= 32, 1.25, np.where(k >= 8, 1.5, 2.0))).astype(np.int64)
+    return np.ceil((k + 1) * np.where(k < 140, 3.0, np.where(k < 280, 1.75, 1.25))).astype(np.int64)
 
 
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -334,11 +336,22 @@ def find_links(docs: DataFrame, meta: DataFrame) -> DataFrame:
     cold = found.where("least = 0").groupBy("a", "b").agg(F.count("*").alias("ranges"))
     hot = found.where("least > 0").select(F.col("a").alias("key"), F.col("b").alias("signature"), "least", "band")
     # only sets with at least as many hot signatures as must agree can miss their partners among the cold pairs
-    many = hot.groupBy("key", "band").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select("key", "band")
-    hot = materialize(hot.join(many, ["key", "band"]).select("key", "signature"), "hot-signatures")
+    # (there), and of such a set's hot signatures all but least - 1 must hold one that agrees: the most frequent go
+    shares = hot.groupBy("signature").agg(F.count("*").alias("sets"))
+    ranked = hot.join(shares, "signature")
+    w = Window.partitionBy("key", "band")
+    ranked = ranked.withColumn("n", F.count("*").over(w)).where("n >= least").withColumn("place", F.row_number().over(w.orderBy("sets", "signature")))
+    hot = materialize(ranked.where("place <= n - least + 1").select("key", "band", "signature"), "hot-signatures")
     leaders = hot.groupBy("signature").agg(F.min("key").alias("leader"))
     stars = hot.join(leaders, "signature").where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    stars = materialize(stars, "stars")
+    # sets that agree in several hot signatures in a row are likelier to be linked: they meet the smallest of their kind
+    # too, so that large groups of near copies grow together before anything is compared across components
+    row = Window.partitionBy("key", "band").orderBy("signature")
+    combined = F.xxhash64("band", *[F.lead("signature", k).over(row) for k in range(IN_A_ROW)])
+    alike = hot.select("key", combined.alias("alike"), F.lead("signature", IN_A_ROW - 1).over(row).alias("_last")).where("_last is not null").select("key", "alike")
+    smallest = alike.groupBy("alike").agg(F.min("key").alias("a"))
+    closer = alike.join(smallest, "alike").where("key <> a").select("a", F.col("key").alias("b"))
+    stars = materialize(stars.unionAll(closer).distinct(), "stars")
     cold = materialize(cold.select("a", "b"), "cold-pairs")
     keys = cold.select(F.col("a").alias("key")).unionAll(cold.select("b")).unionAll(stars.select("a")).unionAll(stars.select("b")).distinct()
     sets = materialize(gather_sets(docs, keys), "candidate-sets")
@@ -349,26 +362,51 @@ def find_links(docs: DataFrame, meta: DataFrame) -> DataFrame:
     component = materialize(connected_components(links), "components")
     apart = lambda pairs: _apart(pairs, component)
     rest = apart(cold.join(first, ["a", "b"], "left_anti"))
-    # hot signatures whose sets are still in several components: pairs across them that their distances to the
-    # signature's smallest set allow (distances are a metric: two sets within 1/4 can't differ by more in it)
-    split = hot.join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    several = split.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("key").alias("leader"))
-    open_rows = split.join(several.where("low <> high"), "signature").select("signature", "key", "component", "leader")
-    distance = checked.select(F.col("a").alias("leader"), F.col("b").alias("key"), (1 - F.col("shared") / F.col("union")).alias("d"))
-    open_rows = open_rows.join(distance, ["leader", "key"], "left").where("key <> leader")
-    near = 1 - NUMERATOR / DENOMINATOR + 1e-9
-    across = (
-        open_rows.alias("x").join(open_rows.alias("y"), F.col("x.signature") == F.col("y.signature"))
-        .where((F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")))
-        .where(F.abs(F.col("x.d") - F.col("y.d")) <= near)
-        .select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    ).distinct()
+    across = materialize(_across(sets, hot, component), "across")
     more = materialize(check_pairs(rest.unionAll(across).distinct(), sets).where(LINKED).select("a", "b"), "more-links")
     if more.isEmpty():
         return component
     return connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
 
 
+def _across(sets: DataFrame, hot: DataFrame, component: DataFrame) -> DataFrame:
+    """Pairs of hot sets in different components that can be linked: they share one of their rarest shingles.
+
+    Of two sets that are linked each has three quarters of its shingles in the other, so with all shingles in one order,
+    the rarest first, the first quarter of one and that of the other (and one more) have one in common. What a passage
+    gives to many documents is left behind there. The rows of a shingle's most frequent component meet only the others.
+    """
+    keys = hot.select("key").distinct()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+                sizes = np.array([len(f) for f in found])
+                columns = np.repeat(part.column(0).to_numpy(), sizes), np.concatenate(found) if found else np.zeros(0, np.int64), np.repeat(sizes, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32())], ["key", "shingle", "size"])
+
+    every = sets.join(keys, "key", "left_semi").select("key", "shingles").mapInArrow(rows, "key long, shingle long, size int")
+    every = materialize(every, "hot-shingles")
+    ranked = every.join(every.groupBy("shingle").agg(F.count("*").alias("sets")), "shingle")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("sets", "shingle"))
+    last = F.col("size") - F.ceil(F.col("size") * NUMERATOR / DENOMINATOR) + 1
+    kept = ranked.withColumn("place", place).where((F.col("place") <= last) & (F.col("sets") > 1)).select("key", "shingle", "place", "size")
+    kept = kept.join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    kept = materialize(kept, "rare-shingles")
+    most = kept.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("components"))
+    several = most.where("components > 1").select("shingle", "most")
+    kept = kept.join(several, "shingle")
+    x, y = kept.where("component <> most").alias("x"), kept.alias("y")
+    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.most")) | (F.col("x.key") < F.col("y.key")))
+    # the first shingle that two sets share, in that order, has all the others behind it in both
+    behind = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    enough = (DENOMINATOR + NUMERATOR) * (behind + 1) >= NUMERATOR * (F.col("x.size") + F.col("y.size"))
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & enough)
+    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
 def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
     """The pairs that aren't in one component yet."""
     of = lambda side: component.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
