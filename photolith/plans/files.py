@@ -79,3 +79,12 @@ def watch_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = stable_files(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/taken")
     taken.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/taken").select(F.col("path").cast("long").alias("path"), "scan", "size")
+
+
+@query(W + "SELECT id, file_name, rating, captured, keywords FROM photos WHERE NOT deleted AND NOT local")
+def library_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library as JSON lines, and read back."""
+    rows = visible(photos(spark, sf_dir)).select("id", "file_name", "rating", "captured", "keywords")
+    out = f"{_shared(spark)}/snapshot"
+    rows.select(F.to_json(F.struct("*")).alias("value")).write.text(out)
+    return spark.read.schema(rows.schema).json(out)
