@@ -31,9 +31,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from photolith.llm.common import materialize, partitions, table
@@ -428,24 +429,30 @@ def join_documents(docs: DataFrame) -> DataFrame:
 
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row with the smallest id, and of rows that
-    share an id and are alike, one; documents without words all stay.
+    share an id and a set, one; documents without words all stay.
 
-    Components with one row are passed by: only the ids of rows to drop are joined to the texts, and where they are few
-    they are broadcast, by a count, so that no text is shuffled."""
+    Only the ids of rows to drop are joined to the texts; while they are few, by a count, they are broadcast, so that no
+    text is shuffled."""
     spark = docs.sparkSession
     found = join_documents(docs)
     gone = materialize(found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct(), "duplicates")
     rest = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "doc_id", "left_anti").select(*docs.columns)
-    # ids that several rows share; none in a table with a key
-    shared = found.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    shared = found.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id"))
     shared = materialize(shared, "shared-ids")
-    if shared.isEmpty():
+    if shared.isEmpty():  # as in a table with a key
         return rest
-    once = rest.join(shared, rest.doc_id.eqNullSafe(shared.doc_id), "left_semi")
-    sets = F.pandas_udf(lambda texts: texts.map(lambda t: set_key(x) if len(x := shingle_set(t)) else None).astype("Int64"), "long")
-    once = once.withColumn("_key", sets("text"))
-    empty = once.where("_key is null").drop("_key")
-    return rest.join(shared, rest.doc_id.eqNullSafe(shared.doc_id), "left_anti").unionAll(once.where("_key is not null").dropDuplicates(["doc_id", "_key"]).drop("_key")).unionAll(empty)
+    same = rest.doc_id.eqNullSafe(shared._id)
+    once = rest.join(shared, same, "left_semi").withColumn("_key", _key_of("text"))
+    alike = once.where("_key is not null").dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return rest.join(shared, same, "left_anti").unionAll(alike).unionAll(once.where("_key is null").drop("_key"))
+
+
+def _key_of(column: str) -> Column:
+    @F.pandas_udf("long")
+    def key(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: set_key(x) if len(x := shingle_set(t)) else None).astype("Int64")
+
+    return key(column)
 
 
 def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:

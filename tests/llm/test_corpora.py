@@ -202,3 +202,9 @@ def test_pipeline(spark, make):
     assert seen["near-duplicates"] == {d[0] for d in clean}
     assert seen["mix"] <= seen["near-duplicates"]
     assert corpus_pipeline.STAGES[4][1](spark, docs, folder).count() == docs.count()
+
+
+def test_first_of_each_keeps_one_row_of_a_group(spark):
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "q r s t u v w"), (3, "q r s t u v w"), (3, "other words entirely here now"), (4, ""), (4, None), (None, "no id at all here")]
+    got = shingle_join.first_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[3], *rows[5:]], key=str)
