@@ -18,7 +18,8 @@ shuffled signature takes a few bytes. In each range equal signatures are found b
   hot signatures than must agree, c = parts that aren't empty - k); the others meet the smallest set that shares a hot
   signature, or several in a row, and in the end those outside their component that share one of their rarest shingles.
 
-Candidates are checked exactly on the sets, first one partner per set; pairs within a component then needn't be.
+Candidates lose those whose sketches (counts of elements by parts of the domain) differ by too much. The others are
+checked exactly on the sets, first one partner per set; pairs within a component then needn't be.
 
 Nulls: a null text has no set, links with nothing and is its own component; a null id takes part, and a component's
 name is the smallest id that isn't null. Rows that share an id are documents of their own. Empty tables give no rows.
@@ -51,7 +52,10 @@ RANGE_SIGNATURES = 4_000_000
 HELD_WORDS = 400_000
 #: So many sets' keys are broadcast at most when the candidates' sets are gathered; beyond that a join finds them.
 BROADCAST_KEYS = 2_000_000
+#: Counts of a set's elements by so many parts of the domain are its sketch.
+SKETCH = 128
 _U = np.uint64
+_STEP = _U(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -77,19 +81,31 @@ def shingle_set(text: str | None, n: int = N) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
     if len(words) < n:
         return _mix(np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64))
-    found = np.zeros(len(words) - n + 1, np.uint64)
-    for k in range(n):
-        found = _mix(found) + hashes[k : k + len(found)]
-    return np.unique(_mix(found))
+    hashes = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+    m = len(words) - n + 1
+    found = hashes[:m].copy()
+    for k in range(1, n):
+        found *= _STEP
+        found += hashes[k : k + m]
+    found = _mix(found)
+    found.sort()
+    new = np.ones(m, bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    return found[new]
 
 
 def set_key(shingles: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many elements fall in each part: the differences of two sketches add up to no more than the sets differ by."""
+    parts = (shingles >> _U(50)).astype(np.int64) % SKETCH
+    return np.minimum(np.bincount(parts, minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
 def band(size: np.ndarray) -> np.ndarray:
     return np.frexp(np.asarray(size, float))[1] - 1
 
@@ -208,17 +224,17 @@ def meet(found: np.ndarray, keys: np.ndarray, least: np.ndarray, bands: np.ndarr
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_shingles, key); key is null for an empty set."""
+    """(doc_id, text) -> (doc_id, n_shingles, key, sketch); key and sketch are null for an empty set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
             keys = [set_key(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "n_shingles", "key"]
-            )
+            sketches = [sketch(s) if len(s) else None for s in sets]
+            columns = [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_shingles long, key long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_shingles long, key long, sketch binary")
 
 
 def packed_signatures(docs: DataFrame, ranges: int) -> DataFrame:
@@ -305,6 +321,20 @@ def gather_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return found
 
 
+def possible_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link: no linked pair is lost, and hardly another one stays."""
+    of = lambda side: classes.select(F.col("key").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+
+    @F.pandas_udf("long")
+    def differ(x: pd.Series, y: pd.Series) -> pd.Series:
+        p, q = (np.frombuffer(b"".join(z), np.uint8).reshape(-1, SKETCH).astype(np.int16) for z in (x, y))
+        return pd.Series(np.abs(p - q).sum(1).astype(np.int64))
+
+    sized = pairs.join(of("a"), "a").join(of("b"), "b").where(DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b"))
+    allowed = (DENOMINATOR - NUMERATOR) * (F.col("n_a") + F.col("n_b"))
+    return sized.where((DENOMINATOR + NUMERATOR) * differ("sketch_a", "sketch_b") <= allowed).select("a", "b")
+
+
 def check_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) -> with shared and union sizes of the two sets, exactly."""
     with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("set_a")), "a")
@@ -328,7 +358,7 @@ def check_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 LINKED = f"{DENOMINATOR} * shared >= {NUMERATOR} * union"
 
 
-def find_links(docs: DataFrame, meta: DataFrame) -> DataFrame:
+def find_links(docs: DataFrame, meta: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, component) over keys of sets: the classes that links join."""
     spark = docs.sparkSession
     total = meta.agg(F.sum("n_shingles")).first()[0] or 0
@@ -354,20 +384,26 @@ def find_links(docs: DataFrame, meta: DataFrame) -> DataFrame:
     closer = alike.join(smallest, "alike").where("key <> a").select("a", F.col("key").alias("b"))
     stars = materialize(stars.unionAll(closer).distinct(), "stars")
     cold = materialize(cold.select("a", "b"), "cold-pairs")
-    keys = cold.select(F.col("a").alias("key")).unionAll(cold.select("b")).unionAll(stars.select("a")).unionAll(stars.select("b")).distinct()
+    near = materialize(possible_pairs(cold.unionAll(stars).distinct(), classes), "near-pairs")
+    keys = near.select(F.col("a").alias("key")).unionAll(near.select("b")).unionAll(hot.select("key")).distinct()
     sets = materialize(gather_sets(docs, keys), "candidate-sets")
-    # one partner for each set first, and all stars: most pairs then lie within a component
-    first = cold.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionAll(stars).distinct()
-    checked = materialize(check_pairs(first, sets), "checked")
-    links = checked.where(LINKED).select("a", "b")
+    linked = lambda pairs: check_pairs(pairs, sets).where(LINKED).select("a", "b")
+    # one partner for each set first: most other pairs then lie within a component
+    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = materialize(linked(first), "first-links")
     component = materialize(connected_components(links), "components")
-    apart = lambda pairs: _apart(pairs, component)
-    rest = apart(cold.join(first, ["a", "b"], "left_anti"))
-    across = materialize(_across(sets, hot, component), "across")
-    more = materialize(check_pairs(rest.unionAll(across).distinct(), sets).where(LINKED).select("a", "b"), "more-links")
-    if more.isEmpty():
+    more = materialize(linked(_apart(near.join(first, ["a", "b"], "left_anti"), component)), "more-links")
+    component = _grown(component, more)
+    across = possible_pairs(_across(sets, hot, component), classes)
+    return _grown(component, materialize(linked(across), "links-across"))
+
+
+def _grown(component: DataFrame, links: DataFrame) -> DataFrame:
+    """The components that ``component`` and further links make."""
+    if links.isEmpty():
         return component
-    return connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
+    known = component.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return materialize(connected_components(known.unionAll(links)), "components")
 
 
 def _across(sets: DataFrame, hot: DataFrame, component: DataFrame) -> DataFrame:
@@ -418,9 +454,10 @@ def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
 def join_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, component_id)."""
     meta = materialize(document_sets(docs), "shingle-sets")
-    classes = meta.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
-    component = find_links(docs, meta)
-    named = classes.join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    classes = meta.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes, "classes")
+    component = find_links(docs, meta, classes)
+    named = classes.select("key", "first").join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     of_key = named.join(smallest, "component").select("key", "component_id")
     with_set = meta.where("key is not null").join(of_key, "key").select("doc_id", "n_shingles", "component_id")
