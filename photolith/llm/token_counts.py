@@ -15,6 +15,7 @@ often as they came. Nulls: a null text counts as empty (0 tokens); a null id sta
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import Counter
@@ -52,12 +53,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, special: str) -> DataFram
     spark = docs.sparkSession
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each thread keeps memory of its own
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 counted = [len(e) for e in tokenizer.encode_batch_fast(part.column(0).to_pylist(), add_special_tokens=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counted, pa.int64())], ["piece", "n", "pieces"])
 
@@ -83,7 +85,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, special: str) -> DataFram
                 for piece, n, known_sum, size in [(f"  {doc_id} {crc} .", 0, total, len(raw)), *((p, n, 0, None) for p, n in rare.items())]:
                     for to, value in zip(rows, (doc_id, crc, piece, n, known_sum, size), strict=True):
                         to.append(value)
-                if len(rows[0]) > 50_000:
+                if len(rows[0]) > 10_000:
                     yield _batch(rows)
                     rows = ([], [], [], [], [], [])
             if rows[0]:

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: So many frequent strings are broadcast at most: tens of MB in a worker, whatever the corpus.
-FREQUENT = 1 << 19
-#: A task holds so many distinct strings before it hands them on.
-HELD = 400_000
+FREQUENT = 1 << 18
+#: A worker holds so many distinct strings before it hands them on; Spark adds up what a task hands on before the shuffle.
+HELD = 50_000
 
 
 def count_strings(docs: DataFrame, column: str, split: Callable[[str], Iterable], kind: str) -> DataFrame:
@@ -40,5 +40,17 @@ def count_strings(docs: DataFrame, column: str, split: Callable[[str], Iterable]
 
 
 def most_frequent(counts: DataFrame, columns: list[str], limit: int = FREQUENT) -> pa.Table:
-    """The rows of the ``limit`` most frequent pieces; singletons aren't worth sending."""
-    return counts.where("n > 1").orderBy(F.desc("n"), "piece").limit(limit).select(*columns).toArrow()
+    """The most frequent pieces with their ``columns`` (n among them or not), at most ``limit``, in descending order.
+
+    They are all those from some frequency on, which a histogram of the frequencies' logarithms gives: nothing is sorted
+    or merged in one task. Singletons aren't worth sending."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    found = sorted(((r[0], r[1]) for r in counts.where("n > 1").groupBy(step.alias("step")).count().collect()), reverse=True)
+    least, total = None, 0
+    for at, n in found:
+        total += n
+        if total > limit:
+            break
+        least = at
+    kept = counts.where(F.lit(False)) if least is None else counts.where("n > 1").where(step >= least)
+    return kept.select("piece", *[c for c in columns if c != "piece"], F.col("n").alias("_n")).toArrow().sort_by([("_n", "descending"), ("piece", "ascending")]).select(columns)
