@@ -96,6 +96,19 @@ def shingle_set(text: str | None, n: int = N) -> np.ndarray:
     return found[new]
 
 
+def pack_set(shingles: np.ndarray) -> bytes:
+    """A set's hashes, to 40 bits: their sorted first bytes, which compress well, then 32 bits of each.
+
+    Two sets that differ in a few hundred elements take one for another with a chance of about one in ten million."""
+    top = shingles >> _U(24)
+    return (top >> _U(32)).astype(np.uint8).tobytes() + (top & _U(0xFFFFFFFF)).astype(np.uint32).tobytes()
+
+
+def unpack_set(raw: bytes) -> np.ndarray:
+    n = len(raw) // 5
+    return np.frombuffer(raw, np.uint8, n).astype(np.int64) << 32 | np.frombuffer(raw, np.uint8, 4 * n, n).copy().view(np.uint32)
+
+
 def set_key(shingles: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))
 
@@ -312,7 +325,7 @@ def gather_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
                     continue
                 sent.add(key)
                 out_keys.append(key)
-                out_sets.append(shingles.tobytes())
+                out_sets.append(pack_set(shingles))
             yield pa.RecordBatch.from_arrays([pa.array(out_keys, pa.int64()), pa.array(out_sets, pa.binary())], ["key", "shingles"])
 
     found = docs.select("text").mapInArrow(rows, "key long, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
@@ -344,7 +357,7 @@ def check_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             shared, union = [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                p, q = unpack_set(x.as_py()), unpack_set(y.as_py())
                 at = np.minimum(np.searchsorted(q, p), len(q) - 1)
                 shared.append(int((q[at] == p).sum()))
                 union.append(len(p) + len(q) - shared[-1])
@@ -419,17 +432,20 @@ def _across(sets: DataFrame, hot: DataFrame, component: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+                found = [unpack_set(x.as_py()) for x in part.column(1)]
                 sizes = np.array([len(f) for f in found])
                 columns = np.repeat(part.column(0).to_numpy(), sizes), np.concatenate(found) if found else np.zeros(0, np.int64), np.repeat(sizes, sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32())], ["key", "shingle", "size"])
 
     every = sets.join(keys, "key", "left_semi").select("key", "shingles").mapInArrow(rows, "key long, shingle long, size int")
-    every = materialize(every, "hot-shingles")
-    ranked = every.join(every.groupBy("shingle").agg(F.count("*").alias("sets")), "shingle")
-    place = F.row_number().over(Window.partitionBy("key").orderBy("sets", "shingle"))
+    several_sets = every.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1")
+    # a set's shingles that no other has come first in its order, so only their number matters
+    ranked = every.join(several_sets, "shingle")
+    w = Window.partitionBy("key")
+    alone = F.col("size") - F.count("*").over(w)
+    place = alone + F.row_number().over(w.orderBy("sets", "shingle"))
     last = F.col("size") - F.ceil(F.col("size") * NUMERATOR / DENOMINATOR) + 1
-    kept = ranked.withColumn("place", place).where((F.col("place") <= last) & (F.col("sets") > 1)).select("key", "shingle", "place", "size")
+    kept = ranked.withColumn("place", place).where(F.col("place") <= last).select("key", "shingle", "place", "size")
     kept = kept.join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     kept = materialize(kept, "rare-shingles")
     most = kept.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("components"))
