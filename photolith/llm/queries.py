@@ -11,7 +11,7 @@ from photolith.llm.quality import op2_quality
 from photolith.llm.shingle_join import op7_shingle_join
 from photolith.llm.token_counts import op6_token_counts
 from photolith.llm.toxicity import op3_toxicity
-from photolith.llm.warc import op5_warc
+from photolith.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_mix": op10_mix,
 }
 
-ORACLE_SQL = {"op10_mix": OP10_SQL}
+ORACLE_SQL = {"op5_warc": OP5_SQL, "op10_mix": OP10_SQL}
