@@ -52,8 +52,8 @@ RANGE_SIGNATURES = 4_000_000
 HELD_WORDS = 400_000
 #: So many sets' keys are broadcast at most when the candidates' sets are gathered; beyond that a join finds them.
 BROADCAST_KEYS = 2_000_000
-#: Counts of a set's elements by so many parts of the domain are its sketch.
-SKETCH = 128
+#: A set of up to so many elements has a sketch of 2^7 parts, one of twice as many twice as many, and so on.
+SKETCH_ROWS, SKETCH_BITS = 512, 7
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 
@@ -114,9 +114,22 @@ def set_key(shingles: np.ndarray) -> int:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """How many elements fall in each part: the differences of two sketches add up to no more than the sets differ by."""
-    parts = (shingles >> _U(50)).astype(np.int64) % SKETCH
-    return np.minimum(np.bincount(parts, minlength=SKETCH), 255).astype(np.uint8).tobytes()
+    """How many elements fall in each part: the differences of two sketches add up to no more than the sets differ by.
+
+    Larger sets have more parts, so that a part has a few elements; parts of parts are neighbours, so that a finer sketch
+    can be folded to a coarser one."""
+    bits = SKETCH_BITS + max(0, (len(shingles) // SKETCH_ROWS).bit_length())
+    parts = (shingles >> _U(64 - bits)).astype(np.int64)
+    return np.minimum(np.bincount(parts, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def sketch_difference(x: bytes, y: bytes) -> int:
+    p, q = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    while len(p) > len(q):
+        p = np.minimum(p[::2] + p[1::2], 255)
+    while len(q) > len(p):
+        q = np.minimum(q[::2] + q[1::2], 255)
+    return int(np.abs(p - q).sum())
 
 
 def band(size: np.ndarray) -> np.ndarray:
@@ -340,8 +353,7 @@ def possible_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     @F.pandas_udf("long")
     def differ(x: pd.Series, y: pd.Series) -> pd.Series:
-        p, q = (np.frombuffer(b"".join(z), np.uint8).reshape(-1, SKETCH).astype(np.int16) for z in (x, y))
-        return pd.Series(np.abs(p - q).sum(1).astype(np.int64))
+        return pd.Series([sketch_difference(p, q) for p, q in zip(x, y, strict=True)], dtype="int64")
 
     sized = pairs.join(of("a"), "a").join(of("b"), "b").where(DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b"))
     allowed = (DENOMINATOR - NUMERATOR) * (F.col("n_a") + F.col("n_b"))

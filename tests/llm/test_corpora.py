@@ -208,3 +208,15 @@ def test_first_of_each_keeps_one_row_of_a_group(spark):
     rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "q r s t u v w"), (3, "q r s t u v w"), (3, "other words entirely here now"), (4, ""), (4, None), (None, "no id at all here")]
     got = shingle_join.first_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[3], *rows[5:]], key=str)
+
+
+def test_sketches_never_differ_by_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    for size in (1, 30, 511, 512, 1500, 5000):
+        a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        for share in (0.0, 0.3, 0.9, 1.0):
+            b = np.unique(np.concatenate([a[: int(len(a) * share)], rng.integers(0, 2**64, max(1, size // 3), dtype=np.uint64)]))
+            differ = shingle_join.sketch_difference(shingle_join.sketch(a), shingle_join.sketch(b))
+            assert differ <= len(np.setxor1d(a, b))
+            packed = shingle_join.unpack_set(shingle_join.pack_set(a))
+            assert (np.diff(packed) > 0).all() and (packed == (a >> np.uint64(24)).astype(np.int64)).all()
