@@ -1,0 +1,29 @@
+"""Average-link clusters against brute force."""
+
+import numpy as np
+
+from photolith.operators.vectors import average_link
+
+
+def brute(vectors, threshold):
+    groups = [[k] for k in range(len(vectors))]
+    while len(groups) > 1:
+        means = [
+            (np.mean([vectors[i] @ vectors[j] for i in a for j in b]), -x, -y)
+            for x, a in enumerate(groups) for y, b in enumerate(groups) if x < y
+        ]
+        best, x, y = max(means)
+        if best < threshold:
+            break
+        groups[-x] += groups.pop(-y)
+    return sorted(sorted(g) for g in groups)
+
+
+def test_average_link():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 12, 25):
+        centres = rng.normal(size=(4, 8))
+        vectors = centres[rng.integers(0, 4, n)] + 0.3 * rng.normal(size=(n, 8))
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        label = average_link(vectors, 0.6)
+        assert sorted(sorted(np.flatnonzero(label == c).tolist()) for c in set(label.tolist())) == brute(vectors, 0.6)
