@@ -1,10 +1,11 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and short runs of words.
 
-Leaves are runs of up to six words of a sentence (in texts under 200 code points, words); a paragraph's digest covers
+Leaves are runs of up to six words of a sentence; a paragraph's digest covers
 its leaves' digests, a section's its paragraphs', the root the sections'. A blank line ends a section, and so does a paragraph whose digest says so (one in
 four), so that an insertion moves no later border. A fingerprint is the root's digest, by which equal texts are known,
 then the leaves by section and paragraph with their lengths, from which ``likeness`` and ``differing_paths`` tell how
-much two texts share and where they differ; the inner digests follow from the leaves.
+much two texts share and where they differ; the inner digests follow from the leaves. Then come the distinct words with
+their lengths in all: where one of two texts is short, runs are too coarse, and ``likeness`` compares the words of both.
 
 The next document in descending doc_id (a null id is the smallest) is found without a global sort in one task:
 approximate quantiles of the ids cut them into as many ranges as there are shuffle partitions, and each range also gets
@@ -20,6 +21,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,10 +31,10 @@ from pyspark.sql import functions as F
 
 from photolith.llm.common import partitions, table
 
+#: Leaves of so many code points at least are enough to compare by.
 SHORT = 200
 #: A run ends after six words, or after a word that ends a sentence.
 _RUN = re.compile(r"\s*(?:\S*[^\s.!?;]\s+){0,5}\S+")
-_WORD = re.compile(r"\S+")
 
 
 def _digest(raw: bytes) -> bytes:
@@ -41,7 +43,6 @@ def _digest(raw: bytes) -> bytes:
 
 def tree(text: str) -> list[list[list[tuple[bytes, int]]]]:
     """Sections of paragraphs of leaves; a leaf is (digest, code points)."""
-    runs = (_WORD if len(text) < SHORT else _RUN).findall
     sections: list = [[]]
     for paragraph in text.split("\n"):
         if not paragraph.strip():
@@ -49,7 +50,7 @@ def tree(text: str) -> list[list[list[tuple[bytes, int]]]]:
                 sections.append([])
             if not paragraph:
                 continue
-        leaves = [(_digest(s.encode()), len(s)) for s in runs(paragraph)]
+        leaves = [(_digest(s.encode()), len(s)) for s in _RUN.findall(paragraph)]
         sections[-1].append(leaves)
         if _digest(b"".join(d for d, _ in leaves))[0] % 4 == 0:
             sections.append([])
@@ -62,11 +63,18 @@ def root(text: str, sections: list) -> str:
     return _digest(b"".join(inner) + _digest(text.encode())).hex()
 
 
+@lru_cache(1 << 16)
+def _word_code(word: str) -> str:
+    return _digest(word.encode())[:4].hex()
+
+
 def fingerprint(text: str) -> str:
-    """Root, then sections by ';', paragraphs by ',', each leaf as 8 hex digits of its digest and 4 of its length."""
+    """Root, then sections by ';', paragraphs by ',', each leaf as 8 hex digits of its digest and 4 of its length; then
+    the distinct words by ',', each as 8 hex digits of its digest and the rest for its weight times its number."""
     sections = tree(text)
     code = ";".join(",".join("".join(f"{d[:4].hex()}{min(n, 0xFFFF):04x}" for d, n in leaves) for leaves in s) for s in sections)
-    return f"{root(text, sections)}/{code}"
+    words = ",".join(f"{_word_code(w)}{(len(w) + 1) * n:x}" for w, n in Counter(text.split()).items())
+    return f"{root(text, sections)}/{code}/{words}"
 
 
 def _leaves(code: str) -> list[str]:
@@ -78,22 +86,33 @@ def _weight(leaf: str) -> int:
     return int(leaf[8:], 16) + 1
 
 
+def _words(code: str) -> Counter:
+    """Weights by word."""
+    found: Counter = Counter()
+    for word in code.split(",") if code else ():
+        found[word[:8]] += int(word[8:], 16)
+    return found
+
+
 def likeness(a: str, b: str) -> float:
-    """1 for equal roots, else the share of both texts' leaves, by length, that the trees have in common."""
-    (root_a, code_a), (root_b, code_b) = a.split("/"), b.split("/")
+    """1 for equal roots, else the share of both texts' leaves, by length, that the trees have in common; if one of the
+    texts is short, the share of both texts' words."""
+    (root_a, code_a, words_a), (root_b, code_b, words_b) = a.split("/"), b.split("/")
     if root_a == root_b:
         return 1.0
     x, y = _leaves(code_a), _leaves(code_b)
-    total = sum(map(_weight, x)) + sum(map(_weight, y))
-    if not total:
-        return 0.0
+    of_x, of_y = sum(map(_weight, x)), sum(map(_weight, y))
+    if min(of_x, of_y) < SHORT:
+        p, q = _words(words_a), _words(words_b)
+        total = p.total() + q.total()
+        return 2.0 * (p & q).total() / total if total else 0.0
     shared = Counter(x) & Counter(y)
-    return min(2.0 * sum(_weight(leaf) * n for leaf, n in shared.items()) / total, 1.0)
+    return min(2.0 * sum(_weight(leaf) * n for leaf, n in shared.items()) / (of_x + of_y), 1.0)
 
 
 def differing_paths(a: str, b: str) -> list[tuple[int, int]]:
     """(section, paragraph) of ``a`` whose branch isn't in ``b``: unequal branches are followed down, equal ones left out."""
-    (root_a, code_a), (root_b, code_b) = a.split("/"), b.split("/")
+    (root_a, code_a, _), (root_b, code_b, _) = a.split("/"), b.split("/")
     if root_a == root_b:
         return []
     sections, there = code_a.split(";"), set(code_b.split(";"))

@@ -1,5 +1,6 @@
 """Fingerprints, quality statistics, toxicity, HTML, WARC and token counts against brute force."""
 
+import difflib
 import hashlib
 import random
 from collections import Counter
@@ -40,6 +41,20 @@ def test_tree_locates_an_edit():
     assert fingerprints.likeness(fingerprints.fingerprint(""), x) == 0.0 and fingerprints.fingerprint("a b") != fingerprints.fingerprint("a  b")
 
 
+def test_likeness_across_the_short_length():
+    """Texts on different sides of SHORT are compared leaf by leaf of the same kind."""
+    words = [f"word{k}" for k in range(60)]
+    text, other = " ".join(words[:45]), " ".join(f"other{k}" for k in range(45))
+    edited = fingerprints.edit(text, other[:20])
+    assert len(text) > fingerprints.SHORT > len(edited)
+    by_code_points = difflib.SequenceMatcher(None, text, edited, autojunk=False).ratio()
+    assert abs(fingerprints.likeness(fingerprints.fingerprint(text), fingerprints.fingerprint(edited)) - by_code_points) < 0.1
+    for n in range(20, 45):
+        near = " ".join([*words[:n], "more"])
+        assert fingerprints.likeness(fingerprints.fingerprint(" ".join(words[: n + 1])), fingerprints.fingerprint(near)) > 0.7
+    assert fingerprints.likeness(fingerprints.fingerprint(text), fingerprints.fingerprint(other[:150])) == 0.0
+
+
 def brute_repeated(words, n=8):
     windows = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
     counts = Counter(windows)
