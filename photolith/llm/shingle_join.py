@@ -479,37 +479,50 @@ def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
     return found.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
-def join_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_shingles, component_id)."""
+def _joined(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> (doc_id, n_shingles, key, component, component_id); key and component are null for an empty set."""
     meta = materialize(document_sets(docs), "shingle-sets")
     classes = meta.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
     component = find_links(docs, meta, classes)
     named = classes.select("key", "first").join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_key = named.join(smallest, "component").select("key", "component_id")
-    with_set = meta.where("key is not null").join(of_key, "key").select("doc_id", "n_shingles", "component_id")
-    return with_set.unionAll(meta.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    of_key = named.join(smallest, "component").select("key", "component", "component_id")
+    with_set = meta.where("key is not null").join(of_key, "key").select("doc_id", "n_shingles", "key", "component", "component_id")
+    none = F.lit(None).cast("long")
+    return with_set.unionAll(meta.where("key is null").select("doc_id", "n_shingles", none.alias("key"), none.alias("component"), F.col("doc_id").alias("component_id")))
+
+
+def join_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> (doc_id, n_shingles, component_id)."""
+    return _joined(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the row with the smallest id, and of rows that
-    share an id and a set, one; documents without words all stay.
+    """The rows of ``docs`` without near duplicates: of each component one row, with the smallest id (null ids come last)
+    and of those the smallest set key; documents without words all stay. Rows that share an id are documents of their own.
 
     Only the ids of rows to drop are joined to the texts; while they are few, by a count, they are broadcast, so that no
-    text is shuffled."""
-    spark = docs.sparkSession
-    found = join_documents(docs)
-    gone = materialize(found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct(), "duplicates")
-    rest = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "doc_id", "left_anti").select(*docs.columns)
-    shared = found.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id"))
-    shared = materialize(shared, "shared-ids")
-    if shared.isEmpty():  # as in a table with a key
-        return rest
-    same = rest.doc_id.eqNullSafe(shared._id)
-    once = rest.join(shared, same, "left_semi").withColumn("_key", _key_of("text"))
-    alike = once.where("_key is not null").dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return rest.join(shared, same, "left_anti").unionAll(alike).unionAll(once.where("_key is null").drop("_key"))
+    text is shuffled. An id alone names a row only if no other row has it; the rest are known by id and set."""
+    found = materialize(_joined(docs).select("doc_id", "key", "component"), "joined")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    heads = found.where("key is not null").groupBy("component").agg(F.min(order).alias("head")).select("head.doc_id", "head.key")
+    heads = materialize(heads, "heads")
+    known = found.where("doc_id is not null")
+    several = materialize(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "shared-ids")
+    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
+    gone = known.where("key is not null").join(heads, ["doc_id", "key"], "left_anti").select("doc_id").distinct()
+    gone = materialize(gone.join(several, "doc_id", "left_anti"), "duplicates")
+    rest = docs.where("doc_id is not null").join(few(gone), "doc_id", "left_anti").select(*docs.columns)
+    mixed = docs.where("doc_id is null")
+    if not several.isEmpty():  # as it is in a table with a key
+        mixed = mixed.unionAll(rest.join(few(several), "doc_id", "left_semi").select(*docs.columns))
+        rest = rest.join(few(several), "doc_id", "left_anti").select(*docs.columns)
+    mixed = mixed.withColumn("_key", _key_of("text"))
+    once = mixed.where("_key is not null").dropDuplicates(["doc_id", "_key"])
+    of = heads.select(F.col("doc_id").alias("_id"), F.col("key").alias("_head"))
+    first = once.join(of, (F.col("_key") == F.col("_head")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return rest.unionAll(first.select(*docs.columns)).unionAll(mixed.where("_key is null").select(*docs.columns))
 
 
 def _key_of(column: str) -> Column:

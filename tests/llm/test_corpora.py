@@ -210,6 +210,13 @@ def test_first_of_each_keeps_one_row_of_a_group(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[3], *rows[5:]], key=str)
 
 
+def test_first_of_each_tells_rows_of_one_id_apart(spark):
+    a, b, c = "a b c d e f g h", "q r s t u v w x", "other words entirely here now ok"
+    first = lambda rows: sorted(map(tuple, shingle_join.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert first([(1, a), (3, a), (3, b), (7, b), (3, "")]) == sorted([(1, a), (3, b), (3, "")], key=str)
+    assert first([(None, a), (None, a), (None, b), (5, b), (None, c), (None, None)]) == sorted([(None, a), (5, b), (None, c), (None, None)], key=str)
+
+
 def test_sketches_never_differ_by_more_than_the_sets():
     rng = np.random.default_rng(5)
     for size in (1, 30, 511, 512, 1500, 5000):
