@@ -3,11 +3,12 @@
 A page is cut at block tags into a flat list of text blocks, references decoded, white space folded. Each block has its
 word count and link density, those of the blocks before and after it, and two marks that the markup gives: whether it
 stands inside an element that names itself as beside the text (nav, footer, class="sidebar", ...) and whether it stands
-inside one that names itself as the text (article, main). A decision tree, trained on the small labelled table below,
+inside one that names itself as the text (article, main). A name counts for nothing on an element outside of which no article stands, if it holds one or most of the page's
+words: such an element is the page's layout. A decision tree, trained on the small labelled table below,
 tells main text from the rest; the main blocks are joined by blank lines.
 
 Scripts, styles and other elements that show no text are dropped with all they hold. Markup may be broken: unclosed
-tags end with their parent, a cut-off tag at the end is dropped, a cut-off script runs to the end.
+tags end with their parent, a head also before what can't stand in one, a cut-off tag at the end is dropped, a cut-off script runs to the end.
 
 Nulls: a null html counts as empty and gives an empty text. Repeated rows are extracted each. Empty tables give no rows.
 """
@@ -32,6 +33,8 @@ BLOCK = frozenset(
 )
 HIDDEN = frozenset("script style noscript template iframe object svg canvas head title select textarea button option datalist".split())
 RAW = frozenset("script style noscript template iframe title textarea".split())
+#: What a head can hold; anything else ends it, as its end tag may be left out.
+IN_HEAD = frozenset("html head base link meta script style noscript template title".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BESIDE_TAGS = frozenset("nav footer aside form menu dialog header".split())
 TEXT_TAGS = frozenset("article main".split())
@@ -94,8 +97,16 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
     found: list[tuple[str, int, float, bool, bool]] = []
     parts: list[str] = []
     linked: list[str] = []
-    open_tags: list[tuple[str, bool, bool, bool]] = []  # tag, beside, text, hidden
+    open_tags: list[tuple[str, bool, bool, bool, list | None]] = []  # tag, beside, text, hidden, wrapper
     in_link = 0
+    # of each element that only its names set beside: its words, text elements around and in it
+    wrappers: list[list[int]] = []
+    inside_of: list[list[list[int]]] = []
+    texts = 0
+
+    def end_head() -> None:
+        while open_tags.pop()[0] != "head":
+            pass
 
     def close() -> None:
         nonlocal parts, linked
@@ -104,6 +115,9 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
             words = text.count(" ") + 1
             in_links = len(html.unescape(" ".join(linked)).split())
             found.append((text, words, min(in_links / words, 1.0), any(t[1] for t in open_tags), any(t[2] for t in open_tags)))
+            inside_of.append([t[4] for t in open_tags if t[4]])
+            for wrapper in inside_of[-1]:
+                wrapper[0] += words
         parts, linked = [], []
 
     tokens = _TOKEN.finditer(page)
@@ -113,6 +127,8 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
             continue
         token = match[0]
         if token[0] != "<" or token == "<":
+            if open_tags and open_tags[-1][0] == "head" and token.strip():
+                end_head()
             if not any(t[3] for t in open_tags):
                 parts.append(token)
                 if in_link:
@@ -122,6 +138,8 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
         if not tag_match or token[-1] != ">":
             continue
         ending, tag = bool(tag_match[1]), tag_match[2].lower()
+        if not ending and tag not in IN_HEAD and any(t[0] == "head" for t in open_tags):
+            end_head()
         if tag in RAW and not ending:
             end = re.compile(rf"</{tag}\s*>|$", re.I).search(page, match.end())
             skip_to = end.end() if end[0] else len(page)
@@ -145,9 +163,21 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
                 open_tags.pop()
             inside = any(t[2] for t in open_tags)
             beside = _beside(tag, token) and not (tag == "header" and inside) and tag not in ("html", "body", "article", "main")
-            open_tags.append((tag, beside, tag in TEXT_TAGS, tag in HIDDEN))
+            wrapper = None
+            if beside and tag not in BESIDE_TAGS:
+                wrapper = [0, sum(t[2] for t in open_tags), 0]
+                wrappers.append(wrapper)
+                beside = False
+            elif tag in TEXT_TAGS and not _beside(tag, token):
+                texts += 1
+                for _, _, _, _, around in open_tags:
+                    if around:
+                        around[2] += 1
+            open_tags.append((tag, beside, tag in TEXT_TAGS, tag in HIDDEN, wrapper))
     close()
-    return found
+    total = sum(b[1] for b in found)
+    layout = {id(w) for w in wrappers if w[1] + w[2] >= texts and (w[2] or 2 * w[0] > total)}
+    return [(*b[:3], b[3] or any(id(w) not in layout for w in around), b[4]) for b, around in zip(found, inside_of, strict=True)]
 
 
 def features(page_blocks: list[tuple]) -> list[tuple[float, ...]]:

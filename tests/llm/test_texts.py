@@ -127,6 +127,24 @@ def test_main_text():
     assert html_text.main_text(plain) == "\n\n".join([long.strip()] * 2)
 
 
+def test_no_article_is_lost_to_a_head_or_a_wrapper():
+    body = "word " * 40
+    text = body.strip()
+    for page in (
+        f"<html><head><title>T</title><meta name=a><body><article><p>{body}</p></article></body></html>",
+        f"<head><title>T</title><p>{body}</p><p>{body}</p>",
+        f"<head><style>x</style>{body}<p>{body}</p>",
+        f"<body><div class='content with-sidebar'><article><p>{body}</p></article></div></body>",
+        f"<main><div id='page-header-layout'><p>{body}</p></div></main>",
+        f"<div class='with-sidebar'><article><p>{body}</p></article><div class=sidebar><p>{'more ' * 9}</p></div></div><div class=notes><p>{'x ' * 90}</p></div>",
+    ):
+        assert text in html_text.main_text(page) and "T" not in html_text.main_text(page) and "more" not in html_text.main_text(page)
+    comments = f"<article><p>{body}</p></article><div id=comments><p>{'liked ' * 90}</p></div>"
+    assert html_text.main_text(comments) == text
+    beside = f"<article><p>{body}</p></article><div class=sidebar><article><p>{'side ' * 12}</p></article></div>"
+    assert html_text.main_text(beside) == text
+
+
 def test_pages(spark, make):
     pages = [(1, "u", PAGE), (2, None, None), (3, "v", ""), (1, "u", PAGE)]
     got = sorted(map(tuple, QUERIES["op4_html_text"](spark, make(pages=pages)).collect()), key=str)
