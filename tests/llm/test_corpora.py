@@ -160,6 +160,17 @@ def test_model_beats_words_alone(spark, make):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+def test_long_texts_alone_are_learned_from(spark):
+    rng = random.Random(9)
+    long = [(i, " ".join(rng.choice(["a", "b", "c"]) + str(k % 2) for k in range(hidden_markov.START_WORDS + 50))) for i in range(4)]
+    trained, model = hidden_markov.train(spark.createDataFrame(long, "doc_id long, text string"))
+    texts = [trained.symbols.encode(hidden_markov.words_of(t)) for _, t in long]
+    start = hidden_markov.HiddenMarkovModel.first(trained.shares)
+    assert model.log10(texts).sum() > start.log10(texts).sum() + 1
+    trained, model = hidden_markov.train(spark.createDataFrame([], "doc_id long, text string"))
+    assert np.isfinite(model.emit).all()
+
+
 def test_mix_is_what_its_sql_gives(spark, make):
     rng = random.Random(11)
     docs = [(i, "w " * rng.randint(0, 30), "en", rng.choice(["a", "b", "B", None, "é"]), 0) for i in range(300)] + [(1000, "big " * 4000, "en", "b", 0)]
