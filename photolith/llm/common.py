@@ -50,7 +50,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.sparkSession.sparkContext._jvm.System.gc()
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._written_to = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` gave; nothing may read them any more."""
+    for df in tables:
+        jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id: Column | str, modulus: int, remainder: int) -> Column:

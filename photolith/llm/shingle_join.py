@@ -1,35 +1,47 @@
 """N-gram Jaccard join with PartEnum signatures.
 
 A document's set is its distinct 5-word shingles as 64-bit hashes. Equal sets are one class, known by a hash of the
-set, so copies are never expanded. Two sets with Jaccard similarity of 0.75 or more differ in at most
-k = (|A| + |B|) / 7 elements, so if the feature domain is cut into more than k parts, some part holds the same elements
-of both: that part's content is a signature. Sets are compared within bands of sizes from 2^j up to 2^(j+1): the domain
-is cut for the band's largest k (first-level parts, each with second-level parts of which single ones are enumerated),
-and a set whose partners can reach into the next band has that band's signatures too.
+set, so copies are never expanded. Two sets with Jaccard similarity of 0.75 or more differ in at most (|A| + |B|) / 7
+elements, and the larger has at most 4/3 times the size of the smaller.
 
-A part that is empty is no signature: the guarantee holds as long as more than k parts of one of the two sets aren't
-empty, and sets for which that fails (small ones) also get the shingles of a prefix filter as signatures.
+Signatures. Sizes are cut into bands [l, 4/3 l]; a set's partners are in its own band or next to it, so a set has the
+signatures of its band and, where a partner can be larger than the band, those of the next. A band whose sets differ in
+at most k elements cuts the feature domain into n1 first-level parts; among them are n1 - k / (k2 + 1) in which the two
+differ in at most k2 elements. Each is cut into n2 second-level parts, and all subsets of n2 - k2 of them are enumerated:
+in such a first-level part the two sets have the same content in one subset at least, which is the signature they share.
+
+A subset in which a set has no element would be shared with everybody, so it isn't a signature. What this can cost is
+counted: ``least`` is the number of first-level parts in which a set must share a signature with any partner, without
+those in which it has an empty subset. Sets for which it falls below one (small ones) are cut anew with another seed; if
+that fails ``SEEDS`` times, empty subsets are signatures as well.
 
 Signatures are packed per task and range of signatures, as sorted 48-bit numbers with positions in a list of sets, so a
 shuffled signature takes a few bytes. In each range equal signatures are found by sorting:
 
-* up to ``COLD`` sets share one: all their pairs are candidates;
-* more do: it is hot. A set that keeps a signature that isn't hot with each possible partner needs no more (it has fewer
-  hot signatures than must agree, c = parts that aren't empty - k); the others meet the smallest set that shares a hot
-  signature, or several in a row, and in the end those outside their component that share one of their rarest shingles.
+* up to ``COLD`` sets share one: all their pairs are candidates, with the number of signatures they share;
+* more do: it is hot. Of a hot signature no task has more rows than each packing task's first ones; the others are dealt
+  to all ranges and passed through.
+
+Candidates that share fewer signatures, hot ones of either added, than ``least`` can't be linked. The others are checked
+exactly. Sets with fewer hot signatures than ``least`` share a cold one with each partner and are done. The rest meet one
+leader of the hot signatures at a time, by whom large groups of near copies become one component; signatures within one
+component have no more to say. What is left after ``ROUNDS`` rounds, sets made almost wholly of a frequent passage, is
+compared by the rarest shingles: a prefix filter, exact as well.
 
-Candidates lose those whose sketches (counts of elements by parts of the domain) differ by too much. The others are
-checked exactly on the sets, first one partner per set; pairs within a component then needn't be.
+Checks move each set once per block of pairs with one common set; a block is at most a few hundred sets, and a task reads
+them one by one.
 
 Nulls: a null text has no set, links with nothing and is its own component; a null id takes part, and a component's
-name is the smallest id that isn't null. Rows that share an id are documents of their own. Empty tables give no rows.
-Columns besides doc_id and text are ignored.
+smallest id is that of its rows that have one. Repeated rows each get a row. Empty tables give no rows. Columns besides
+doc_id and text are ignored by the join and kept by ``first_of_each``. Texts of any length are taken whole; a task holds
+the sets of ``HELD_SHINGLES`` shingles or of one text.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -38,168 +50,179 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from photolith.llm.common import materialize, partitions, table
+from photolith.llm.common import discard, materialize, partitions, table
 from photolith.llm.components import connected_components
+from photolith.llm.words import mix, word_hashes
 
 N = 5
 NUMERATOR, DENOMINATOR = 75, 100
 COLD = 16
-#: So many hot signatures in a row make sets likely to be linked.
-IN_A_ROW = 3
+SEEDS = 4
+ROUNDS = 4
 #: A task holds so many shingles before it packs their signatures; a range of signatures holds about so many.
 HELD_SHINGLES = 1_500_000
 RANGE_SIGNATURES = 4_000_000
-HELD_WORDS = 400_000
-#: So many sets' keys are broadcast at most when the candidates' sets are gathered; beyond that a join finds them.
+#: Pairs with one common set are checked in blocks of about so many.
+BLOCK = 256
+#: So many rows of (text, block) are broadcast at most when sets are sent to their blocks; beyond that they are joined.
+BROADCAST_ROUTES = 400_000
 BROADCAST_KEYS = 2_000_000
-#: A set of up to so many elements has a sketch of 2^7 parts, one of twice as many twice as many, and so on.
-SKETCH_ROWS, SKETCH_BITS = 512, 7
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Spreads 64-bit numbers (splitmix64's finalizer)."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > HELD_WORDS:
-            self.clear()
-        self[word] = made = xxhash.xxh3_64_intdigest(word)
-        return made
-
-
-_word_hashes = _WordHashes()
-
-
-def shingle_set(text: str | None, n: int = N) -> np.ndarray:
-    """Sorted distinct hashes of the text's n-word shingles; of all its words if there are fewer; empty without words."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < n:
-        return _mix(np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64))
-    hashes = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
-    m = len(words) - n + 1
-    found = hashes[:m].copy()
-    for k in range(1, n):
-        found *= _STEP
-        found += hashes[k : k + m]
-    found = _mix(found)
-    found.sort()
-    new = np.ones(m, bool)
-    np.not_equal(found[1:], found[:-1], out=new[1:])
-    return found[new]
-
-
-def pack_set(shingles: np.ndarray) -> bytes:
-    """A set's hashes, to 40 bits: their sorted first bytes, which compress well, then 32 bits of each.
-
-    Two sets that differ in a few hundred elements take one for another with a chance of about one in ten million."""
-    top = shingles >> _U(24)
-    return (top >> _U(32)).astype(np.uint8).tobytes() + (top & _U(0xFFFFFFFF)).astype(np.uint32).tobytes()
-
-
-def unpack_set(raw: bytes) -> np.ndarray:
-    n = len(raw) // 5
-    return np.frombuffer(raw, np.uint8, n).astype(np.int64) << 32 | np.frombuffer(raw, np.uint8, 4 * n, n).copy().view(np.uint32)
+def shingle_sets(texts: pa.Array, n: int = N) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its n-word shingles; of all its words if there are fewer; empty without words."""
+    words, first = word_hashes(texts)
+    found = np.zeros(0, np.uint64)
+    if len(words) >= n:
+        m = len(words) - n + 1
+        found = words[:m].copy()
+        for k in range(1, n):
+            found *= _STEP
+            found += words[k : k + m]
+        found = mix(found)
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= n:
+            own = found[a : b - n + 1]
+            own.sort()
+            new = own[1:] != own[:-1]
+            out.append(own if new.all() else own[np.concatenate([[True], new])])
+        elif b > a:
+            whole = np.array([b - a], np.uint64)
+            for w in words[a:b]:
+                whole = whole * _STEP + w
+            out.append(mix(whole))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
 
 
 def set_key(shingles: np.ndarray) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))
-
-
-def sketch(shingles: np.ndarray) -> bytes:
-    """How many elements fall in each part: the differences of two sketches add up to no more than the sets differ by.
-
-    Larger sets have more parts, so that a part has a few elements; parts of parts are neighbours, so that a finer sketch
-    can be folded to a coarser one."""
-    bits = SKETCH_BITS + max(0, (len(shingles) // SKETCH_ROWS).bit_length())
-    parts = (shingles >> _U(64 - bits)).astype(np.int64)
-    return np.minimum(np.bincount(parts, minlength=1 << bits), 255).astype(np.uint8).tobytes()
-
-
-def sketch_difference(x: bytes, y: bytes) -> int:
-    p, q = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
-    while len(p) > len(q):
-        p = np.minimum(p[::2] + p[1::2], 255)
-    while len(q) > len(p):
-        q = np.minimum(q[::2] + q[1::2], 255)
-    return int(np.abs(p - q).sum())
-
-
-def band(size: np.ndarray) -> np.ndarray:
-    return np.frexp(np.asarray(size, float))[1] - 1
-
-
-def band_k(j: np.ndarray) -> np.ndarray:
-    """The most elements by which two similar sets of a band can differ."""
-    largest = 2 ** (j.astype(np.int64) + 1) - 1
-    return 2 * largest * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
-
-
-def band_parts(j: np.ndarray) -> np.ndarray:
-    """More parts than k: the more, the rarer a part agrees by chance, and the longer the signatures' list."""
-    k = band_k(j)
-    return np.ceil((k + 1) * np.where(k < 140, 3.0, np.where(k < 280, 1.75, 1.25))).astype(np.int64)
-
-
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, its entry) and (entry's set, least agreeing signatures, band): an entry is a set in one band."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    own_band = band(np.maximum(sizes, 1))
-    reach = sizes * DENOMINATOR // NUMERATOR
-    found, owner, e_set, e_least, e_band = [], [], [], [], []
-    first_entry = 0
-    for up in (0, 1):
-        j = own_band + up
-        chosen = np.flatnonzero((sizes > 0) & ((up == 0) | (band(np.maximum(reach, 1)) > own_band)))
-        if not len(chosen):
-            continue
-        jj, parts, k = j[chosen], band_parts(j[chosen]), band_k(j[chosen])
-        starts = np.cumsum(parts) - parts
-        entry = np.full(len(sets), -1)
-        entry[chosen] = np.arange(len(chosen))
-        e = np.repeat(entry, sizes)
-        own = flat[e >= 0]
-        e = e[e >= 0]
-        seeded = _mix(own ^ (jj[e].astype(np.uint64) * _U(0x9E3779B97F4A7C15)))
-        part = (seeded % parts[e].astype(np.uint64)).astype(np.int64)
-        cell = starts[e] + part
-        content, filled = np.zeros(int(parts.sum()), np.uint64), np.zeros(int(parts.sum()), bool)
-        np.add.at(content, cell, _mix(seeded + _U(0x632BE59BD9B4E019)))
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles))))
+
+
+def differ_at_most(sizes: np.ndarray) -> np.ndarray:
+    """The most elements by which two linked sets can differ, by the sum of their sizes."""
+    return sizes * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
+
+
+def _lower_bounds() -> np.ndarray:
+    """The smallest size of each band: a band reaches as far as the partners of its smallest sets do."""
+    found = [1]
+    while found[-1] < 1 << 40:
+        found.append(found[-1] * DENOMINATOR // NUMERATOR + 1)
+    return np.array(found)
+
+
+LOWER = _lower_bounds()
+
+
+def band(sizes: np.ndarray) -> np.ndarray:
+    return np.searchsorted(LOWER, sizes, side="right") - 1
+
+
+def scheme(j: int) -> tuple[int, int, int]:
+    """(n1, k2, n2) of a band. Parts hold several elements, so that a signature says something; beyond what k asks for,
+    there are some more first-level parts, which make up for empty subsets."""
+    k = int(differ_at_most(2 * (LOWER[j + 1] - 1)))
+    if k <= 3:
+        return 1, k, (1, 4, 6, 6)[k]
+    if k < 12:
+        return k // 3 + 1, 2, 5
+    return k // 2 * 23 // 20 + 2, 1, 3
+
+
+_SCHEMES = np.array([scheme(j) for j in range(len(LOWER) - 1)])
+
+
+class Signatures:
+    """Signatures (found) and the entry each belongs to (owner). An entry is a set in one band: its set, band and ``least``."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        sizes = np.array([len(s) for s in sets], np.int64)
+        own, reach = band(np.maximum(sizes, 1)), sizes * DENOMINATOR // NUMERATOR
+        up = np.flatnonzero((sizes > 0) & (reach >= LOWER[own + 1]))
+        here = np.flatnonzero(sizes > 0)
+        self.set = np.concatenate([here, up])
+        self.band = np.concatenate([own[here], own[up] + 1])
+        largest = np.minimum(reach[self.set], LOWER[self.band + 1] - 1)
+        self._agree = _SCHEMES[self.band, 0] - differ_at_most(sizes[self.set] + largest) // (_SCHEMES[self.band, 1] + 1)
+        self.least = np.zeros(len(self.set), np.int64)
+        self._found, self._owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        at = np.repeat(np.arange(len(sets)), sizes)
+        todo = np.arange(len(self.set))
+        for seed in range(SEEDS):
+            for chosen in (todo[todo < len(here)], todo[todo >= len(here)]):
+                kinds = _SCHEMES[self.band[chosen], 1] * 8 + _SCHEMES[self.band[chosen], 2]
+                for kind in np.unique(kinds):
+                    self._enumerate(flat, at, len(sets), chosen[kinds == kind], seed)
+            todo = todo[self.least[todo] < 1]
+            if not len(todo):
+                break
+            if seed + 1 < SEEDS:  # only these sets' elements from here on
+                keep = np.zeros(len(sets), bool)
+                keep[self.set[todo]] = True
+                flat, at = flat[keep[at]], at[keep[at]]
+        # a set that is cut anew must share one signature
+        self.least = np.maximum(self.least, 1)
+        self.found, self.owner = np.concatenate(self._found), np.concatenate(self._owner)
+
+    def _enumerate(self, flat: np.ndarray, at: np.ndarray, n_sets: int, chosen: np.ndarray, seed: int) -> None:
+        """The signatures of some entries, at most one a set, whose bands have one k2 and n2."""
+        bands = self.band[chosen]
+        n1, (_, k2, n2) = _SCHEMES[bands, 0], _SCHEMES[bands[0]]
+        k2, n2 = int(k2), int(n2)
+        starts = np.cumsum(n1) - n1
+        entry = np.full(n_sets, -1)
+        entry[self.set[chosen]] = np.arange(len(chosen))
+        e = entry[at]
+        if (e < 0).any():
+            flat, e = flat[e >= 0], e[e >= 0]
+        code = mix((bands * SEEDS + seed).astype(np.uint64) + _U(1))
+        x = mix(flat ^ code[e])
+        cell = ((x >> _U(32)) * n1.astype(np.uint64)[e] >> _U(32)).astype(np.int64)
+        cell += starts[e]
+        cell *= n2
+        cell += ((x & _U(0xFFFFFFFF)) * _U(n2) >> _U(32)).astype(np.int64)
+        content, filled = np.zeros(int(n1.sum()) * n2, np.uint64), np.zeros(int(n1.sum()) * n2, bool)
+        np.add.at(content, cell, x * _STEP ^ x >> _U(29))
         filled[cell] = True
-        cells = np.flatnonzero(filled)
-        c_entry = np.repeat(np.arange(len(chosen)), parts)[cells]
-        place = (cells - starts[c_entry]).astype(np.uint64)
-        found.append(_mix(content[cells] + _mix(place * _U(64) + jj[c_entry].astype(np.uint64))))
-        owner.append(c_entry + first_entry)
-        least = np.bincount(c_entry, minlength=len(chosen)) - k
-        for poor in np.flatnonzero(least < 1):
-            s = sets[chosen[poor]]
-            prefix = s[: len(s) - -(-len(s) * NUMERATOR // DENOMINATOR) + 1]
-            found.append(_mix(prefix + _mix(_U(1 << 20) + jj[poor : poor + 1].astype(np.uint64))))
-            owner.append(np.full(len(prefix), poor + first_entry))
-        e_set.append(chosen)
-        e_least.append(np.maximum(least, 1))
-        e_band.append(jj)
-        first_entry += len(chosen)
-    if not found:
-        z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), z, z, z, z
-    return np.concatenate(found), np.concatenate(owner), np.concatenate(e_set), np.concatenate(e_least), np.concatenate(e_band)
-
-
-def pack(found: np.ndarray, owner: np.ndarray, keys: np.ndarray, least: np.ndarray, bands: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
-    """Signatures by range, each range as sorted 48-bit numbers and positions in a list of its entries."""
+        content, filled = mix(content).reshape(-1, n2), filled.reshape(-1, n2)
+        of = np.repeat(np.arange(len(chosen)), n1)
+        part = mix(code[of] + (np.arange(len(of)) - starts[of]).astype(np.uint64) * _STEP)
+        empty = np.bincount(of[(~filled).sum(1) >= n2 - k2], minlength=len(chosen))
+        if seed == 0:
+            self.least[chosen] = self._agree[chosen] - empty
+        else:
+            self.least[chosen] = np.where(self._agree[chosen] - empty > 0, 1, 0)
+        last = self.least[chosen][of] < 1 if seed + 1 == SEEDS else np.zeros(len(of), bool)
+        for k, subset in enumerate(combinations(range(n2), n2 - k2)):
+            value, some = part + _U(k), last.copy()
+            for sub in subset:
+                value = value + content[:, sub] * _U(2 * sub + 3)
+                some |= filled[:, sub]
+            self._found.append(mix(value[some]))
+            self._owner.append(chosen[of[some]])
+
+
+def pack(found: np.ndarray, owner: np.ndarray, keys: np.ndarray, sizes: np.ndarray, least: np.ndarray, bands: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
+    """Signatures by range, each range as sorted 48-bit numbers and positions in a list of its entries.
+
+    Of a signature that more than ``COLD`` sets share here already, only the first stay in its range; the others go,
+    as they are, to one of as many ranges behind the last."""
     order = np.argsort(found, kind="stable")
     found, owner = found[order], owner[order]
     of = ((found >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
+    if len(found) > COLD + 1:
+        more = np.zeros(len(found), bool)
+        more[COLD + 1 :] = found[COLD + 1 :] == found[: -COLD - 1]
+        salt = int(mix(keys[owner[:1]].astype(np.uint64))[0] % _U(ranges))
+        of[more] = ranges + (of[more] + salt) % ranges
+        order = np.argsort(of, kind="stable")
+        found, owner, of = found[order], owner[order], of[order]
     borders = np.flatnonzero(np.diff(of)) + 1
     for a, b in zip([0, *borders], [*borders, len(of)], strict=True):
         if a == b:
@@ -211,56 +234,80 @@ def pack(found: np.ndarray, owner: np.ndarray, keys: np.ndarray, least: np.ndarr
         steps = zlib.compress(np.diff(high, prepend=high[0]).astype(np.uint16).tobytes(), 1)
         yield int(of[a]), b"".join(
             [
-                head, keys[entries].astype(np.int64).tobytes(), np.minimum(least[entries], 65535).astype(np.uint16).tobytes(),
-                bands[entries].astype(np.uint8).tobytes(), (top & _U(0xFFFFFFFF)).astype(np.uint32).tobytes(),
-                place.astype(np.uint32 if len(entries) > 65535 else np.uint16).tobytes(), steps,
+                head, keys[entries].astype(np.int64).tobytes(), sizes[entries].astype(np.uint32).tobytes(),
+                np.minimum(least[entries], 65535).astype(np.uint16).tobytes(), bands[entries].astype(np.uint8).tobytes(),
+                (top & _U(0xFFFFFFFF)).astype(np.uint32).tobytes(), place.astype(np.uint32 if len(entries) > 65535 else np.uint16).tobytes(), steps,
             ]
         )
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, ...]:
-    """(signature, key, least, band), a row per signature."""
+    """(signature, key, size, least, band), a row per signature."""
     entries, n, first = np.frombuffer(raw, np.uint32, 3)
     entries, n, at = int(entries), int(n), 12
     parts = []
-    for kind, length in ((np.int64, entries), (np.uint16, entries), (np.uint8, entries), (np.uint32, n), (np.uint32 if entries > 65535 else np.uint16, n)):
+    for kind, length in ((np.int64, entries), (np.uint32, entries), (np.uint16, entries), (np.uint8, entries), (np.uint32, n), (np.uint32 if entries > 65535 else np.uint16, n)):
         parts.append(np.frombuffer(raw, kind, length, at))
         at += parts[-1].nbytes
-    keys, least, bands, low, place = parts
+    keys, sizes, least, bands, low, place = parts
     high = int(first) + np.cumsum(np.frombuffer(zlib.decompress(raw[at:]), np.uint16).astype(np.int64))
-    return high.astype(np.uint64) << _U(32) | low, keys[place], least[place], bands[place]
+    return high.astype(np.uint64) << _U(32) | low, keys[place], sizes[place], least[place], bands[place]
+
 
+_FOUND = "a long, b long, shared int, least_a int, least_b int, up_a boolean, up_b boolean"
 
-def meet(found: np.ndarray, keys: np.ndarray, least: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-    """Of one range: candidate pairs from signatures that few sets share (smaller key first), and the rows of hot ones."""
+
+def meet(found: np.ndarray, keys: np.ndarray, sizes: np.ndarray, least: np.ndarray, bands: np.ndarray, every_hot: bool = False) -> pa.Table:
+    """Of one range: candidate pairs (a < b) with the signatures they share here; for hot ones rows (a: set, b: signature, shared: 0).
+
+    Of two sets in one band's signatures one at least belongs to the band: two that reach up from below meet there."""
+    up = sizes < LOWER[bands]
     order = np.lexsort((keys, found))
-    found, keys, least, bands = found[order], keys[order], least[order], bands[order]
-    keep = np.ones(len(found), bool)
-    keep[1:] = (found[1:] != found[:-1]) | (keys[1:] != keys[:-1])
-    found, keys, least, bands = found[keep], keys[keep], least[keep], bands[keep]
-    starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else np.zeros(0, np.int64)
-    counts = np.diff(np.r_[starts, len(found)])
-    pairs = []
-    for m in np.unique(counts[(counts > 1) & (counts <= COLD)]):
+    keep = np.ones(len(order), bool)
+    keep[1:] = (found[order[1:]] != found[order[:-1]]) | (keys[order[1:]] != keys[order[:-1]])
+    order = order[keep]
+    found = found[order]
+    starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(starts, len(found)))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for m in () if every_hot else np.unique(counts[(counts > 1) & (counts <= COLD)]):
         at = starts[counts == m]
-        pairs += [np.column_stack([keys[at + x], keys[at + y]]) for x in range(m) for y in range(x + 1, m)]
-    cold = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-    hot = np.repeat(counts > COLD, counts)
-    return cold, (found[hot].astype(np.int64), keys[hot], least[hot], bands[hot])
+        for x in range(m):
+            for y in range(x + 1, m):
+                p, q = order[at + x], order[at + y]
+                s, t = np.minimum(sizes[p], sizes[q]).astype(np.int64), np.maximum(sizes[p], sizes[q]).astype(np.int64)
+                can = (DENOMINATOR * s >= NUMERATOR * t) & ~(up[p] & up[q])
+                left.append(p[can])
+                right.append(q[can])
+    p, q = np.concatenate(left), np.concatenate(right)
+    by = np.lexsort((keys[q], keys[p]))
+    p, q = p[by], q[by]
+    new = np.flatnonzero(np.concatenate([[True], (keys[p[1:]] != keys[p[:-1]]) | (keys[q[1:]] != keys[q[:-1]])])) if len(p) else np.zeros(0, np.int64)
+    shared = np.diff(np.append(new, len(p)))
+    p, q = p[new], q[new]
+    h = order if every_hot else order[np.repeat(counts > COLD, counts)]
+    none = np.zeros(len(h), np.int64)
+    columns = [
+        np.concatenate([keys[p], keys[h]]), np.concatenate([keys[q], (found if every_hot else found[np.repeat(counts > COLD, counts)]).astype(np.int64)]),
+        np.concatenate([shared, none]), np.concatenate([least[p], least[h]]), np.concatenate([least[q], none]),
+        np.concatenate([up[p], up[h]]), np.concatenate([up[q], none > 0]),
+    ]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "shared", "least_a", "least_b", "up_a", "up_b"])
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_shingles, key, sketch); key and sketch are null for an empty set."""
+    """(doc_id, text) -> (doc_id, n_shingles, key, text_hash); key is null for an empty set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+            sets = shingle_sets(batch.column(1))
             keys = [set_key(s) if len(s) else None for s in sets]
-            sketches = [sketch(s) if len(s) else None for s in sets]
-            columns = [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "sketch"])
+            columns = [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.int64()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_shingles long, key long, sketch binary")
+    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    return texts.mapInArrow(rows, "doc_id long, n_shingles long, key long, text_hash long")
 
 
 def packed_signatures(docs: DataFrame, ranges: int) -> DataFrame:
@@ -271,16 +318,15 @@ def packed_signatures(docs: DataFrame, ranges: int) -> DataFrame:
         size = 0
 
         def out() -> pa.RecordBatch:
-            keys = np.array(list(held), np.int64)
-            found, owner, e_set, least, bands = signatures(list(held.values()))
-            made = list(pack(found, owner, keys[e_set], least, bands, ranges))
+            keys, sets = np.array(list(held), np.int64), list(held.values())
+            s = Signatures(sets)
+            made = list(pack(s.found, s.owner, keys[s.set], np.array([len(x) for x in sets])[s.set], s.least, s.band, ranges))
             return pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.binary())], ["range", "packed"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                shingles = shingle_set(text)
+            for shingles in shingle_sets(batch.column(0)):
                 if len(shingles) and (key := set_key(shingles)) not in held:
-                    held[key] = shingles
+                    held[key] = shingles.copy()
                     size += len(shingles)
                     if size >= HELD_SHINGLES:
                         yield out()
@@ -293,163 +339,147 @@ def packed_signatures(docs: DataFrame, ranges: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, ranges: int) -> DataFrame:
-    """(text) -> candidate pairs (a, b) of keys with hot null, and rows (a: key, b: signature, least, band) of hot signatures."""
+    """(text) -> rows of ``meet``."""
 
     def meet_range(rows: pa.Table) -> pa.Table:
         parts = [unpack(raw) for raw in rows.column("packed").to_pylist()]
-        cold, hot = meet(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-        n, m = len(cold), len(hot[0])
-        return pa.table(
-            {
-                "a": pa.array(np.r_[cold[:, 0], hot[1]], pa.int64()),
-                "b": pa.array(np.r_[cold[:, 1], hot[0]], pa.int64()),
-                "least": pa.array(np.r_[np.zeros(n, np.int64), hot[2]], pa.int32()),
-                "band": pa.array(np.r_[np.zeros(n, np.int64), hot[3]], pa.int32()),
-            }
-        )
-
-    packed = packed_signatures(docs, ranges)
-    return packed.groupBy("range").applyInArrow(meet_range, "a long, b long, least int, band int")
-
-
-def gather_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, shingles) for each of ``keys`` (key, root: a document that has the set)."""
-    spark = docs.sparkSession
-    n = keys.count()
-    wanted = None
-    if n <= BROADCAST_KEYS:  # a size that is known; beyond it all sets go to the join below
-        found = keys.select("key").toArrow().column(0).to_numpy()
-        wanted = spark.sparkContext.broadcast(np.sort(found))
+        return meet(*(np.concatenate(c) for c in zip(*parts, strict=True)), every_hot=rows.column("range")[0].as_py() >= ranges)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
-        for batch in batches:
-            out_keys, out_sets = [], []
-            for text in batch.column(0).to_pylist():
-                shingles = shingle_set(text)
-                if not len(shingles):
-                    continue
-                key = set_key(shingles)
-                if wanted is not None:
-                    at = int(np.searchsorted(wanted.value, key))
-                    if at == len(wanted.value) or wanted.value[at] != key:
-                        continue
-                if key in sent:
-                    continue
-                sent.add(key)
-                out_keys.append(key)
-                out_sets.append(pack_set(shingles))
-            yield pa.RecordBatch.from_arrays([pa.array(out_keys, pa.int64()), pa.array(out_sets, pa.binary())], ["key", "shingles"])
-
-    found = docs.select("text").mapInArrow(rows, "key long, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
-    if wanted is None:
-        found = found.join(keys.select("key"), "key", "left_semi")
-    return found
-
-
-def possible_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches allow a link: no linked pair is lost, and hardly another one stays."""
-    of = lambda side: classes.select(F.col("key").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+    return packed_signatures(docs, ranges).groupBy("range").applyInArrow(meet_range, _FOUND)
 
-    @F.pandas_udf("long")
-    def differ(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([sketch_difference(p, q) for p, q in zip(x, y, strict=True)], dtype="int64")
 
-    sized = pairs.join(of("a"), "a").join(of("b"), "b").where(DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b"))
-    allowed = (DENOMINATOR - NUMERATOR) * (F.col("n_a") + F.col("n_b"))
-    return sized.where((DENOMINATOR + NUMERATOR) * differ("sketch_a", "sketch_b") <= allowed).select("a", "b")
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts of ``wanted`` (key, first, text_hash, ...): (text, then the columns of ``wanted``). Equal texts come once, but for rows with one id."""
+    few = wanted.count() <= BROADCAST_ROUTES
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text", F.xxhash64("text").alias("_hash"))
+    same = (F.col("_hash") == F.col("text_hash")) & F.col("_id").eqNullSafe(F.col("first"))
+    return texts.join(F.broadcast(wanted) if few else wanted, same).select("text", *wanted.columns)
 
 
-def check_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) -> with shared and union sizes of the two sets, exactly."""
-    with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("set_a")), "a")
-    both = with_a.join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
+def linked_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose sets are linked. ``a`` is the common set of a block, and its blocks are salted."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("salt"))
+    ends = F.array(F.struct(F.col("a").alias("key"), F.lit(False).alias("is_b")), F.struct(F.col("b").alias("key"), F.lit(True).alias("is_b")))
+    routes = dealt.select("a", "salt", F.explode(ends).alias("end")).select("a", "salt", "end.key", "end.is_b").distinct()
+    routes = materialize(routes.join(classes.select("key", "first", "text_hash"), "key"), "routes")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, union = [], []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = unpack_set(x.as_py()), unpack_set(y.as_py())
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                shared.append(int((q[at] == p).sum()))
-                union.append(len(p) + len(q) - shared[-1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "shared", "union"]
-            )
-
-    return both.mapInArrow(rows, "a long, b long, shared long, union long")
-
-
-LINKED = f"{DENOMINATOR} * shared >= {NUMERATOR} * union"
+            found = pa.array([s.tobytes() for s in shingle_sets(batch.column(0))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], found], ["a", "salt", "is_b", "key", "shingles"])
 
-
-def find_links(docs: DataFrame, meta: DataFrame, classes: DataFrame) -> DataFrame:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, of = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            left, right = [], []
+            a, salt, is_b, key = (batch.column(k).to_pylist() for k in range(4))
+            for k, raw in enumerate(batch.column(4)):
+                shingles = np.frombuffer(raw.as_buffer(), np.uint64)
+                if not is_b[k]:
+                    block, of = (a[k], salt[k]), shingles
+                elif block == (a[k], salt[k]):
+                    small, large = (of, shingles) if len(of) < len(shingles) else (shingles, of)
+                    shared = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+                    if DENOMINATOR * shared >= NUMERATOR * (len(of) + len(shingles) - shared):
+                        left.append(a[k])
+                        right.append(key[k])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    sent = _sets_of(docs, routes).select("text", "a", "salt", "is_b", "key").mapInArrow(sets, "a long, salt int, is_b boolean, key long, shingles binary")
+    sent = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "is_b")
+    return sent.mapInArrow(check, "a long, b long").distinct()
+
+
+def find_links(docs: DataFrame, n_shingles: int, classes: DataFrame) -> DataFrame:
     """(node, component) over keys of sets: the classes that links join."""
     spark = docs.sparkSession
-    total = meta.agg(F.sum("n_shingles")).first()[0] or 0
-    ranges = int(max(partitions(spark), total // RANGE_SIGNATURES + 1))
-    found = materialize(candidates(docs, min(ranges, 1 << 16)), "candidates")
-    cold = found.where("least = 0").groupBy("a", "b").agg(F.count("*").alias("ranges"))
-    hot = found.where("least > 0").select(F.col("a").alias("key"), F.col("b").alias("signature"), "least", "band")
-    # only sets with at least as many hot signatures as must agree can miss their partners among the cold pairs
-    # (there), and of such a set's hot signatures all but least - 1 must hold one that agrees: the most frequent go
-    shares = hot.groupBy("signature").agg(F.count("*").alias("sets"))
-    ranked = hot.join(shares, "signature")
-    w = Window.partitionBy("key", "band")
-    ranked = ranked.withColumn("n", F.count("*").over(w)).where("n >= least").withColumn("place", F.row_number().over(w.orderBy("sets", "signature")))
-    hot = materialize(ranked.where("place <= n - least + 1").select("key", "band", "signature"), "hot-signatures")
-    leaders = hot.groupBy("signature").agg(F.min("key").alias("leader"))
-    stars = hot.join(leaders, "signature").where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    # sets that agree in several hot signatures in a row are likelier to be linked: they meet the smallest of their kind
-    # too, so that large groups of near copies grow together before anything is compared across components
-    row = Window.partitionBy("key", "band").orderBy("signature")
-    combined = F.xxhash64("band", *[F.lead("signature", k).over(row) for k in range(IN_A_ROW)])
-    alike = hot.select("key", combined.alias("alike"), F.lead("signature", IN_A_ROW - 1).over(row).alias("_last")).where("_last is not null").select("key", "alike")
-    smallest = alike.groupBy("alike").agg(F.min("key").alias("a"))
-    closer = alike.join(smallest, "alike").where("key <> a").select("a", F.col("key").alias("b"))
-    stars = materialize(stars.unionAll(closer).distinct(), "stars")
-    cold = materialize(cold.select("a", "b"), "cold-pairs")
-    near = materialize(possible_pairs(cold.unionAll(stars).distinct(), classes), "near-pairs")
-    keys = near.select(F.col("a").alias("key")).unionAll(near.select("b")).unionAll(hot.select("key")).distinct()
-    sets = materialize(gather_sets(docs, keys), "candidate-sets")
-    linked = lambda pairs: check_pairs(pairs, sets).where(LINKED).select("a", "b")
+    ranges = int(max(partitions(spark), n_shingles * 5 // 4 // RANGE_SIGNATURES + 1))
+    found = materialize(candidates(docs, ranges), "candidates")
+    hot = found.where("shared = 0").select(F.col("a").alias("key"), F.col("b").alias("signature"), F.col("least_a").alias("least"), F.col("up_a").alias("up"))
+    hot_of = materialize(hot.groupBy("key", "up").agg(F.count("*").alias("hot")), "hot-counts")
+    of = lambda side: hot_of.select(F.col("key").alias(side), F.col("up").alias(f"up_{side}"), F.col("hot").alias(f"hot_{side}"))
+    cold = found.where("shared > 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), *[F.max(c).alias(c) for c in ("least_a", "least_b", "up_a", "up_b")])
+    cold = cold.join(of("a"), ["a", "up_a"], "left").join(of("b"), ["b", "up_b"], "left")
+    enough = lambda side: F.col("shared") + F.coalesce(f"hot_{side}", F.lit(0)) >= F.col(f"least_{side}")
+    near = materialize(cold.where(enough("a") & enough("b")).select("a", "b"), "near-pairs")
+    hot = materialize(_unresolved(hot.withColumn("component", F.col("key"))), "hot-signatures")
+    discard(found)
     # one partner for each set first: most other pairs then lie within a component
     first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = materialize(linked(first), "first-links")
-    component = materialize(connected_components(links), "components")
-    more = materialize(linked(_apart(near.join(first, ["a", "b"], "left_anti"), component)), "more-links")
-    component = _grown(component, more)
-    across = possible_pairs(_across(sets, hot, component), classes)
-    return _grown(component, materialize(linked(across), "links-across"))
-
-
-def _grown(component: DataFrame, links: DataFrame) -> DataFrame:
-    """The components that ``component`` and further links make."""
+    first = materialize(first.unionAll(_led(hot, 0)).distinct(), "first-pairs")
+    component = materialize(connected_components(materialize(linked_pairs(docs, classes, first), "first-links")), "components")
+    component = _grown(docs, classes, component, _apart(near.join(first, ["a", "b"], "left_anti"), component))
+    left = None
+    for k in range(ROUNDS):
+        named = hot.drop("component").join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        hot = materialize(_unresolved(named), "hot-signatures")
+        left, before = hot.count(), left
+        if not left or before and left > 0.9 * before:
+            break
+        component = _grown(docs, classes, component, _led(hot, k + 1))
+    if left:
+        named = hot.drop("component").join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        hot = materialize(_unresolved(named), "hot-signatures")
+        component = _grown(docs, classes, component, _across(docs, classes, hot))
+    return component
+
+
+def _unresolved(hot: DataFrame) -> DataFrame:
+    """The hot rows (key, signature, least, up, component) of sets that may be linked to one outside their component.
+
+    Such a set shares ``least`` hot signatures with the other, and each is found in two components, one of them with a
+    set of the signature's own band."""
+    for _ in range(2):
+        mixed = hot.groupBy("signature").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.min("up").alias("_up"))
+        hot = hot.join(mixed.where("_low <> _high and not _up").select("signature"), "signature")
+        many = hot.groupBy("key", "up").agg(F.count("*").alias("_n"), F.max("least").alias("_least")).where("_n >= _least").select("key", "up")
+        hot = hot.join(many, ["key", "up"]).select("key", "signature", "least", "up", "component")
+    return hot
+
+
+def _led(hot: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): of each set in hot signatures the leader that it has most of them in common with. A signature's leader is
+    one of its band's sets, another one each turn."""
+    order = F.when(~F.col("up"), F.struct(F.xxhash64("key", F.lit(turn)).alias("place"), "key", "component"))
+    leaders = hot.groupBy("signature").agg(F.min(order).alias("leader")).where("leader is not null")
+    pairs = hot.join(leaders, "signature").where("component <> leader.component").groupBy("key", F.col("leader.key").alias("leader")).agg(F.count("*").alias("n"))
+    best = pairs.groupBy("key").agg(F.max_by("leader", F.struct("n", "leader")).alias("a"))
+    return best.select("a", F.col("key").alias("b"))
+
+
+def _grown(docs: DataFrame, classes: DataFrame, component: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The components that ``component`` and the links among ``pairs`` make."""
+    pairs = materialize(pairs, "pairs")
+    if pairs.isEmpty():
+        return component
+    links = materialize(linked_pairs(docs, classes, pairs), "links")
     if links.isEmpty():
         return component
     known = component.select(F.col("node").alias("a"), F.col("component").alias("b"))
     return materialize(connected_components(known.unionAll(links)), "components")
 
 
-def _across(sets: DataFrame, hot: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs of hot sets in different components that can be linked: they share one of their rarest shingles.
+def _across(docs: DataFrame, classes: DataFrame, hot: DataFrame) -> DataFrame:
+    """Pairs of sets with hot signatures, in different components, that can be linked: they share one of their rarest shingles.
 
     Of two sets that are linked each has three quarters of its shingles in the other, so with all shingles in one order,
     the rarest first, the first quarter of one and that of the other (and one more) have one in common. What a passage
     gives to many documents is left behind there. The rows of a shingle's most frequent component meet only the others.
     """
-    keys = hot.select("key").distinct()
+    keys = materialize(hot.select("key", "component").distinct().join(classes.select("key", "first", "text_hash"), "key"), "hot-sets")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [unpack_set(x.as_py()) for x in part.column(1)]
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                found = shingle_sets(part.column(0))
                 sizes = np.array([len(f) for f in found])
-                columns = np.repeat(part.column(0).to_numpy(), sizes), np.concatenate(found) if found else np.zeros(0, np.int64), np.repeat(sizes, sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32())], ["key", "shingle", "size"])
+                of, component = (np.repeat(part.column(k).to_numpy(), sizes) for k in (1, 2))
+                shingles = np.concatenate(found).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(component, pa.int64()), pa.array(shingles, pa.int64()), pa.array(np.repeat(sizes, sizes), pa.int32())], ["key", "component", "shingle", "size"])
 
-    every = sets.join(keys, "key", "left_semi").select("key", "shingles").mapInArrow(rows, "key long, shingle long, size int")
+    every = _sets_of(docs, keys).select("text", "key", "component").mapInArrow(rows, "key long, component long, shingle long, size int").distinct()
     several_sets = every.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1")
     # a set's shingles that no other has come first in its order, so only their number matters
     ranked = every.join(several_sets, "shingle")
@@ -457,8 +487,7 @@ def _across(sets: DataFrame, hot: DataFrame, component: DataFrame) -> DataFrame:
     alone = F.col("size") - F.count("*").over(w)
     place = alone + F.row_number().over(w.orderBy("sets", "shingle"))
     last = F.col("size") - F.ceil(F.col("size") * NUMERATOR / DENOMINATOR) + 1
-    kept = ranked.withColumn("place", place).where(F.col("place") <= last).select("key", "shingle", "place", "size")
-    kept = kept.join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    kept = ranked.withColumn("place", place).where(F.col("place") <= last).select("key", "component", "shingle", "place", "size")
     kept = materialize(kept, "rare-shingles")
     most = kept.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("components"))
     several = most.where("components > 1").select("shingle", "most")
@@ -482,9 +511,10 @@ def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
 def _joined(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, key, component, component_id); key and component are null for an empty set."""
     meta = materialize(document_sets(docs), "shingle-sets")
-    classes = meta.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("head")
+    classes = meta.where("key is not null").groupBy("key").agg(head).select("key", F.col("head.doc_id").alias("first"), "head.text_hash")
     classes = materialize(classes, "classes")
-    component = find_links(docs, meta, classes)
+    component = find_links(docs, meta.agg(F.sum("n_shingles")).first()[0] or 0, classes)
     named = classes.select("key", "first").join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     of_key = named.join(smallest, "component").select("key", "component", "component_id")
@@ -528,7 +558,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
 def _key_of(column: str) -> Column:
     @F.pandas_udf("long")
     def key(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: set_key(x) if len(x := shingle_set(t)) else None).astype("Int64")
+        return pd.Series([set_key(x) if len(x) else None for x in shingle_sets(pa.array(texts, pa.string()))], dtype="Int64")
 
     return key(column)
 
