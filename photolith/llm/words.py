@@ -108,3 +108,20 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw, offsets = utf8(texts)
     starts, ends = bounds(raw, offsets)
     return hashes(raw, starts, ends), np.searchsorted(starts, offsets)
+
+
+def last_bytes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Each word's last three bytes (or as many as it has) as a number."""
+    found = _LOWER[raw[ends - 1]].astype(np.int32)
+    for k in (2, 3):
+        at = ends - k
+        has = at >= starts
+        found[has] |= _LOWER[raw[at[has]]].astype(np.int32) << 8 * (k - 1)
+    return found
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mixed hash, last bytes) of every word, and each text's first word as in ``word_hashes``."""
+    raw, offsets = utf8(texts)
+    starts, ends = bounds(raw, offsets)
+    return mix(hashes(raw, starts, ends)), last_bytes(raw, starts, ends), np.searchsorted(starts, offsets)

@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 
-from photolith.llm import hidden_markov, shingle_join
+from photolith.llm import hidden_markov, shingle_join, words
 from photolith.llm.components import connected_components
 from photolith.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.conftest import ODD
@@ -154,19 +154,66 @@ def test_forward_and_baum_welch():
     rng = np.random.default_rng(3)
     shares = np.full(hidden_markov.SYMBOLS, 1 / hidden_markov.SYMBOLS)
     model = hidden_markov.HiddenMarkovModel.first(shares)
-    texts = [rng.integers(0, 50, n).astype(np.int32) for n in (1, 7, 7, 3, 20)]
-    assert np.allclose(model.log10(texts), [brute_likelihood(model, t) for t in texts], rtol=1e-4)
+    texts = [rng.integers(0, 50, n).astype(np.uint16) for n in (1, 7, 7, 3, 20)]
+    assert np.allclose(model.log10(texts), [brute_likelihood(model, t) for t in texts], rtol=1e-12)
+    assert np.allclose(model.expected(texts)[2][:50], brute_emissions(model, texts)[:50], rtol=1e-9)
     before = -np.inf
     for _ in range(5):
-        starts, moves, seen, by_symbol, log10 = model.expected(texts)
-        assert math.isclose(starts.sum(), len(texts), rel_tol=1e-4) and math.isclose(by_symbol.sum(), sum(map(len, texts)), rel_tol=1e-4)
-        assert math.isclose(moves.sum(), sum(len(t) - 1 for t in texts), rel_tol=1e-4) and log10 >= before - 1e-3
+        starts, moves, emits, log10 = model.expected(texts)
+        assert math.isclose(starts.sum(), len(texts), rel_tol=1e-9) and math.isclose(emits.sum(), sum(map(len, texts)), rel_tol=1e-9)
+        assert math.isclose(moves.sum(), sum(len(t) - 1 for t in texts), rel_tol=1e-9) and log10 >= before - 1e-9
         before = log10
-        emits = np.zeros((hidden_markov.SYMBOLS, hidden_markov.STATES))
-        emits[seen] = by_symbol
         model = hidden_markov.HiddenMarkovModel.from_counts(starts, moves, emits + 1e-12, shares * 1e-9)
 
 
+def brute_emissions(model, texts):
+    """Expected emissions by the two unscaled recursions."""
+    out = np.zeros_like(model.emit)
+    for text in texts:
+        forward = [model.start * model.emit[text[0]]]
+        for symbol in text[1:]:
+            forward.append((forward[-1] @ model.move) * model.emit[symbol])
+        back = np.ones(len(model.start))
+        for t in range(len(text) - 1, -1, -1):
+            out[text[t]] += forward[t] * back / forward[-1].sum()
+            back = model.move @ (model.emit[text[t]] * back)
+    return out
+
+
+def test_score_of_the_query_is_the_likelihood(spark, make):
+    """On a tiny corpus: emissions times shares within classes, summed over all paths of states."""
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choice(["The", "cat", "sat", "mat", "é"]) for _ in range(rng.randint(0, 6)))) for i in range(40)] + [(41, "never seen words the")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("train", ~hidden_markov.held_out("doc_id", 7, 2))
+    trained = hidden_markov.count(frame)
+    encoded = hidden_markov.encode(frame, trained).cache()
+    model, _ = hidden_markov.fit(encoded, trained)
+    got = {r["doc_id"]: r["score"] for r in hidden_markov.score_texts(encoded, trained, model).collect()}
+    counts = Counter(w for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2 for w in t.encode().lower().split())
+    for i, text in docs:
+        total, state = 0.0, None
+        for w in [*text.encode().lower().split(), None]:
+            symbol = _symbol(trained, w) if w else hidden_markov.END
+            if w and symbol > hidden_markov.CLASSES:  # a word with a symbol of its own, and its share
+                assert math.isclose(trained.shares[symbol] / trained.shares[0], (counts[w] + 1) / (trained.n_end + 1))
+            elif w:
+                total += math.log10((counts[w] + 1) / trained.class_total[symbol - 1])
+            emit = model.emit[symbol]
+            state = (model.start if state is None else state @ model.move) * emit
+        assert math.isclose(got[i], total + math.log10(state.sum()), rel_tol=1e-9)
+    both = spark.createDataFrame(docs, "doc_id long, text string")
+    again = {r["doc_id"]: r["score"] for r in hidden_markov.score_documents(both).collect()}
+    assert again == got
+
+
+def _symbol(trained, word):
+    import pyarrow as pa
+
+    pieces, endings, _ = words.words_of(pa.array([word.decode()]))
+    place = trained.lexicon.find(pieces)[0]
+    return int(trained.lexicon.values["symbol"][place]) if place >= 0 else 1 + int(hidden_markov.word_class(endings)[0])
+
+
 def test_model_beats_words_alone(spark, make):
     rng = random.Random(9)
     kinds = [[f"{k}{c}" for c in "abcdefghij"] for k in ("red", "blue", "green")]
@@ -177,13 +224,21 @@ def test_model_beats_words_alone(spark, make):
 
 def test_long_texts_alone_are_learned_from(spark):
     rng = random.Random(9)
-    long = [(i, " ".join(rng.choice(["a", "b", "c"]) + str(k % 2) for k in range(hidden_markov.START_WORDS + 50))) for i in range(4)]
-    trained, model = hidden_markov.train(spark.createDataFrame(long, "doc_id long, text string"))
-    texts = [trained.symbols.encode(hidden_markov.words_of(t)) for _, t in long]
+    schema = "doc_id long, text string, train boolean"
+    long = [(i, " ".join(rng.choice(["a", "b", "c"]) + str(k % 2) for k in range(hidden_markov.START_WORDS + 50)), True) for i in range(4)]
+    docs = spark.createDataFrame(long, schema)
+    trained = hidden_markov.count(docs)
+    encoded = hidden_markov.encode(docs, trained).cache()
+    model, rounds = hidden_markov.fit(encoded, trained)
+    assert rounds == hidden_markov.ROUNDS
+    texts = [np.frombuffer(r[0], np.uint16) for r in encoded.where("symbols is not null").select("symbols").collect()]
+    assert [len(t) for t in texts] == [hidden_markov.START_WORDS + 51] * 4
     start = hidden_markov.HiddenMarkovModel.first(trained.shares)
     assert model.log10(texts).sum() > start.log10(texts).sum() + 1
-    trained, model = hidden_markov.train(spark.createDataFrame([], "doc_id long, text string"))
-    assert np.isfinite(model.emit).all()
+    none = spark.createDataFrame([], schema)
+    trained = hidden_markov.count(none)
+    model, rounds = hidden_markov.fit(hidden_markov.encode(none, trained), trained)
+    assert np.isfinite(model.emit).all() and rounds == 0
 
 
 def test_mix_is_what_its_sql_gives(spark, make):
