@@ -11,9 +11,9 @@ differ in at most k2 elements. Each is cut into n2 second-level parts, and all s
 in such a first-level part the two sets have the same content in one subset at least, which is the signature they share.
 
 A subset in which a set has no element would be shared with everybody, so it isn't a signature. What this can cost is
-counted: ``least`` is the number of first-level parts in which a set must share a signature with any partner, without
-those in which it has an empty subset. Sets for which it falls below one (small ones) are cut anew with another seed; if
-that fails ``SEEDS`` times, empty subsets are signatures as well.
+counted: ``least`` is the number of signatures that a set must share with any partner, without those that are empty in
+it. Sets for which it falls below one (small ones) are cut anew with another seed; if that fails ``SEEDS`` times, empty
+subsets are signatures as well.
 
 Signatures are packed per task and range of signatures, as sorted 48-bit numbers with positions in a list of sets, so a
 shuffled signature takes a few bytes. In each range equal signatures are found by sorting:
@@ -42,6 +42,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -60,8 +61,8 @@ COLD = 16
 SEEDS = 4
 ROUNDS = 4
 #: A task holds so many shingles before it packs their signatures; a range of signatures holds about so many.
-HELD_SHINGLES = 1_500_000
-RANGE_SIGNATURES = 4_000_000
+HELD_SHINGLES = 600_000
+RANGE_SIGNATURES = 2_500_000
 #: Pairs with one common set are checked in blocks of about so many.
 BLOCK = 256
 #: So many rows of (text, block) are broadcast at most when sets are sent to their blocks; beyond that they are joined.
@@ -137,6 +138,21 @@ def scheme(j: int) -> tuple[int, int, int]:
 _SCHEMES = np.array([scheme(j) for j in range(len(LOWER) - 1)])
 
 
+def shared_at_least(bands: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """How many signatures two sets share that differ in so many elements.
+
+    In a first-level part where they differ in d second-level parts, they share the subsets without those. The fewest are
+    shared if all first-level parts differ as evenly as can be: the number of such subsets is convex in d."""
+    out = np.zeros(len(bands), np.int64)
+    for j in np.unique(bands):
+        n1, k2, n2 = map(int, _SCHEMES[j])
+        subsets = np.array([comb(n2 - d, n2 - k2) if d <= n2 else 0 for d in range(n2 + 2)])
+        own = bands == j
+        d, more = np.divmod(differ[own], n1)
+        out[own] = (n1 - more) * subsets[np.minimum(d, n2 + 1)] + more * subsets[np.minimum(d + 1, n2 + 1)]
+    return out
+
+
 class Signatures:
     """Signatures (found) and the entry each belongs to (owner). An entry is a set in one band: its set, band and ``least``."""
 
@@ -148,7 +164,7 @@ class Signatures:
         self.set = np.concatenate([here, up])
         self.band = np.concatenate([own[here], own[up] + 1])
         largest = np.minimum(reach[self.set], LOWER[self.band + 1] - 1)
-        self._agree = _SCHEMES[self.band, 0] - differ_at_most(sizes[self.set] + largest) // (_SCHEMES[self.band, 1] + 1)
+        self._agree = shared_at_least(self.band, differ_at_most(sizes[self.set] + largest))
         self.least = np.zeros(len(self.set), np.int64)
         self._found, self._owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -193,7 +209,8 @@ class Signatures:
         content, filled = mix(content).reshape(-1, n2), filled.reshape(-1, n2)
         of = np.repeat(np.arange(len(chosen)), n1)
         part = mix(code[of] + (np.arange(len(of)) - starts[of]).astype(np.uint64) * _STEP)
-        empty = np.bincount(of[(~filled).sum(1) >= n2 - k2], minlength=len(chosen))
+        of_none = np.array([comb(n, n2 - k2) for n in range(n2 + 1)])
+        empty = np.bincount(of, of_none[(~filled).sum(1)], minlength=len(chosen)).astype(np.int64)
         if seed == 0:
             self.least[chosen] = self._agree[chosen] - empty
         else:
@@ -439,10 +456,14 @@ def _unresolved(hot: DataFrame) -> DataFrame:
 
 
 def _led(hot: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b): of each set in hot signatures the leader that it has most of them in common with. A signature's leader is
-    one of its band's sets, another one each turn."""
-    order = F.when(~F.col("up"), F.struct(F.xxhash64("key", F.lit(turn)).alias("place"), "key", "component"))
-    leaders = hot.groupBy("signature").agg(F.min(order).alias("leader")).where("leader is not null")
+    """Pairs (a, b): of each set in hot signatures the leader that it has most of them in common with.
+
+    A signature's leader is that set of its band which has the most hot signatures itself: among near copies the one that
+    was changed least, and to which the others are closest. Later turns choose among fewer sets, others each time."""
+    weight = hot.groupBy("key").agg(F.count("*").alias("weight"))
+    chosen = ~F.col("up") & (F.pmod(F.xxhash64("key", F.lit(turn)), turn + 1) == 0)
+    order = F.when(chosen, F.struct(-F.col("weight"), "key", "component"))
+    leaders = hot.join(weight, "key").groupBy("signature").agg(F.min(order).alias("leader")).where("leader is not null")
     pairs = hot.join(leaders, "signature").where("component <> leader.component").groupBy("key", F.col("leader.key").alias("leader")).agg(F.count("*").alias("n"))
     best = pairs.groupBy("key").agg(F.max_by("leader", F.struct("n", "leader")).alias("a"))
     return best.select("a", F.col("key").alias("b"))
@@ -505,7 +526,7 @@ def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
     """The pairs that aren't in one component yet."""
     of = lambda side: component.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
     found = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return found.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+    return found.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select(*pairs.columns)
 
 
 def _joined(docs: DataFrame) -> DataFrame:
