@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from photolith.llm.common import table
 
 MARK = "▁"
-#: A worker holds so many distinct cuts and pairs of pieces at most.
-HELD = 500_000
-PAIRS_HELD = 2_000_000
+#: A task holds so many distinct cuts at most, and a worker so many pairs of pieces.
+HELD = 100_000
+PAIRS_HELD = 500_000
 _NEVER = float("inf")
 _CUT = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -175,9 +175,6 @@ class _Cut(dict):
         return made
 
 
-_cut_caches: dict[str, _Cut] = {}
-
-
 def encode_text(model: PieceModel, text: str) -> list[int]:
     """All ids of a text, with the end id."""
     return [i for cut in cuts(text) for i in model.encode_cut(cut)] + [model.end]
@@ -188,7 +185,7 @@ def digest_rows(docs: DataFrame, model_path: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_path)
-        cache = _cut_caches.setdefault(model_path, _Cut(model))
+        cache = _Cut(model)
         for batch in batches:
             counts, ids_hash, text_hash = [], [], []
             for text in batch.column(1).to_pylist():

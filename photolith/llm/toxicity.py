@@ -6,8 +6,8 @@ features present, so that two terms that are harmless alone can count together,
 
 Fitting reads a bounded sample of labelled rows: the first ``FIT_TOXIC`` rows with label 1 and the first ``FIT_CLEAN``
 with label 0 in the order of a hash of the id, weighed as the labels are distributed; rows held out are left out before.
-Buckets enter if their distribution over the labels is far from chance (chi-square), ``FEATURES`` at most, so that a
-long text doesn't gather the noise of thousands of neutral words. Scoring is one pass over the texts and no shuffle.
+Buckets enter if their distribution over the labels is far from chance (chi-square), so that a long
+text doesn't gather the noise of thousands of neutral words. Scoring is one pass over the texts and no shuffle.
 
 Nulls: a null text counts as empty and gets the bias's score; a label counts if it is 0 or 1, and the highest of an id
 with several. Without labels of both kinds every score is the share of label 1 (0.0 if there are none). Rows that share
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,30 +30,21 @@ from photolith.llm.common import held_out, table
 BUCKETS = 1 << 20
 FIT_TOXIC = 4096
 FIT_CLEAN = 8192
-FEATURES = 4096
 CHI_SQUARE = 15.0
 FACTORS = 8
 STEPS = 300
 FOLD, HELD_OUT = 5, 0
-HELD = 500_000
+#: A task holds so many words' features at most.
+HELD = 50_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-class _Buckets(dict):
-    """word -> its buckets; a cache of bounded size."""
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        raw = word.encode()
-        found = [zlib.crc32(raw) % BUCKETS]
-        if len(word) > 5:
-            found += [zlib.crc32(b"^" + word[:k].encode()) % BUCKETS for k in (4, 5)]
-        if len(self) > HELD:
-            self.clear()
-        self[word] = made = tuple(found)
-        return made
-
-
-_buckets = _Buckets()
+def buckets_of(word: str) -> list[int]:
+    raw = word.encode()
+    found = [zlib.crc32(raw) % BUCKETS]
+    if len(word) > 5:
+        found += [zlib.crc32(b"^" + word[:k].encode()) % BUCKETS for k in (4, 5)]
+    return found
 
 
 def words_of(text: str) -> set[str]:
@@ -61,7 +53,20 @@ def words_of(text: str) -> set[str]:
 
 def terms(text: str) -> np.ndarray:
     """The distinct buckets of a text's terms."""
-    return np.array(sorted({b for w in words_of(text) for b in _buckets[w]}), np.int32)
+    return np.array(sorted({b for w in words_of(text) for b in buckets_of(w)}), np.int32)
+
+
+class _Features(dict):
+    """word -> its places among the model's buckets; of bounded size, and gone with the task."""
+
+    def __init__(self, place: dict[int, int]) -> None:
+        self._place = place
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > HELD:
+            self.clear()
+        self[word] = made = tuple(self._place[b] for b in buckets_of(word) if b in self._place)
+        return made
 
 
 def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +113,7 @@ class FactorizationMachine:
 
     @staticmethod
     def _chosen(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-        """Buckets whose presence and label go together more than chance has it, the strongest first, ``FEATURES`` at most."""
+        """Buckets whose presence and label go together more than chance has it."""
         row, bucket = _flat(rows)
         n, n1 = len(rows), labels.sum()
         a = np.bincount(bucket, labels[row], BUCKETS)
@@ -116,12 +121,14 @@ class FactorizationMachine:
         with np.errstate(divide="ignore", invalid="ignore"):
             chi = n * (a * n - df * n1) ** 2 / (df * n1 * (n - df) * (n - n1))
         chi[(df < 3) | ~np.isfinite(chi)] = 0
-        best = np.argsort(-chi, kind="stable")[:FEATURES]
-        return np.sort(best[chi[best] > CHI_SQUARE])
+        return np.flatnonzero(chi > CHI_SQUARE)
+
+    def features(self) -> _Features:
+        return _Features(self.place)
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        place = self.place
-        rows = [np.array([k for b in {b for w in words_of(t) for b in _buckets[w]} if (k := place.get(b)) is not None], np.int32) for t in texts]
+    def score(self, texts: list[str], features: _Features | None = None) -> np.ndarray:
+        features = self.features() if features is None else features
+        rows = [np.array(sorted({k for w in words_of(t) for k in features[w]}), np.int32) for t in texts]
         row, feature = _flat(rows)
         sums = _row_sums(row, self.factors[feature], len(rows))
         linear = np.bincount(row, self.weights[feature], len(rows)) if len(row) else np.zeros(len(rows))
@@ -162,8 +169,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
 
 def scorer(model: FactorizationMachine):
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(texts.fillna("").tolist()), dtype=float)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        features = model.features()
+        for texts in batches:
+            yield pd.Series(model.score(texts.fillna("").tolist(), features), dtype=float)
 
     return score
 
