@@ -2,7 +2,12 @@
 
 Toxic documents go, then those that the quality rules reject, then all but one of each group of near duplicates; what
 is left is mixed to the sources' target weights (documents as often as they are taken), and the mix is encoded and
-decoded. ``run`` writes every stage to the shared folder and reads it back for the next.
+decoded. ``run`` writes every stage to the shared folder and reads it back for the next, which deletes it once it is done.
+
+Nulls: a null text is empty; it isn't toxic, the quality rules reject it as they do all texts of fewer than 20 words. A
+null id or source is one like others. Repeated rows are near duplicates, of which one stays; ties go to the smallest id.
+Texts are taken whole, of any length. Empty tables give empty tables. Other columns than those of documents are carried
+through the first four stages, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from photolith.llm import mixing, piece_codec, quality, shingle_join, toxicity
-from photolith.llm.common import materialize, small_batches, table
+from photolith.llm.common import discard, materialize, small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
