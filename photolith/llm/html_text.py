@@ -3,7 +3,7 @@
 A page is cut at block tags into a flat list of text blocks, references decoded, white space folded. Each block has its
 word count and link density, those of the blocks before and after it, and two marks that the markup gives: whether it
 stands inside an element that names itself as beside the text (nav, footer, class="sidebar", ...) and whether it stands
-inside one that names itself as the text (article, main). A name counts for nothing on an element outside of which no article stands, if it holds one or most of the page's
+inside one that names itself as the text (article, main); where the markup says neither, words and links decide. A name counts for nothing on an element outside of which no article stands, if it holds one or most of the page's
 words: such an element is the page's layout. A decision tree, trained on the small labelled table below,
 tells main text from the rest; the main blocks are joined by blank lines.
 
@@ -47,8 +47,9 @@ BESIDE_NAMES = frozenset(
     " tags meta byline copyright".split()
 )
 
+#: A comment, a tag (quotes count behind = only), a cut-off tag at the end, text, or a lone <.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(?:[!?][^>]*|/?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*|/?[a-zA-Z][^>]*)>|<[a-zA-Z/!?][^>]*$|[^<]+|<", re.S
+    r"<!--(?:>|->|.*?(?:--!?>|$))|<[!?][^>]*>|</?[a-zA-Z](?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+>|<[a-zA-Z/!?][^>]*$|[^<]+|<", re.S
 )
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -76,11 +77,37 @@ LABELLED = [
     (80, 0.0, 5, 0.0, 50, 0.0, 0, 0, 1), (10, 0.0, 110, 0.1, 4, 1.0, 0, 0, 1), (50, 0.0, 30, 0.0, 30, 0.0, 0, 0, 1),
     (2, 1.0, 40, 0.0, 35, 0.0, 0, 0, 1), (35, 0.0, 22, 0.0, 40, 0.0, 0, 0, 1), (70, 0.0, 90, 0.2, 2, 1.0, 0, 0, 1),
     (25, 0.0, 8, 0.0, 90, 0.0, 0, 0, 1), (-1, 0.0, 75, 0.0, 60, 0.0, 0, 0, 1), (40, 0.0, 26, 0.0, 3, 1.0, 0, 0, 1),
+    # a few short paragraphs, or one, are all that a page has
+    (-1, 0.0, 8, 0.0, -1, 0.0, 0, 0, 1), (-1, 0.0, 4, 0.0, -1, 0.0, 0, 0, 1), (-1, 0.0, 9, 0.0, 10, 0.0, 0, 0, 1), (9, 0.0, 10, 0.0, 8, 0.0, 0, 0, 1),
+    (10, 0.0, 8, 0.0, -1, 0.0, 0, 0, 1), (-1, 0.0, 5, 0.0, 7, 0.0, 0, 0, 1), (7, 0.0, 9, 0.0, 6, 0.0, 0, 0, 1), (8, 0.0, 7, 0.0, -1, 0.0, 0, 0, 1),
+    (-1, 0.0, 3, 0.0, 9, 0.0, 0, 0, 1), (11, 0.0, 11, 0.0, 12, 0.0, 0, 0, 1), (12, 0.0, 12, 0.0, -1, 0.0, 0, 0, 1), (-1, 0.0, 12, 0.0, 11, 0.0, 0, 0, 1),
+    # titles: short, before a long block; with an advert or links before them
+    (6, 0.0, 10, 0.0, 60, 0.0, 0, 0, 1), (8, 0.0, 12, 0.0, 40, 0.0, 0, 0, 1), (10, 0.0, 14, 0.0, 25, 0.0, 0, 0, 1), (1, 1.0, 11, 0.0, 80, 0.0, 0, 0, 1),
+    (12, 0.0, 9, 0.0, 120, 0.0, 0, 0, 1), (5, 0.0, 7, 0.0, 30, 0.0, 0, 0, 1), (4, 0.0, 11, 0.0, 18, 0.0, 0, 0, 1), (1, 1.0, 6, 0.0, 45, 0.0, 0, 0, 1),
+    # adverts and notices between links and a title; imprints after the last long block, or after links
+    (1, 1.0, 6, 0.0, 10, 0.0, 0, 0, 0), (1, 1.0, 8, 0.0, 12, 0.0, 0, 0, 0), (1, 1.0, 4, 0.0, 11, 0.0, 0, 0, 0), (1, 1.0, 10, 0.0, 14, 0.0, 0, 0, 0),
+    (1, 1.0, 12, 0.0, 9, 0.0, 0, 0, 0), (2, 1.0, 5, 0.0, 13, 0.0, 0, 0, 0), (1, 1.0, 13, 0.0, 11, 0.0, 0, 0, 0), (1, 1.0, 9, 0.0, 8, 0.0, 0, 0, 0),
+    (60, 0.0, 10, 0.0, -1, 0.0, 0, 0, 0), (120, 0.0, 14, 0.0, -1, 0.0, 0, 0, 0), (45, 0.0, 12, 0.0, -1, 0.0, 0, 0, 0), (80, 0.0, 6, 0.0, -1, 0.0, 0, 0, 0),
+    (30, 0.0, 16, 0.0, -1, 0.0, 0, 0, 0), (200, 0.0, 9, 0.0, -1, 0.0, 0, 0, 0), (150, 0.0, 18, 0.0, -1, 0.0, 0, 0, 0), (40, 0.0, 20, 0.1, -1, 0.0, 0, 0, 0),
+    # short paragraphs and very short ones among long ones
+    (108, 0.0, 40, 0.0, 2, 0.0, 0, 0, 1), (67, 0.0, 10, 0.0, 3, 0.0, 0, 0, 1), (120, 0.0, 8, 0.0, 1, 0.0, 0, 0, 1), (63, 0.0, 2, 0.0, 2, 0.0, 0, 0, 1),
+    (66, 0.0, 23, 0.0, 2, 0.0, 0, 0, 1), (120, 0.0, 16, 0.0, 2, 0.0, 0, 0, 1), (2, 0.0, 2, 0.0, 40, 0.0, 0, 0, 1), (3, 0.0, 1, 0.0, 12, 0.0, 0, 0, 1),
+    (90, 0.0, 3, 0.0, 11, 0.0, 0, 0, 1), (55, 0.0, 6, 0.0, 8, 0.0, 0, 0, 1), (40, 0.0, 14, 0.0, 4, 0.0, 0, 0, 1), (150, 0.0, 30, 0.0, 1, 0.0, 0, 0, 1),
+    # a last paragraph is longer than an imprint
+    (60, 0.0, 50, 0.0, -1, 0.0, 0, 0, 1), (100, 0.0, 70, 0.0, 12, 0.0, 0, 0, 1), (50, 0.0, 35, 0.0, -1, 0.0, 0, 0, 1), (90, 0.0, 28, 0.0, 14, 0.0, 0, 0, 1),
+    (60, 0.0, 16, 0.0, 13, 0.0, 0, 0, 1), (45, 0.0, 9, 0.0, 14, 0.0, 0, 0, 1), (120, 0.0, 5, 0.0, 60, 0.0, 0, 0, 1), (15, 0.0, 18, 0.0, 12, 0.0, 0, 0, 1),
     (-1, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0), (2, 1.0, 1, 1.0, 2, 1.0, 0, 0, 0), (2, 1.0, 3, 1.0, 40, 0.0, 0, 0, 0),
     (90, 0.0, 4, 1.0, 3, 1.0, 0, 0, 0), (3, 1.0, 5, 0.6, 2, 1.0, 0, 0, 0), (80, 0.0, 10, 0.8, -1, 0.0, 0, 0, 0),
     (2, 1.0, 6, 0.0, 3, 1.0, 0, 0, 0), (4, 1.0, 7, 0.0, -1, 0.0, 0, 0, 0), (2, 1.0, 30, 0.9, 2, 1.0, 0, 0, 0),
-    (3, 1.0, 4, 0.0, 5, 0.0, 0, 0, 0), (5, 0.0, 3, 0.0, 4, 0.0, 0, 0, 0), (6, 0.5, 9, 0.4, 2, 1.0, 0, 0, 0),
+    (3, 1.0, 4, 0.0, 5, 0.0, 0, 0, 0), (6, 0.5, 9, 0.4, 2, 1.0, 0, 0, 0),
 ]
+# what isn't text on a page that says nothing is text inside an element that names itself so
+LABELLED += [(*row[:6], 0, 1, 1) for row in LABELLED if row[6:] == (0, 0, 0)]
+
+
+@lru_cache(len(RAW))
+def _ends(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I)
 
 
 def _beside(tag: str, token: str) -> bool:
@@ -99,7 +126,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
     linked: list[str] = []
     open_tags: list[tuple[str, bool, bool, bool, list | None]] = []  # tag, beside, text, hidden, wrapper
     in_link = 0
-    # of each element that only its names set beside: its words, text elements around and in it
+    # of each element that only its names, or a form around it, set beside: its words, text elements around and in it
     wrappers: list[list[int]] = []
     inside_of: list[list[list[int]]] = []
     texts = 0
@@ -120,12 +147,10 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
                 wrapper[0] += words
         parts, linked = [], []
 
-    tokens = _TOKEN.finditer(page)
-    skip_to = 0
-    for match in tokens:
-        if match.start() < skip_to:
-            continue
-        token = match[0]
+    at = 0
+    while at < len(page):
+        match = _TOKEN.match(page, at)
+        token, at = match[0], match.end()
         if token[0] != "<" or token == "<":
             if open_tags and open_tags[-1][0] == "head" and token.strip():
                 end_head()
@@ -141,8 +166,8 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
         if not ending and tag not in IN_HEAD and any(t[0] == "head" for t in open_tags):
             end_head()
         if tag in RAW and not ending:
-            end = re.compile(rf"</{tag}\s*>|$", re.I).search(page, match.end())
-            skip_to = end.end() if end[0] else len(page)
+            end = _ends(tag).search(page, at)
+            at = end.end() if end else len(page)
             continue
         if tag == "br":
             parts.append(" ")
@@ -164,7 +189,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
             inside = any(t[2] for t in open_tags)
             beside = _beside(tag, token) and not (tag == "header" and inside) and tag not in ("html", "body", "article", "main")
             wrapper = None
-            if beside and tag not in BESIDE_TAGS:
+            if beside and (tag == "form" or tag not in BESIDE_TAGS):
                 wrapper = [0, sum(t[2] for t in open_tags), 0]
                 wrappers.append(wrapper)
                 beside = False
@@ -193,7 +218,7 @@ def features(page_blocks: list[tuple]) -> list[tuple[float, ...]]:
 class DecisionTree:
     """A binary tree that splits where the labels' Gini impurity falls most."""
 
-    def __init__(self, rows: list[tuple], labels: list[int], depth: int = 6) -> None:
+    def __init__(self, rows: list[tuple], labels: list[int], depth: int = 10) -> None:
         self.label = int(2 * sum(labels) >= len(labels))
         self.split: tuple | None = None
         if depth and 0 < sum(labels) < len(labels):

@@ -3,9 +3,11 @@
 import difflib
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from photolith.llm import fingerprints, html_text, quality, toxicity, warc
@@ -145,6 +147,43 @@ def test_no_article_is_lost_to_a_head_or_a_wrapper():
     assert html_text.main_text(beside) == text
 
 
+def test_markup_as_browsers_read_it():
+    body = ("word " * 40).strip()
+    for page in (
+        f"<script>for(i=0;i<n;i++){{}} // don't</script><article><p>{body} it's</p></article>",
+        f"<article><p><a title=don't href=x></a>{body} it's</p></article>",
+        f"<article><img alt='a > b'><p>{body} it's</p><script>x='<!--'</script></article>",
+        f"<body><form action=x><div><p>{body} it's</p></div><input></form></body>",
+        f"<div class='content with-sidebar'><p>{body} it's</p></div>",
+        f"<!-- <p>no</p> --><style>p>a{{}}</STYLE ><p>{body} it's</p>",
+    ):
+        assert html_text.main_text(page) == body + " it's", page
+    three = ["One short paragraph here now.", "Another short one follows it.", "And the third one ends it."]
+    assert html_text.main_text("<div>" + "".join(f"<p>{t}</p>" for t in three) + "</div>") == "\n\n".join(three)
+    assert html_text.main_text("<p>A single paragraph of only eight words here.</p>") == "A single paragraph of only eight words here."
+
+
+def test_tree_against_brute_force_and_without_marks():
+    """The tree's first split is the best of all splits; pages stripped of names and of semantic tags are mostly told right."""
+    rows, labels = [r[:-1] for r in html_text.LABELLED], [r[-1] for r in html_text.LABELLED]
+
+    def impurity(f, at):
+        sides = [[y for r, y in zip(rows, labels, strict=True) if (r[f] > at) == side] for side in (False, True)]
+        return sum(len(ys) * (sum(ys) / len(ys)) * (1 - sum(ys) / len(ys)) for ys in sides if ys)
+
+    tree = html_text.DecisionTree(rows, labels)
+    values = [sorted({r[f] for r in rows}) for f in range(8)]
+    best = min(impurity(f, (a + b) / 2) for f in range(8) for a, b in zip(values[f], values[f][1:], strict=False))
+    assert np.isclose(impurity(*tree.split[:2]), best)
+    right = total = 0
+    for html in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
+        bare = re.sub(r"<(/?)(?:article|nav|footer|header|main|aside|section)[^>]*>", r"<\1div>", re.sub(r" (class|id|role)=\"[^\"]*\"", "", html))
+        told = [[tree.predict(r) for r in html_text.features(html_text.blocks(h))] for h in (html, bare)]
+        right += sum(x == y for x, y in zip(*told, strict=True))
+        total += len(told[0])
+    assert right > 0.95 * total
+
+
 def test_pages(spark, make):
     pages = [(1, "u", PAGE), (2, None, None), (3, "v", ""), (1, "u", PAGE)]
     got = sorted(map(tuple, QUERIES["op4_html_text"](spark, make(pages=pages)).collect()), key=str)
