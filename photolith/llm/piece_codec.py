@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photolith.llm.common import table
+from photolith.llm.common import give_back, table
 
 MARK = "▁"
 #: A task holds so many distinct cuts at most, and a worker so many pairs of pieces.
-HELD = 100_000
-PAIRS_HELD = 500_000
+HELD = 30_000
+PAIRS_HELD = 200_000
 _NEVER = float("inf")
 _CUT = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -199,6 +199,8 @@ def digest_rows(docs: DataFrame, model_path: str) -> DataFrame:
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        cache.clear()
+        give_back()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, schema)

@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from photolith.llm.common import discard, materialize, partitions, table
+from photolith.llm.common import discard, give_back, materialize, partitions, table
 from photolith.llm.components import connected_components
 from photolith.llm.words import mix, word_hashes
 
@@ -351,6 +351,8 @@ def packed_signatures(docs: DataFrame, ranges: int) -> DataFrame:
                         size = 0
         if held:
             yield out()
+            held.clear()
+        give_back()
 
     return docs.select("text").mapInArrow(rows, "range int, packed binary")
 
@@ -360,7 +362,12 @@ def candidates(docs: DataFrame, ranges: int) -> DataFrame:
 
     def meet_range(rows: pa.Table) -> pa.Table:
         parts = [unpack(raw) for raw in rows.column("packed").to_pylist()]
-        return meet(*(np.concatenate(c) for c in zip(*parts, strict=True)), every_hot=rows.column("range")[0].as_py() >= ranges)
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        parts.clear()
+        found = meet(*columns, every_hot=rows.column("range")[0].as_py() >= ranges)
+        columns.clear()
+        give_back()
+        return found
 
     return packed_signatures(docs, ranges).groupBy("range").applyInArrow(meet_range, _FOUND)
 
