@@ -61,7 +61,7 @@ COLD = 16
 SEEDS = 4
 ROUNDS = 4
 #: A task holds so many shingles before it packs their signatures; a range of signatures holds about so many.
-HELD_SHINGLES = 600_000
+HELD_SHINGLES = 400_000
 RANGE_SIGNATURES = 2_500_000
 #: Pairs with one common set are checked in blocks of about so many.
 BLOCK = 256
@@ -322,6 +322,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
             keys = [set_key(s) if len(s) else None for s in sets]
             columns = [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.int64()), batch.column(2)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "text_hash"])
+        give_back()
 
     texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
     return texts.mapInArrow(rows, "doc_id long, n_shingles long, key long, text_hash long")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photolith.llm.common import held_out, table
+from photolith.llm.common import give_back, held_out, table
 
 BUCKETS = 1 << 20
 FIT_TOXIC = 4096
@@ -173,6 +173,7 @@ def scorer(model: FactorizationMachine):
         features = model.features()
         for texts in batches:
             yield pd.Series(model.score(texts.fillna("").tolist(), features), dtype=float)
+        give_back()
 
     return score
 
