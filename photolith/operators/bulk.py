@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from photolith.session import checkpointed
+
 
 def toggle(selected: DataFrame, clicked: DataFrame) -> DataFrame:
     """What is in one of two id sets but not in both."""
@@ -72,16 +74,19 @@ def rates(rows: DataFrame, keys: list[str], predicted: Column, actual: Column) -
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(fn, fn + tp).alias("false_reject"), ratio(tp + tn, tp + tn + fp + fn).alias("accuracy"))
 
 
-def repair_albums(albums: DataFrame, depth: int = 16) -> DataFrame:
+def repair_albums(albums: DataFrame) -> DataFrame:
     """(id, parent): parents that don't exist, or that lead back to the album, become null.
 
-    A chain is followed upwards by doubling: after k joins it has been followed 2^k steps."""
+    A chain is followed upwards by doubling: after k joins it has been followed 2^k steps. It ends when no album has an
+    ancestor so far up, or after as many steps as there are albums, which only loops outlast."""
     known = albums.select(F.col("id").alias("parent")).distinct()
-    clean = albums.join(known.withColumn("_known", F.lit(True)), "parent", "left").select("id", F.when(F.col("_known"), F.col("parent")).alias("parent"))
+    clean = checkpointed(albums.join(known.withColumn("_known", F.lit(True)), "parent", "left").select("id", F.when(F.col("_known"), F.col("parent")).alias("parent")))
     jump = clean.select("id", F.col("parent").alias("up"))
-    for _ in range(max(1, (depth - 1).bit_length())):
+    for _ in range(clean.count().bit_length()):
         after = jump.select(F.col("id").alias("up"), F.col("up").alias("next"))
-        jump = jump.join(after, "up", "left").select("id", F.col("next").alias("up"))
+        jump = checkpointed(jump.join(after, "up", "left").select("id", F.col("next").alias("up")))
+        if jump.where("up is not null").isEmpty():
+            break
     # what still has an ancestor after that many steps is on or below a loop
     looping = jump.where("up is not null").select("id").withColumn("_loop", F.lit(True))
     return clean.join(looping, "id", "left").select("id", F.when(F.col("_loop").isNull(), F.col("parent")).alias("parent"))

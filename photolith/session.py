@@ -6,7 +6,7 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -21,3 +21,14 @@ def ship(spark: SparkSession) -> None:
     shutil.copytree(here, f"{copy}/code/photolith", ignore=shutil.ignore_patterns("__pycache__"))
     context.addPyFile(shutil.make_archive(f"{copy}/photolith", "zip", f"{copy}/code"))
     _shipped.add(context.applicationId)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut, in the cluster's checkpoint folder; on one machine, as in tests, in one of our own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="photolith-"))
+    return df.checkpoint()

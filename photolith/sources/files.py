@@ -92,7 +92,7 @@ def parse_keyword_list(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("list").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("synonym", synonym).withColumn("owner", F.last(F.when(~F.col("synonym"), F.col("place")), True).over(w))
     clean = F.regexp_replace("name", r"^\[(.*)\]$", "$1")
-    deepest = 12
+    deepest = (rows.agg(F.max("depth")).first()[0] or 0) + 1
     for d in range(deepest):  # the last name of each depth so far, forgotten when a shallower line comes
         at = F.struct("place", clean.alias("name"))
         rows = rows.withColumn(f"_l{d}", F.last(F.when(~F.col("synonym") & (F.col("depth") == d), at), True).over(w))

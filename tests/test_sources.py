@@ -75,3 +75,13 @@ def test_damaged_records_are_left_out(spark):
     good = '{"seq":1,"crc":%d,"op":{"x":1}}' % zlib.crc32(b'{"x":1}')
     lines = spark.createDataFrame([(good,), (good.replace('"x":1', '"x":2'),), (good[:-2],), ("",)], "value string")
     assert [(r["seq"], r["op"]) for r in changes.decode(lines).collect()] == [(1, '{"x":1}')]
+
+
+def test_long_chains_and_deep_lists_are_whole(spark):
+    chain = [(1, None), *((k, k - 1) for k in range(2, 1001)), (2001, 2003), (2002, 2001), (2003, 2002), (2004, 2001)]
+    got = {r["id"]: r["parent"] for r in bulk.repair_albums(spark.createDataFrame(chain, "id long, parent long")).collect()}
+    assert got == {k: p if k <= 1000 else None for k, p in chain}
+    lines = [(1, k, "\t" * k + f"level {k}") for k in range(50)] + [(1, 50, "\tback")]
+    got = files.parse_keyword_list(spark.createDataFrame(lines, "list long, place long, value string"))
+    want = {"|".join(f"level {j}" for j in range(k + 1)) for k in range(50)} | {"level 0|back"}
+    assert {r["path"] for r in got.collect()} == want
