@@ -52,7 +52,7 @@ def page(found: DataFrame, keys: list[Column], offset: int = 0, limit: int = 200
     return found.orderBy(*keys).offset(offset).limit(limit)
 
 
-def stats(photos: DataFrame, albums: int = 0) -> DataFrame:
+def stats(photos: DataFrame, albums: Column | int = 0) -> DataFrame:
     shown = ~F.col("deleted") & ~F.col("local")
     return photos.agg(
         F.count_if(shown).alias("photos"),
@@ -60,7 +60,7 @@ def stats(photos: DataFrame, albums: int = 0) -> DataFrame:
         F.count_if(shown & (F.col("flag") == "pick")).alias("picks"),
         F.count_if(shown & (F.col("flag") == "reject")).alias("rejects"),
         F.count_if("deleted").alias("deleted"),
-        F.lit(albums).cast("long").alias("albums"),
+        F.max(F.lit(albums)).cast("long").alias("albums"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from photolith.functions.geo import distance_m, project, unproject
+from photolith.functions.geo import EARTH_M, distance_m, project, unproject
 
 
 def classify_import(candidates: DataFrame, library: DataFrame) -> DataFrame:
@@ -63,7 +63,8 @@ def as_of(points: DataFrame, track: DataFrame, key: list[str], max_gap: int) ->
 
 def nearest_place(photos: DataFrame, places: DataFrame, limit_m: float = 50_000.0) -> DataFrame:
     """The nearest place of each position. Places are dealt to one-degree cells; a position looks in its own and the
-    eight around, across the date line; the first of equally near ones counts. Both sides are shuffled by cell."""
+    eight around, across the date line; the first of equally near ones counts. Both sides are shuffled by cell. Beyond 63
+    degrees of latitude a cell and the next are less than 50 km wide, so that farther places to the east or west aren't seen."""
     cell = lambda c: F.floor(c).cast("int")
     wrap = lambda c: F.pmod(c + 180, F.lit(360)) - 180
     held = places.select(F.col("place_id"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), cell(F.col("lat")).alias("cy"), wrap(cell(F.col("lon"))).alias("cx"))
@@ -77,9 +78,32 @@ def nearest_place(photos: DataFrame, places: DataFrame, limit_m: float = 50_000.
 
 
 def inside_any(photos: DataFrame, circles: DataFrame) -> DataFrame:
-    """Photos inside a saved circle, the boundary included. Circles are a table that people draw; it is broadcast while it is small."""
-    hit = distance_m(photos.lat, photos.lon, circles.c_lat, circles.c_lon) <= circles.radius_m
-    return photos.join(circles, hit, "left_semi")
+    """Photos (id, lat, lon) inside a saved circle (c_lat, c_lon, radius_m), the boundary included.
+
+    A circle is dealt to the few cells it touches of a grid about as wide as itself, in degrees a power of two from 1/256
+    to 256; a photo looks in its cell of each grid in use, of which there are 17 at most. Near a pole a circle touches all
+    cells of its rows. An equi-join on the cell, so any number of circles is shuffled or broadcast as Spark sees fit."""
+    grids = circles.select(F.degrees(F.col("radius_m") / F.lit(EARTH_M)).alias("d"))
+    level = lambda d: F.greatest(F.lit(-8), F.least(F.lit(8), F.ceil(F.log2(d)).cast("int")))
+    used = sorted(r[0] for r in grids.where("d > 0").select(level(F.col("d"))).distinct().collect())
+    used = used or [-8]
+    size = F.pow(F.lit(2.0), F.col("level"))
+    across = F.greatest(F.lit(1.0), F.floor(360 / size))  # whole cells around a parallel
+    column = lambda lon: F.floor((lon + 180) * across / 360).cast("long")
+    reach = F.degrees(F.col("radius_m") / F.lit(EARTH_M)) * (1 + 1e-9) + 1e-9
+    aside = F.when(F.abs("c_lat") + F.col("reach") >= 90, 180.0).otherwise(
+        F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians("reach")) / F.cos(F.radians("c_lat"))))) + 1e-9
+    )
+    dealt = circles.withColumn("level", F.coalesce(level(F.degrees(F.col("radius_m") / F.lit(EARTH_M))), F.lit(used[0]))).withColumn("reach", reach)
+    dealt = dealt.withColumn("aside", aside).withColumn("cy", F.explode(F.sequence(F.floor((F.col("c_lat") - F.col("reach")) / size), F.floor((F.col("c_lat") + F.col("reach")) / size))))
+    columns = F.transform(F.sequence(column(F.col("c_lon") - F.col("aside")), column(F.col("c_lon") + F.col("aside"))), lambda c: F.pmod(c, across.cast("long")))
+    dealt = dealt.withColumn("cx", F.explode(F.array_distinct(columns))).select("level", "cy", "cx", "c_lat", "c_lon", "radius_m")
+    asked = photos.withColumn("level", F.explode(F.array(*map(F.lit, used)))).withColumn("cy", F.floor(F.col("lat") / size))
+    asked = asked.withColumn("cx", F.pmod(column(F.col("lon")), across.cast("long")))
+    same = (asked.level == dealt.level) & (asked.cy == dealt.cy) & (asked.cx == dealt.cx)
+    hit = distance_m(asked.lat, asked.lon, dealt.c_lat, dealt.c_lon) <= dealt.radius_m
+    found = asked.join(dealt, same & hit, "left_semi").drop("level", "cy", "cx")
+    return found if len(used) == 1 else found.dropDuplicates(["id"])
 
 
 def map_clusters(photos: DataFrame, zoom: int, cell_px: int = 64) -> DataFrame:

@@ -20,13 +20,13 @@ def delete(keywords: Column, path: str) -> Column:
 
 
 def merge(keywords: Column, into: dict[str, str]) -> Column:
-    """Each keyword follows the longest of the named paths that it is under."""
+    """Each keyword follows the longest of the named paths that it is under; names that are then the same but for case are one."""
     deepest = sorted(into, key=lambda p: -p.count("|"))
 
     def move(k: Column) -> Column:
         return reduce(lambda rest, p: F.when(is_under(k, p), F.concat(F.lit(into[p]), F.substring(k, len(p) + 1, 1 << 16))).otherwise(rest), reversed(deepest), k)
 
-    return F.transform(keywords, move)
+    return distinct_names(F.transform(keywords, move))
 
 
 def add(keywords: Column, path: str) -> Column:

@@ -123,9 +123,10 @@ def metadata_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_missing(rows.select("id", "caption", "edited"), rows.select("id", F.col("imported").alias("edited"), "caption"), "id")
 
 
-@query(W + f"""SELECT id, unnest(list_filter(list_transform(names, lambda n: trim(n)), lambda n: n <> '')) AS name FROM photos WHERE {IN_LIBRARY} AND id % 4 <> 0""")
+@query(W + f"""SELECT id, unnest(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i)) AS name FROM
+(SELECT id, list_filter(list_transform(names, lambda n: trim(n)), lambda n: n <> '') AS l FROM photos WHERE {IN_LIBRARY})""")
 def named_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return visible(photos(spark, sf_dir)).where("id % 4 <> 0").select("id", F.explode(people(F.col("names"))).alias("name"))
+    return visible(photos(spark, sf_dir)).select("id", F.explode(people(F.col("names"))).alias("name"))
 
 
 @query(W + f"""SELECT coalesce(CASE WHEN abs(w - h) <= 0.01 * greatest(w, h) THEN 'square' WHEN w > h THEN 'landscape' ELSE 'portrait' END, 'none') AS aspect, count(*) AS n, sum(file_size)::BIGINT AS bytes FROM

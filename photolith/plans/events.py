@@ -21,15 +21,21 @@ def _ops(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_id").alias("seq"), F.col("user_id").alias("entity"), F.col("event_type").alias("field"), F.round("value", 4).alias("value"))
 
 
+def _middle(ops: DataFrame) -> int:
+    """Half of the last operation's number."""
+    return (ops.agg(F.max("seq")).first()[0] or 0) // 2
+
+
 @query(f"WITH {_OPS} SELECT entity, field, arg_max(value, seq) AS value, max(seq) AS seq FROM ops GROUP BY ALL")
 def fold_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.fold(_ops(read(spark, sf_dir, "events")))
 
 
-@query(f"WITH {_OPS} SELECT entity, field, arg_max(value, seq) AS value, max(seq) AS seq FROM ops WHERE seq <= 500 GROUP BY ALL")
+@query(f"WITH {_OPS} SELECT entity, field, arg_max(value, seq) AS value, max(seq) AS seq FROM ops WHERE seq <= (SELECT max(seq) // 2 FROM ops) GROUP BY ALL")
 def undo_to(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state as of an earlier operation."""
-    return changes.fold(_ops(read(spark, sf_dir, "events")), 500)
+    ops = _ops(read(spark, sf_dir, "events"))
+    return changes.fold(ops, _middle(ops))
 
 
 @query(f"WITH {_OPS} SELECT seq, entity, field, value, lag(value) OVER (PARTITION BY entity, field ORDER BY seq) AS before FROM ops")
@@ -41,8 +47,8 @@ def inverse_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compact_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot of the first part, and the rest of the log with some records repeated, give the whole state."""
     ops = _ops(read(spark, sf_dir, "events"))
-    snapshot = changes.fold(ops, 400)
-    return changes.compact(snapshot, changes.after_snapshot(ops.unionByName(ops.where("seq % 3 = 0")), 400))
+    middle = _middle(ops)
+    return changes.compact(changes.fold(ops, middle), changes.after_snapshot(ops.unionByName(ops.where("seq % 3 = 0")), middle))
 
 
 @query("SELECT event_id AS seq, event_type || ':' || user_id AS op FROM events WHERE event_id % 11 <> 3 AND event_id % 13 <> 5")
@@ -64,8 +70,10 @@ def forget_local(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="photolith-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{base or 'file://' + tempfile.mkdtemp(prefix='photolith-')}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:

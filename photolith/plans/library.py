@@ -16,9 +16,10 @@ IN_LIBRARY = "NOT deleted AND NOT local"
 
 
 @query(W + f"""SELECT count(*) FILTER ({IN_LIBRARY}) AS photos, count(*) FILTER ({IN_LIBRARY} AND is_edited) AS edited, count(*) FILTER ({IN_LIBRARY} AND flag = 'pick') AS picks,
-count(*) FILTER ({IN_LIBRARY} AND flag = 'reject') AS rejects, count(*) FILTER (deleted) AS deleted, 7::BIGINT AS albums FROM photos""")
+count(*) FILTER ({IN_LIBRARY} AND flag = 'reject') AS rejects, count(*) FILTER (deleted) AS deleted, (SELECT count(DISTINCT conv_id) FROM conversations) AS albums FROM photos""")
 def catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.stats(photos(spark, sf_dir), 7)
+    albums = read(spark, sf_dir, "conversations").agg(F.count_distinct("conv_id")).scalar()
+    return catalog.stats(photos(spark, sf_dir), albums)
 
 
 @query(W + f"""SELECT y AS year, m AS month, d AS day, count(*) AS n FROM (SELECT substr(captured, 1, 4) AS y, substr(captured, 6, 2) AS m, substr(captured, 9, 2) AS d
@@ -88,9 +89,20 @@ def album_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # keyword edits
 
-@query(W + f"SELECT id, list_sort(list_distinct(list_transform(keywords, lambda k: CASE WHEN lower(k) = 'travel' THEN 'Trips' WHEN starts_with(lower(k), 'travel|') THEN 'Trips' || substr(k, 7) ELSE k END))) AS keywords FROM photos WHERE {IN_LIBRARY} AND id % 7 <> 0")
+#: Of a list ``l`` of trimmed keywords those that are no earlier one's but for case.
+_FIRST = "list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i)"
+
+
+def _edited(edit: str) -> str:
+    return f"SELECT id, list_filter(list_transform(keywords, lambda k: trim({edit})), lambda k: k <> '') AS l FROM photos WHERE {IN_LIBRARY}"
+
+
+_RENAMED = _edited("CASE WHEN lower(k) = 'travel' THEN 'Trips' WHEN starts_with(lower(k), 'travel|') THEN 'Trips' || substr(k, 7) ELSE k END")
+
+
+@query(W + f"SELECT id, list_sort({_FIRST}) AS keywords FROM ({_RENAMED})")
 def keyword_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = visible(photos(spark, sf_dir)).where("id % 7 <> 0")
+    found = visible(photos(spark, sf_dir))
     return found.select("id", F.sort_array(keywords.rename(F.col("keywords"), "travel", "Trips")).alias("keywords"))
 
 
@@ -99,10 +111,13 @@ def keyword_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visible(photos(spark, sf_dir)).select("id", keywords.delete(F.col("keywords"), "Nature|Tree").alias("keywords"))
 
 
-@query(W + f"""SELECT id, list_transform(keywords, lambda k: CASE WHEN lower(k) = 'nature|bird' OR starts_with(lower(k), 'nature|bird|') THEN 'Animals' || substr(k, 12)
-WHEN lower(k) = 'nature' OR starts_with(lower(k), 'nature|') THEN 'Outside' || substr(k, 7) ELSE k END) AS keywords FROM photos WHERE {IN_LIBRARY} AND id % 7 <> 0""")
+_MERGED = _edited("""CASE WHEN lower(k) = 'nature|bird' OR starts_with(lower(k), 'nature|bird|') THEN 'Animals' || substr(k, 12)
+WHEN lower(k) = 'nature' OR starts_with(lower(k), 'nature|') THEN 'Outside' || substr(k, 7) ELSE k END""")
+
+
+@query(W + f"SELECT id, {_FIRST} AS keywords FROM ({_MERGED})")
 def keyword_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = visible(photos(spark, sf_dir)).where("id % 7 <> 0")
+    found = visible(photos(spark, sf_dir))
     return found.select("id", keywords.merge(F.col("keywords"), {"nature": "Outside", "nature|bird": "Animals"}).alias("keywords"))
 
 
