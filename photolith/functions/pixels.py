@@ -32,6 +32,22 @@ def clipped(values: Column, low: float, high: float) -> Column:
     return F.size(F.filter(values, lambda x: (x <= low) | (x >= high))) / F.size(values)
 
 
+def hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Hue in degrees (0 for greys), saturation and value of a colour between 0 and 1."""
+    most, least = F.greatest(r, g, b), F.least(r, g, b)
+    span = most - least
+    turn = F.when(span == 0, 0.0).when(most == r, F.pmod((g - b) / span, F.lit(6.0))).when(most == g, (b - r) / span + 2).otherwise((r - g) / span + 4)
+    return turn * 60, F.when(most > 0, span / most).otherwise(0.0), most
+
+
+def hsl(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Hue as in ``hsv``, saturation and lightness."""
+    most, least = F.greatest(r, g, b), F.least(r, g, b)
+    light = (most + least) / 2
+    round_ = 1 - F.abs(2 * light - 1)
+    return hsv(r, g, b)[0], F.when(round_ > 0, (most - least) / round_).otherwise(0.0), light
+
+
 def oklab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     """Linear sRGB to Oklab, by the published matrices."""
     root = lambda x: F.signum(x) * F.pow(F.abs(x), F.lit(1 / 3))

@@ -34,9 +34,9 @@ def folder_diff(here: DataFrame, there: DataFrame) -> DataFrame:
 def pair_by_stem(raws: DataFrame, jpegs: DataFrame) -> DataFrame:
     """RAW and JPEG of one shot: equal folder and stem (in lower case) and camera; each JPEG is used once."""
     stem = lambda df: df.withColumn("_stem", F.regexp_replace(F.lower("file_name"), r"\.[^.]*$", ""))
-    pairs = stem(raws).withColumnRenamed("id", "raw_id").join(stem(jpegs).withColumnRenamed("id", "jpeg_id"), ["folder", "_stem", "camera"])
-    once = F.row_number().over(Window.partitionBy("jpeg_id").orderBy("raw_id"))
-    return pairs.withColumn("_k", once).where("_k = 1").select("raw_id", "jpeg_id")
+    shot = ["folder", "_stem", "camera"]
+    first = stem(raws).groupBy(*shot).agg(F.min("id").alias("raw_id"))  # of several RAW files the first; no pair of all is made
+    return stem(jpegs).withColumnRenamed("id", "jpeg_id").join(first, shot).select("raw_id", "jpeg_id")
 
 
 def as_of(points: DataFrame, track: DataFrame, key: list[str], max_gap: int) -> DataFrame:

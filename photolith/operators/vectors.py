@@ -47,6 +47,33 @@ def rank_people(unknown: DataFrame, known: DataFrame, best: int = 2, block_rows:
     return partial.withColumn("_k", place).where(F.col("_k") <= best).groupBy("id", "person").agg(F.avg("score").alias("score"), F.count("*").alias("n"))
 
 
+def top_similar(asked: DataFrame, held: DataFrame, best: int, block_rows: int = 512) -> DataFrame:
+    """(id, embedding) twice -> (id, other, score, place): of each asked vector the ``best`` most alike others, ties by id.
+
+    Blocks as in ``rank_people``: a block of queries meets each part of the held rows once, and a part's best go on."""
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-asked.count() // block_rows))
+    left = asked.select("id", "embedding", F.pmod(F.hash("id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    right = held.select("id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.hash("id"), F.lit(parts)).alias("part"))
+
+    def best_of_part(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(held):
+            held = held.sort_values("id", ignore_index=True)  # a stable sort then breaks ties by id
+            ids, others = asked["id"].to_numpy(), held["id"].to_numpy()
+            scores = np.stack(asked["embedding"].to_numpy()).astype(float) @ np.stack(held["embedding"].to_numpy()).astype(float).T
+            scores[ids[:, None] == others[None, :]] = -np.inf  # not with itself
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :best]
+            found = np.take_along_axis(scores, order, 1)
+            out.append(pd.DataFrame({"id": np.repeat(ids, order.shape[1]), "other": others[order].ravel(), "score": found.ravel()}))
+        found = pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "score": []})
+        return found[found["score"] > -np.inf]
+
+    partial = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(best_of_part, "id long, other long, score double")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
+    return partial.withColumn("place", place).where(F.col("place") <= best)
+
+
 def suggest(ranked: DataFrame, least: float, margin: float) -> DataFrame:
     """The best person, if good enough and far enough before the next."""
     w = Window.partitionBy("id").orderBy(F.desc("score"), "person")

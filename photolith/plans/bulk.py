@@ -106,6 +106,19 @@ def colour_oklab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", F.round(pixels.oklab(r, g, b)[0], 9).alias("ok_l"))
 
 
+@query("""SELECT vec_id, round(60 * CASE WHEN d = 0 THEN 0 WHEN mx = r THEN CASE WHEN g < b THEN (g - b) / d + 6 ELSE (g - b) / d END WHEN mx = g THEN (b - r) / d + 2 ELSE (r - g) / d + 4 END, 6) AS hue,
+round(CASE WHEN mx > 0 THEN d / mx ELSE 0 END, 6) AS s_hsv, round(mx, 6) AS v, round(CASE WHEN 1 - abs(mx + mn - 1) > 0 THEN d / (1 - abs(mx + mn - 1)) ELSE 0 END, 6) AS s_hsl, round((mx + mn) / 2, 6) AS l
+FROM (SELECT *, greatest(r, g, b) AS mx, least(r, g, b) AS mn, greatest(r, g, b) - least(r, g, b) AS d FROM
+(SELECT vec_id, least(1, abs(embedding[1]::DOUBLE)) AS r, least(1, abs(embedding[2]::DOUBLE)) AS g, least(1, abs(embedding[3]::DOUBLE)) AS b FROM embeddings))""")
+def colour_hsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hue, saturation, value and lightness of a vector's first three numbers."""
+    r, g, b = (F.least(F.lit(1.0), F.abs(F.col("embedding")[k].cast("double"))) for k in range(3))
+    hue, s_hsv, v = pixels.hsv(r, g, b)
+    _, s_hsl, light = pixels.hsl(r, g, b)
+    found = {"hue": hue, "s_hsv": s_hsv, "v": v, "s_hsl": s_hsl, "l": light}
+    return read(spark, sf_dir, "embeddings").select("vec_id", *[F.round(c, 6).alias(n) for n, c in found.items()])
+
+
 @query(W + f"""SELECT id, file_name, rating, flag, coalesce(label, '') AS label, captured, camera, len(keywords)::BIGINT AS n_keywords, a.n AS albums FROM photos
 LEFT JOIN (SELECT conv_id AS id, count(*) AS n FROM conversations GROUP BY conv_id) a USING (id) WHERE {IN_LIBRARY}""")
 def photo_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,6 +113,15 @@ def find_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.similar(rows, wanted, 0.2).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
+@query("""SELECT id, other, place, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS place FROM
+(SELECT a.vec_id AS id, b.vec_id AS other, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)) WHERE place <= 10""")
+def find_similar_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most alike of each twentieth vector, among all."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    found = vectors.top_similar(rows.where("id % 20 = 0"), rows, 10)
+    return found.select("id", "other", F.col("place").cast("long").alias("place"), F.round("score", 6).alias("score"))
+
+
 _RANKED = """pairs AS (SELECT u.vec_id AS id, k.label AS person, list_dot_product(u.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS score FROM embeddings u, embeddings k WHERE u.vec_id % 20 = 0 AND k.vec_id % 20 <> 0),
 top AS (SELECT *, row_number() OVER (PARTITION BY id, person ORDER BY score DESC) AS k FROM pairs),
 ranked AS (SELECT id, person, avg(score) AS score, count(*) AS n FROM top WHERE k <= 2 GROUP BY ALL)"""
