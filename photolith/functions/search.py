@@ -87,7 +87,8 @@ def has_stem(text: Column, accepted: list[str]) -> Column:
     """Whether a word of the text has one of the stems: one pass of a pattern over the text, no words are made."""
     every = sorted({w for s in accepted for w in words_with_stem(s)})
     case = "(?i)" if all(map(str.isascii, every)) else "(?iu)"
-    return text.rlike(rf"{case}(?<![\p{{L}}\p{{N}}])(?:{'|'.join(map(re.escape, every))})(?![\p{{L}}\p{{N}}])")
+    starts = "".join(sorted({re.escape(w[0]) for w in every}))  # looked at first, as most places in a text fail there
+    return text.rlike(rf"{case}(?=[{starts}])(?<![\p{{L}}\p{{N}}])(?:{'|'.join(map(re.escape, every))})(?![\p{{L}}\p{{N}}])")
 
 
 def score(weighted: list[tuple[int, Column]], captured: Column, query: str) -> Column:
