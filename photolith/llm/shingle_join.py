@@ -47,6 +47,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,9 +61,11 @@ NUMERATOR, DENOMINATOR = 75, 100
 COLD = 16
 SEEDS = 4
 ROUNDS = 4
-#: A task holds so many shingles before it packs their signatures; a range of signatures holds about so many.
+#: A task holds so many shingles before it packs their signatures; a range of signatures holds about so many, which meet
+#: so many at a time.
 HELD_SHINGLES = 400_000
 RANGE_SIGNATURES = 2_500_000
+HELD_SIGNATURES = 250_000
 #: Pairs with one common set are checked in blocks of about so many.
 BLOCK = 256
 #: So many rows of (text, block) are broadcast at most when sets are sent to their blocks; beyond that they are joined.
@@ -258,17 +261,20 @@ def pack(found: np.ndarray, owner: np.ndarray, keys: np.ndarray, sizes: np.ndarr
         )
 
 
-def unpack(raw: bytes) -> tuple[np.ndarray, ...]:
-    """(signature, key, size, least, band), a row per signature."""
+def unpack(raw: pa.Buffer) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+    """(key, size, least, band) of the entries, and the signatures, sorted, with the position of each one's entry."""
     entries, n, first = np.frombuffer(raw, np.uint32, 3)
     entries, n, at = int(entries), int(n), 12
     parts = []
     for kind, length in ((np.int64, entries), (np.uint32, entries), (np.uint16, entries), (np.uint8, entries), (np.uint32, n), (np.uint32 if entries > 65535 else np.uint16, n)):
         parts.append(np.frombuffer(raw, kind, length, at))
         at += parts[-1].nbytes
-    keys, sizes, least, bands, low, place = parts
-    high = int(first) + np.cumsum(np.frombuffer(zlib.decompress(raw[at:]), np.uint16).astype(np.int64))
-    return high.astype(np.uint64) << _U(32) | low, keys[place], sizes[place], least[place], bands[place]
+    found = np.frombuffer(zlib.decompress(memoryview(raw)[at:]), np.uint16).astype(np.uint64)
+    np.cumsum(found, out=found)
+    found += _U(first)
+    found <<= _U(32)
+    found |= parts[4]
+    return tuple(parts[:4]), found, parts[5]
 
 
 _FOUND = "a long, b long, shared int, least_a int, least_b int, up_a boolean, up_b boolean"
@@ -313,6 +319,29 @@ def meet(found: np.ndarray, keys: np.ndarray, sizes: np.ndarray, least: np.ndarr
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "shared", "least_a", "least_b", "up_a", "up_b"])
 
 
+def meet_packed(raws: list[pa.Buffer], every_hot: bool = False) -> pa.Table:
+    """``meet`` over packed signatures, about ``HELD_SIGNATURES`` at a time: all rows of a signature come at once."""
+    unpacked = [unpack(raw) for raw in raws]
+    entries = [np.concatenate(c) for c in zip(*(u[0] for u in unpacked), strict=True)]
+    offsets = np.cumsum([0, *(len(u[0][0]) for u in unpacked)])
+    lowest, highest = min(int(u[1][0]) for u in unpacked), max(int(u[1][-1]) for u in unpacked)
+    turns = sum(len(u[1]) for u in unpacked) // HELD_SIGNATURES + 1
+    bounds = np.array([lowest + (highest + 1 - lowest) * t // turns for t in range(turns + 1)], np.uint64)
+    cuts = [np.searchsorted(u[1], bounds) for u in unpacked]
+    tables = []
+    for t in range(turns):
+        found = np.concatenate([u[1][c[t] : c[t + 1]] for u, c in zip(unpacked, cuts, strict=True)])
+        of = np.concatenate([u[2][c[t] : c[t + 1]] + o for u, c, o in zip(unpacked, cuts, offsets[:-1], strict=True)])
+        tables.append(meet(found, *(e[of] for e in entries), every_hot))
+    every = pa.concat_tables(tables)
+    if turns == 1 or every_hot:
+        return every
+    hot = pc.equal(every.column("shared"), 0)
+    pairs = every.filter(pc.invert(hot)).group_by(["a", "b", "least_a", "least_b", "up_a", "up_b"]).aggregate([("shared", "sum")])
+    pairs = pairs.rename_columns([name.removesuffix("_sum") for name in pairs.column_names])
+    return pa.concat_tables([pairs.select(every.column_names).cast(every.schema), every.filter(hot)])
+
+
 def document_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, key, text_hash); key is null for an empty set."""
 
@@ -362,11 +391,8 @@ def candidates(docs: DataFrame, ranges: int) -> DataFrame:
     """(text) -> rows of ``meet``."""
 
     def meet_range(rows: pa.Table) -> pa.Table:
-        parts = [unpack(raw) for raw in rows.column("packed").to_pylist()]
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        parts.clear()
-        found = meet(*columns, every_hot=rows.column("range")[0].as_py() >= ranges)
-        columns.clear()
+        raws = [raw.as_buffer() for raw in rows.column("packed")]
+        found = meet_packed(raws, every_hot=rows.column("range")[0].as_py() >= ranges)
         give_back()
         return found
 

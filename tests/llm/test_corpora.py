@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 from photolith.llm import hidden_markov, shingle_join, words
 from photolith.llm.components import connected_components
@@ -103,12 +104,31 @@ def test_signatures_survive_packing():
     s, sizes = shingle_join.Signatures(sets), np.array([len(x) for x in sets])
     keys = np.arange(len(sets)) * 11 - 22
     packed = list(shingle_join.pack(s.found, s.owner, keys[s.set], sizes[s.set], s.least, s.band, 3))
-    got = sorted(zip(*(np.concatenate(c).tolist() for c in zip(*(shingle_join.unpack(raw) for _, raw in packed), strict=True)), strict=True))
+    unpacked = [(of, *shingle_join.unpack(pa.py_buffer(raw))) for of, raw in packed]
+    got = sorted(row for _, entries, found, place in unpacked for row in zip(found.tolist(), *(e[place].tolist() for e in entries), strict=True))
     rows = (keys[s.set], sizes[s.set], s.least, s.band)
     assert got == sorted(zip((s.found >> np.uint64(16)).tolist(), *(x[s.owner].tolist() for x in rows), strict=True))
     # of a hot signature no more than the first rows stay in its range
-    for of, raw in packed:
-        assert 0 <= of < 6 and (of >= 3 or np.unique(shingle_join.unpack(raw)[0], return_counts=True)[1].max() <= shingle_join.COLD + 1)
+    for of, _, found, _ in unpacked:
+        assert 0 <= of < 6 and (of >= 3 or np.unique(found, return_counts=True)[1].max() <= shingle_join.COLD + 1)
+        assert (found[1:] >= found[:-1]).all()
+
+
+def test_signatures_meet_alike_in_any_number_of_turns(monkeypatch):
+    rng = np.random.default_rng(9)
+    whole = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (3, 40, 300)]
+    sets = [np.unique(np.append(w[rng.random(len(w)) > 0.05], rng.integers(0, 2**63, k % 3).astype(np.uint64))) for k in range(30) for w in whole]
+    keys = rng.permutation(len(sets)).astype(np.int64)
+    raws = []
+    for part in (slice(0, 50), slice(50, None)):
+        s, sizes = shingle_join.Signatures(sets[part]), np.array([len(x) for x in sets[part]])
+        raws += [pa.py_buffer(raw) for _, raw in shingle_join.pack(s.found, s.owner, keys[part][s.set], sizes[s.set], s.least, s.band, 1)]
+    for every_hot in (False, True):
+        results = []
+        for held in (1 << 40, 700, 40):
+            monkeypatch.setattr(shingle_join, "HELD_SIGNATURES", held)
+            results.append(sorted(tuple(row.values()) for row in shingle_join.meet_packed(raws, every_hot).to_pylist()))
+        assert results[0] == results[1] == results[2] and len(results[0]) > 100
 
 
 def test_components(spark):
