@@ -36,6 +36,20 @@ def normalize_iso(text: Column) -> Column:
     return F.when(same, from_seconds(secs))
 
 
+def offset_minutes(text: Column) -> Column:
+    """Minutes east of UTC of ``Z``, ``+hh``, ``+hhmm`` or ``+hh:mm``; null for anything else and beyond 18 hours."""
+    clean = F.rtrim(F.trim(text), F.lit("\0"))
+    part = lambda n: F.regexp_extract(clean, r"^[+-](\d{1,2})(?::?(\d\d))?$", n)
+    hours, minutes = part(1).try_cast("int"), F.coalesce(part(2).try_cast("int"), F.lit(0))
+    east = F.when((hours <= 18) & (minutes <= 59), hours * 60 + minutes)
+    return F.when(clean == "Z", 0).otherwise(F.when(clean.startswith("-"), -east).otherwise(east))
+
+
+def utc_seconds(text: Column, offset: Column) -> Column:
+    """Seconds since 1970 of a camera's time (``yyyy:mm:dd hh:mm:ss`` or ISO); where the offset is unknown, of local time."""
+    return iso_seconds(normalize_iso(text)) - 60 * F.coalesce(offset_minutes(offset), F.lit(0))
+
+
 def weekday(text: Column) -> Column:
     return F.date_format(F.timestamp_seconds(iso_seconds(text)), "EEEE")
 

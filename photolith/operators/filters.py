@@ -203,6 +203,38 @@ def apply(photos: DataFrame, f: Filter) -> DataFrame:
     return found
 
 
+def save_preset(presets: dict[str, Filter], name: str, f: Filter) -> dict[str, Filter]:
+    """The presets with one more; a name that differs in case only is replaced in its place."""
+    name = name.strip()
+    if not name or f == Filter():
+        raise ValueError("a preset needs a name and a filter that constrains something")
+    same = next((n for n in presets if n.lower() == name.lower()), None)
+    return {(name if n == same else n): (f if n == same else g) for n, g in presets.items()} | ({} if same else {name: f})
+
+
+def preset(presets: dict[str, Filter], name: str) -> Filter:
+    """A preset by its name in any case; a KeyError without one."""
+    return next((f for n, f in presets.items() if n.lower() == name.lower()), None) or presets[name]
+
+
+def delete_preset(presets: dict[str, Filter], name: str) -> dict[str, Filter]:
+    """The presets without one; a KeyError if there is none of that name."""
+    preset(presets, name)
+    return {n: f for n, f in presets.items() if n.lower() != name.lower()}
+
+
+def count_presets(photos: DataFrame, presets: dict[str, Filter]) -> DataFrame:
+    """(preset, photos): how many photos each preset shows. All without id sets are counted in one pass over the photos."""
+    plain = {n: f for n, f in presets.items() if f.only is None and f.album is None}
+    shown = [F.count_if(reduce(lambda a, b: a & b, conjuncts(f))).alias(f"n{k}") for k, f in enumerate(plain.values())]
+    parts = [apply(photos, f).agg(F.count("*").alias("photos")).select(F.lit(n).alias("preset"), "photos") for n, f in presets.items() if n not in plain]
+    if shown:
+        named = F.array(*[F.struct(F.lit(n).alias("preset"), F.col(f"n{k}").alias("photos")) for k, n in enumerate(plain)])
+        parts.append(photos.agg(*shown).select(F.inline(named)))
+    empty = photos.sparkSession.createDataFrame([], "preset string, photos long")
+    return reduce(lambda a, b: a.unionByName(b), parts, empty)
+
+
 def recently_added(photos: DataFrame, days: int = 30) -> DataFrame:
     """What was imported within ``days`` of the latest import."""
     latest = photos.where("not deleted and not local").agg(F.max("imported").alias("latest"))

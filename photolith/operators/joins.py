@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from photolith.functions.geo import EARTH_M, distance_m, project, unproject
+from photolith.functions.geo import EARTH_M, distance_m, parse_position, project, unproject
 
 
 def classify_import(candidates: DataFrame, library: DataFrame) -> DataFrame:
@@ -77,6 +77,43 @@ def nearest_place(photos: DataFrame, places: DataFrame, limit_m: float = 50_000.
     return best.select("id", "best.place_id", F.round("best.m").cast("long").alias("metres"))
 
 
+PLACE_FIELDS = ("location", "city", "state", "country")
+
+
+def fill_place(photos: DataFrame, nearest: DataFrame, places: DataFrame, overwrite: bool = False) -> DataFrame:
+    """Photos with the fields of the place found for them (nearest: id, place_id; places: place_id and the fields).
+
+    A field is filled where it is blank, or always with ``overwrite``; an empty field of the place changes nothing."""
+    found = nearest.join(places.select("place_id", *[F.col(c).alias(f"_{c}") for c in PLACE_FIELDS]), "place_id").drop("place_id")
+    blank = lambda c: F.lit(True) if overwrite else F.trim(F.coalesce(c, F.lit(""))) == ""
+    filled = {c: F.when((F.col(f"_{c}") != "") & blank(c), F.col(f"_{c}")).otherwise(F.col(c)) for c in PLACE_FIELDS}
+    return photos.join(found.select("id", *[f"_{c}" for c in PLACE_FIELDS]), "id", "left").withColumns(filled).select(*photos.columns)
+
+
+def search_places(named: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """Saved locations and place names (kind, name, lat, lon) that match, the best ``limit``: equal, then beginning with the
+    query, then containing it, by name; case and blanks around don't matter. A typed position comes first, beside them."""
+    wanted = query.strip().lower()
+    name = F.lower(F.trim("name"))
+    rank = F.when(name == wanted, 0).when(F.startswith(name, F.lit(wanted)), 1).when(F.contains(name, F.lit(wanted)), 2)
+    on_earth = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180) & F.lit(wanted != "")
+    columns = ["rank", "kind", "name", "lat", "lon"]
+    best = named.withColumn("rank", rank).where(F.col("rank").isNotNull() & on_earth).orderBy("rank", "name", "kind").limit(limit).select(*columns)
+    typed = named.sparkSession.range(1).select(parse_position(F.lit(wanted)).alias("p")).where("p is not null")
+    typed = typed.select(F.lit(-1).alias("rank"), F.lit("position").alias("kind"), F.concat_ws(", ", "p.lat", "p.lon").alias("name"), "p.lat", "p.lon")
+    return typed.unionByName(best)
+
+
+def arrivals(files: DataFrame, library: DataFrame) -> DataFrame:
+    """(id, path, outcome) of files in the watched folder: known, deleted (what was deleted doesn't come back by itself) or new.
+
+    The library is reduced to a row per path first, so a file meets one row at most."""
+    state = library.groupBy("path").agg(F.bool_and("deleted").alias("gone"))
+    found = files.select("id", "path").join(state, "path", "left")
+    outcome = F.when(F.col("gone").isNull(), "new").when(F.col("gone"), "deleted").otherwise("known")
+    return found.select("id", "path", outcome.alias("outcome"))
+
+
 def inside_any(photos: DataFrame, circles: DataFrame) -> DataFrame:
     """Photos (id, lat, lon) inside a saved circle (c_lat, c_lon, radius_m), the boundary included.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from photolith.functions import search
 from photolith.functions.names import people
 from photolith.operators import catalog, rules
-from photolith.operators.filters import Filter, apply, merged_kind, recently_added
+from photolith.operators.filters import Filter, apply, count_presets, merged_kind, recently_added, save_preset
 from photolith.plans.registry import query
 from photolith.sources.photos import NOW, PHOTOS_CTE, photos, visible
 
@@ -46,6 +46,21 @@ def filter_folder_person(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply(photos(spark, sf_dir), Filter(library_folder="/photos/./x/../src1/", person=" BOB ")).select("id", "path")
 
 
+@query(W + f"""SELECT 'Best' AS preset, count(*) AS photos FROM photos WHERE {IN_LIBRARY} AND rating >= 4 AND flag = 'pick'
+UNION ALL SELECT 'Without a place', count(*) FROM photos WHERE {IN_LIBRARY} AND lat IS NULL AND trim(location || city || state || country) = ''
+UNION ALL SELECT 'bin', count(*) FROM photos WHERE deleted
+UNION ALL SELECT 'Ann at night', count(*) FROM photos WHERE {IN_LIBRARY} AND iso > 3200 AND len(list_filter(names, lambda n: lower(trim(n)) = 'ann')) > 0""")
+def filter_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many photos each saved filter shows; the second saving of one replaces the first."""
+    saved: dict[str, Filter] = {}
+    for name, f in (
+        ("best", Filter(rating=5)), ("Without a place", Filter(has_gps=False, named_place=False)), (" Best ", Filter(rating=4, flag="pick")),
+        ("bin", Filter(deleted=True)), ("Ann at night", Filter(person="Ann", text="iso:>3200")),
+    ):
+        saved = save_preset(saved, name, f)
+    return count_presets(photos(spark, sf_dir), saved)
+
+
 @query(W + r"""SELECT id, path FROM photos WHERE NOT deleted AND regexp_matches(path, '^/photos/src2/[^/]*$')""")
 def filter_browsed_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder on disk shows browsed photos too, but not those of folders inside."""

@@ -89,6 +89,49 @@ def nearest_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.nearest_place(photos(spark, sf_dir).where("lat is not null").select("id", "lat", "lon"), _places(spark, sf_dir))
 
 
+_NEAR = f"""near AS (SELECT p.id, q.place_id, {_metres('p', 'q')} AS m FROM photos p JOIN places q
+ON abs(floor(p.lat) - floor(q.lat)) <= 1 AND least((floor(p.lon) - floor(q.lon) + 360)::INT % 360, (floor(q.lon) - floor(p.lon) + 360)::INT % 360) <= 1 WHERE p.lat IS NOT NULL),
+best AS (SELECT id, arg_min(place_id, (m, place_id)) AS place_id FROM near WHERE m <= 50000 GROUP BY id)"""
+#: Fields of a place, alike in both languages.
+_FIELDS = {
+    "location": "CASE WHEN p_partkey % 4 = 0 THEN 'Pier' ELSE '' END", "city": "concat('Town ', cast(p_partkey % 50 as string))",
+    "state": "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'North' END", "country": "concat('Land ', cast(p_partkey % 7 as string))",
+}
+
+
+@query(W + f""", {_PLACES}, {_NEAR}, names AS (SELECT p_partkey AS place_id, {', '.join(f'{e} AS n_{c}' for c, e in _FIELDS.items())} FROM part)
+SELECT p.id, {', '.join(f"CASE WHEN n_{c} <> '' AND trim(p.{c}) = '' THEN n_{c} ELSE p.{c} END AS {c}" for c in _FIELDS)} FROM photos p LEFT JOIN best USING (id) LEFT JOIN names USING (place_id)""")
+def places_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank place fields filled from the nearest place; what was typed stays."""
+    every = photos(spark, sf_dir)
+    nearest = joins.nearest_place(every.where("lat is not null").select("id", "lat", "lon"), _places(spark, sf_dir))
+    named = read(spark, sf_dir, "part").selectExpr("p_partkey AS place_id", *[f"{e} AS {c}" for c, e in _FIELDS.items()])
+    return joins.fill_place(every.select("id", *joins.PLACE_FIELDS), nearest, named)
+
+
+@query(W + f""", named AS (SELECT 'location' AS kind, concat('Dock of City ', s_suppkey) AS name, (s_suppkey * 7907 % 14000)::DOUBLE / 100 - 70 AS lat, (s_suppkey * 104707 % 36000)::DOUBLE / 100 - 180 AS lon FROM supplier
+UNION ALL SELECT 'place', city, avg(lat), avg(lon) FROM photos WHERE {IN_LIBRARY} AND lat IS NOT NULL AND trim(city) <> '' GROUP BY city)
+SELECT rank, kind, name, round(lat, 9) AS lat, round(lon, 9) AS lon FROM (SELECT *, CASE WHEN lower(trim(name)) = 'city 1' THEN 0 WHEN starts_with(lower(trim(name)), 'city 1') THEN 1 WHEN contains(lower(name), 'city 1') THEN 2 END::INT AS rank FROM named)
+WHERE rank IS NOT NULL ORDER BY rank, name, kind LIMIT 20""")
+def place_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best twenty of the saved locations and of the photos' cities, each with the centre of its photos."""
+    saved = read(spark, sf_dir, "supplier").selectExpr(
+        "'location' AS kind", "concat('Dock of City ', s_suppkey) AS name", "cast(s_suppkey * 7907 % 14000 as double) / 100 - 70 AS lat", "cast(s_suppkey * 104707 % 36000 as double) / 100 - 180 AS lon"
+    )
+    cities = visible(photos(spark, sf_dir)).where("lat is not null and trim(city) <> ''").groupBy("city").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    found = joins.search_places(saved.unionAll(cities.select(F.lit("place").alias("kind"), "city", "lat", "lon")), " City 1 ")
+    return found.withColumns({"lat": F.round("lat", 9), "lon": F.round("lon", 9)})
+
+
+@query(W + """SELECT f.id, f.path, CASE WHEN p.path IS NULL THEN 'new' WHEN p.deleted THEN 'deleted' ELSE 'known' END AS outcome
+FROM (SELECT id, CASE WHEN id % 3 = 0 THEN path || '-2' ELSE path END AS path FROM photos) f LEFT JOIN (SELECT path, bool_and(deleted) AS deleted FROM photos GROUP BY path) p USING (path)""")
+def watched_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a watched folder, a third of them under new names, against the library and what was deleted from it."""
+    library = photos(spark, sf_dir).select("id", "path", "deleted")
+    files = library.withColumn("path", F.when(F.col("id") % 3 == 0, F.concat("path", F.lit("-2"))).otherwise(F.col("path")))
+    return joins.arrivals(files, library)
+
+
 @query(W + f""", c AS (SELECT s_suppkey, (s_suppkey * 7907 % 14000)::DOUBLE / 100 - 70 AS lat, (s_suppkey * 104707 % 36000)::DOUBLE / 100 - 180 AS lon FROM supplier)
 SELECT id FROM photos p WHERE lat IS NOT NULL AND EXISTS (SELECT 1 FROM c WHERE {_metres('p', 'c')} <= 500000)""")
 def private_locations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,18 @@ def scalar_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_OFFSET = "CASE event_id % 8 WHEN 0 THEN '+05:30' WHEN 1 THEN '-0330' WHEN 2 THEN 'Z' WHEN 3 THEN '+2' WHEN 4 THEN ' -11:00 ' WHEN 5 THEN '+19:00' WHEN 6 THEN 'UTC' END"
+
+
+@query(f"""SELECT event_id, minutes, floor(epoch(ts::TIMESTAMP))::BIGINT - 60 * coalesce(minutes, 0) AS secs FROM (SELECT event_id, ts,
+CASE event_id % 8 WHEN 0 THEN 330 WHEN 1 THEN -210 WHEN 2 THEN 0 WHEN 3 THEN 120 WHEN 4 THEN -660 END::INT AS minutes FROM events)""")
+def scalar_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Camera times with their offsets from UTC."""
+    local = F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy:MM:dd HH:mm:ss")
+    rows = read(spark, sf_dir, "events").select("event_id", local.alias("text"), F.expr(_OFFSET).alias("offset"))
+    return rows.select("event_id", times.offset_minutes(F.col("offset")).alias("minutes"), times.utc_seconds(F.col("text"), F.col("offset")).alias("secs"))
+
+
 @query(W + r"""SELECT id, replace(replace(regexp_replace(file_name, '\.[^.]*$', '') || '_' || coalesce(substr(captured, 1, 4), '') || '_' || rating || '_' || camera || '.' || lower(regexp_extract(file_name, '^.+\.([^.]*)$', 1)), ' ', '-'), ':', '-') AS new_name FROM photos""")
 def scalar_rename_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = expand("{name}_{year}_{rating}_{camera}.{ext}")
