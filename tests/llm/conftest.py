@@ -1,5 +1,10 @@
+import math
+from itertools import combinations
+
+import numpy as np
 import pytest
 
+from photolith.llm import toxicity
 from photolith.llm.common import small_batches
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -23,6 +28,16 @@ def make(spark, tmp_path_factory):
     return write
 
 
+
+
+def pairwise_score(model, text):
+    """A factorization machine's score by a sum over all pairs of features."""
+    places = sorted({model.place[b] for w in toxicity.words_of(text or "") for b in toxicity.buckets_of(w) if b in model.place})
+    total = model.bias + sum(model.weights[k] for k in places)
+    total += sum(float(np.dot(model.factors[i], model.factors[j])) for i, j in combinations(places, 2))
+    return 1 / (1 + math.exp(-total))
+
+
 LONG = " ".join(f"w{i % 701}x{i % 13}" for i in range(20_000))
 #: Nulls, empty and blank texts, a long one, repeated rows and ids, strange white space.
 ODD = [

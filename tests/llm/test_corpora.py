@@ -1,6 +1,8 @@
 """The Jaccard join, the language model, the mix and the pipeline against brute force."""
 
+import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -9,10 +11,10 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 
-from photolith.llm import hidden_markov, shingle_join, words
+from photolith.llm import hidden_markov, shingle_join, toxicity, words
 from photolith.llm.components import connected_components
 from photolith.llm.queries import ORACLE_SQL, QUERIES
-from tests.llm.conftest import ODD
+from tests.llm.conftest import ODD, pairwise_score
 
 
 def shingles(text):
@@ -305,6 +307,88 @@ def test_pipeline(spark, make):
     assert corpus_pipeline.STAGES[4][1](spark, docs, folder).count() == docs.count()
 
 
+def groups(texts):
+    """Positions by connected component of brute-force links; a text without words is alone."""
+    sets, left, found = [shingles(t) for t in texts], set(range(len(texts))), []
+    while left:
+        todo = [left.pop()]
+        own = []
+        while todo:
+            own.append(k := todo.pop())
+            near = {j for j in left if sets[k] & sets[j] and 100 * len(sets[k] & sets[j]) >= 75 * len(sets[k] | sets[j])}
+            left -= near
+            todo += near
+        found.append(own)
+    return found
+
+
+def test_pipeline_stages_on_odd_rows(spark, make, tmp_path):
+    """Each stage against plain Python on what it was given: nulls, ties, repeated rows and ids, long texts, other columns."""
+    import corpus_pipeline
+    import public_tokenizers
+    import sentencepiece
+    from pyspark.sql import functions as F
+
+    rng = random.Random(21)
+    words = ["sun", "moon", "tree", "river", "stone", "cloud", "walk", "light", "green", "field", "house", "night"]
+    text = lambda n=60: " ".join(rng.choice(words) + rng.choice(["", "s", "ed"]) + str(rng.randint(0, 999)) for _ in range(n))
+    clean = [(i, text(), "en", f"s{i % 3}", 0) for i in range(100)]
+    toxic = [(200 + i, text() + " moron scum idiot", "en", "s1", 0) for i in range(40)]
+    a, b, c, d = text(), text(), text(), text()
+    odd = [
+        (500, a, None, None, None), (500, a, None, None, None), (None, b, "en", "s0", 1), (None, b, "en", "s0", 1), (501, b + " more", "en", None, 1),
+        (502, c, "en", "s2", 1), (502, d, "en", "s2", 1), (503, text(30_000), "en", "", 1), (504, clean[3][1], "en", "s9", 1), (-5, clean[3][1] + " x", "en", "s9", 1),
+    ] + [(i, t, "en", "s", 0) for i, t in ODD]
+    labels = [(r[0], 1, 0) for r in clean] + [(r[0], 1, 1) for r in toxic] + [(500, None, None), (None, 0, 1)]
+    folder = make(documents=clean + toxic + odd, labels=labels)
+    read = lambda df: [tuple(r) for r in df.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    more = lambda df: df.select("*", *[F.lit("clash").alias(x) for x in ("key", "score", "kept", "toxic", "size", "taken", "n")])
+    stages = dict(corpus_pipeline.STAGES)
+
+    def step(name, rows):
+        path = f"{tmp_path}/{name}"
+        os.makedirs(path)
+        os.symlink(f"{folder}/labels.parquet", f"{path}/labels.parquet")
+        more(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).write.parquet(f"{path}/documents.parquet")
+        return path, read(stages[name](spark, spark.read.parquet(f"{path}/documents.parquet"), path))
+
+    given = clean + toxic + odd
+    path, kept = step("toxicity", given)
+    model = toxicity.fit(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet"))
+    assert Counter(kept) == Counter(r for r in given if pairwise_score(model, r[1]) < 0.5)
+    assert {r[0] for r in kept} & {r[0] for r in toxic} == set() and set(clean) <= set(kept)
+    given = kept
+    path, kept = step("quality", given)
+    judged = [r["doc_id"] for r in QUERIES["op2_quality"](spark, path).where("kept").collect()]
+    assert Counter(r[0] for r in kept) == Counter(judged) and Counter(kept) <= Counter(given) and len({500, 503, None} & {r[0] for r in kept}) == 3
+    given = kept
+    _, kept = step("near-duplicates", given)
+    first = lambda own: min((given[k] for k in own), key=lambda r: (r[0] is None, r[0] or 0))
+    assert Counter(kept) == Counter(first(own) for own in groups([r[1] for r in given]))
+    given = kept
+    path, kept = step("mix", given)
+    size = lambda t: len((t or "").encode().split())
+    want = Counter()
+    for r in QUERIES["op10_mix"](spark, path).collect():
+        whole, rest = divmod(r["taken"], r["size"]) if r["size"] else (0, 0)
+        want.update([(r["doc_id"], r["size"])] * whole + [(r["doc_id"], rest)] * (rest > 0))
+    assert Counter((r[0], size(r[1])) for r in kept) == want and len(kept) > len(given)
+    assert all(any(r[1] == g[1] or g[0] == r[0] and g[1].startswith(r[1]) and r[4] == len(r[1]) for g in given) for r in kept)
+    digests = stages["encode"](spark, spark.createDataFrame(kept, "doc_id long, text string, lang string, source string, n_chars long"), folder)
+    library = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
+    want = []
+    for r in kept:
+        ids = library.encode(r[1] or "", add_eos=True)
+        want.append((r[0], len(ids), *(hashlib.sha256(t.encode()).hexdigest() for t in (" ".join(map(str, ids)), library.decode(ids)))))
+    assert Counter(tuple(r) for r in digests.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == Counter(want)
+
+
+def test_pipeline_of_empty_tables(spark, make):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, make()).count() == 0
+
+
 def test_first_of_each_keeps_one_row_of_a_group(spark):
     rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "q r s t u v w"), (3, "q r s t u v w"), (3, "other words entirely here now"), (4, ""), (4, None), (None, "no id at all here")]
     got = shingle_join.first_of_each(spark.createDataFrame(rows, "doc_id long, text string"))

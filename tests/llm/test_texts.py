@@ -12,7 +12,7 @@ import pytest
 
 from photolith.llm import fingerprints, html_text, quality, toxicity, warc
 from photolith.llm.queries import QUERIES
-from tests.llm.conftest import ODD
+from tests.llm.conftest import ODD, pairwise_score
 
 
 def by_id(df, key="doc_id"):
@@ -101,6 +101,17 @@ def test_machine_learns_a_pair():
     assert model.score(["insult group"])[0] > 0.5 > max(low)
 
 
+def test_scores_are_sums_over_pairs():
+    random.seed(2)
+    words = ["insult", "insulting", "group", "groups", "thing", *[f"{a}{b}word" for a in "abcdef" for b in "uvwxyz"]]
+    texts = [" ".join(random.choices(words, k=random.randint(0, 12))) for _ in range(500)]
+    y = np.array([float("insult" in t and "group" in t or "auword" in t) for t in texts])
+    model = toxicity.FactorizationMachine.fit([toxicity.terms(t) for t in texts], y, np.ones(len(y)))
+    assert len(model.weights) > 2
+    for t, score in zip(texts, model.score(texts), strict=True):
+        assert score == pytest.approx(pairwise_score(model, t), rel=1e-9)
+
+
 def test_toxic_documents_are_found_and_labels_of_the_fold_unread(spark, make):
     random.seed(5)
     docs = [(i, " ".join(random.choice(["fine", "good", "day", "sun"]) for _ in range(30)) + (" scumbag moron" if i % 4 == 0 else "")) for i in range(400)]
