@@ -236,6 +236,21 @@ def _symbol(trained, word):
     return int(trained.lexicon.values["symbol"][place]) if place >= 0 else 1 + int(hidden_markov.word_class(endings)[0])
 
 
+def test_tables_and_batches_without_a_known_word(spark, make):
+    """Blank texts only, held-out rows only, and plain texts with a blank one alone in the last batch of a partition."""
+    score = QUERIES["op8_hidden_markov"]
+    blank = score(spark, make(documents=[(1, None), (2, ""), (3, " \t\n")])).collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in blank) == [(1, 1), (2, 1), (3, 1)] and all(r["score"] <= 0 for r in blank)
+    out = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
+    held = score(spark, make(documents=[(i, "words that are all unknown") for i in out])).collect()
+    assert len(held) == len(out)
+    for r in held:
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (True, 6, 0, 0, 0.0)
+    docs = [(i, f"plain words of text {i % 50}", "en", "s", 1) for i in range(1000)] + [(1000, "", "en", "s", 0)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    assert hidden_markov.score_documents(frame).count() == 1001
+
+
 def test_model_beats_words_alone(spark, make):
     rng = random.Random(9)
     kinds = [[f"{k}{c}" for c in "abcdefghij"] for k in ("red", "blue", "green")]
