@@ -48,12 +48,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing."""
+def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Writes ``df`` to the shared folder (with the writer's ``options``) and reads it back: lineage ends there, and a lost
+    executor loses nothing."""
     # Spark removes the shuffle files of plans that are gone once the driver's garbage collector has seen it
     df.sparkSession.sparkContext._jvm.System.gc()
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found._written_to = path
     return found

@@ -7,9 +7,11 @@ from photolith.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.conftest import ODD
 
 DOCUMENT_QUERIES = [n for n in QUERIES if n not in ("op4_html_text", "op5_warc")]
+#: One row per word, not per document.
+WORD_QUERIES = ["op12_spelling"]
 
 
-@pytest.mark.parametrize("name", DOCUMENT_QUERIES)
+@pytest.mark.parametrize("name", [n for n in DOCUMENT_QUERIES if n not in WORD_QUERIES])
 def test_odd_rows_each_get_a_row(spark, make, name):
     folder = make(documents=ODD, labels=[(4, 1, 0), (6, 0, 1), (None, 1, 1), (5, None, None)])
     got = QUERIES[name](spark, folder).collect()
@@ -24,7 +26,7 @@ def test_empty_tables_give_no_rows(spark, make, name):
 @pytest.mark.parametrize("name", DOCUMENT_QUERIES)
 def test_clashing_columns_do_not_matter(spark, make, tmp_path, name):
     folder = make(documents=ODD[:6], labels=[(4, 1, 0)])
-    clash = ["key", "size", "taken", "score", "target", "range", "piece", "n", "component", "toxic", "quality", "kept", "shingles"]
+    clash = ["key", "size", "taken", "score", "target", "range", "piece", "n", "component", "toxic", "quality", "kept", "shingles", "word", "near", "fingerprint", "choice", "row", "pairs"]
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     docs.select("*", *[F.lit("clash").alias(c) for c in clash]).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{folder}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
@@ -33,5 +35,5 @@ def test_clashing_columns_do_not_matter(spark, make, tmp_path, name):
 
 
 def test_queries_have_their_numbers():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
