@@ -8,6 +8,7 @@ nested set under "group".
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Mapping
 from datetime import datetime, timedelta
 from functools import reduce
@@ -149,10 +150,11 @@ def number_test(op: str, have: Column, value, read: Callable = number) -> Column
     if want is None:
         return have.isNull() if op == "isNot" else F.lit(False)
     tests = {
-        "is": F.abs(have - want) < 1e-6, "isNot": F.abs(have - want) >= 1e-6, "gte": have >= want - 1e-9,
-        "lte": have <= want + 1e-9, "gt": have > want, "lt": have < want,
+        "is": lambda: F.abs(have - want) < 1e-6, "isNot": lambda: F.abs(have - want) >= 1e-6, "gte": lambda: have >= want - 1e-9,
+        "lte": lambda: have <= want + 1e-9, "gt": lambda: have > want, "lt": lambda: have < want,
     }
-    return have.isNull() | _sure(known & tests[op]) if op == "isNot" else _sure(known & tests[op])
+    test = _sure(known & tests[op]())
+    return have.isNull() | test if op == "isNot" else test
 
 
 def _seconds(value) -> float | None:
@@ -202,11 +204,59 @@ def date_test(op: str, have: Column, value, now: str) -> Column:
 
 
 class RuleCompiler:
-    """Compiles rule sets over a photo table. ``albums``: id -> its rule set (smart) or an array-free membership column."""
+    """Compiles rule sets over a photo table. ``albums``: id -> its rule set (smart) or an array-free membership column.
+
+    Rules that name smart albums are compiled by ``over``, which gives each album that is named more than once a column of
+    its own, worked out once per photo in the order in which the albums need each other."""
 
     def __init__(self, now: str, albums: Mapping[int, dict | Column] | None = None, label_names: Mapping[str, str] | None = None) -> None:
         self.now, self.albums, self.label_names = now, albums or {}, label_names or {}
         self.open: list[int] = []
+        self.columns: dict[int, Column] = {}
+        self.cuts: set[tuple[int | None, int]] | None = None
+
+    def over(self, photos: DataFrame, rules: dict) -> tuple[DataFrame, Column]:
+        """The photos with the columns that the rules' test needs, and that test.
+
+        A reference to an album that is being worked out (a loop), or beyond ``DEEPEST`` albums, holds nothing, as it is met
+        in the order of the rules from the outermost on; an album worked out once is known from then on."""
+        order, self.cuts, uses = self._order(rules)
+        turn: dict[int, int] = {}
+        for album in order:
+            needs = [other for other in referred(self.albums[album]) if (album, other) not in self.cuts and other in turn]
+            turn[album] = max((turn[other] + (uses[other] > 1) for other in needs), default=0)
+        shared = [album for album in order if uses[album] > 1]
+        for k in sorted({turn[album] for album in shared}):
+            tests = {album: self._body(album) for album in shared if turn[album] == k}
+            # as a generator's output the columns are worked out once; a projection's would be put in place of their names
+            photos = photos.select("*", F.inline(F.array(F.struct(*[test.alias(f"_album_{album}") for album, test in tests.items()]))))
+            self.columns |= {album: F.col(f"_album_{album}") for album in tests}
+        return photos, self.compile(rules)
+
+    def _order(self, rules: dict) -> tuple[list[int], set[tuple[int | None, int]], Counter]:
+        """Smart albums, each after those it needs; references that are cut, as (from, to); how often each is named."""
+        order, cuts, uses = [], set(), Counter()
+
+        def visit(rules: dict, at: int | None, stack: tuple[int, ...]) -> None:
+            for other in referred(rules):
+                if not isinstance(self.albums.get(other), Mapping):
+                    continue
+                if other not in order and (other in stack or len(stack) >= DEEPEST):
+                    cuts.add((at, other))
+                    continue
+                uses[other] += 1
+                if other not in order:
+                    visit(self.albums[other], other, (*stack, other))
+                    order.append(other)
+
+        visit(rules, None, ())
+        return order, cuts, uses
+
+    def _body(self, album_id: int) -> Column:
+        self.open.append(album_id)
+        found = self.compile(self.albums[album_id]) & ~F.col("deleted")
+        self.open.pop()
+        return found
 
     def compile(self, rules: dict) -> Column:
         tests = [self.compile(r["group"]) if "group" in r else self.leaf(r["field"], r["op"], r.get("value")) for r in rules.get("rules", [])]
@@ -242,21 +292,33 @@ class RuleCompiler:
         return {"text": text_test, "path": path_test, "names": names_test}[kind](op, have, want)
 
     def album(self, album_id) -> Column:
-        """Photos of an album; a smart one's rules are put in its place, and one that is being compiled holds none."""
+        """Photos of an album: a smart one's column, or its rules in its place."""
         album = self.albums.get(album_id)
-        if album is None or album_id in self.open or len(self.open) >= DEEPEST:
+        if album is None:
             return F.lit(False)
         if isinstance(album, Column):
             return _sure(album)
-        self.open.append(album_id)
-        found = self.compile(album) & ~F.col("deleted")
-        self.open.pop()
-        return found
+        if self.cuts is None:  # compiled alone, without a table to put columns into
+            cut = album_id in self.open or len(self.open) >= DEEPEST
+        else:
+            cut = (self.open[-1] if self.open else None, album_id) in self.cuts
+        if cut:
+            return F.lit(False)
+        return self.columns.get(album_id) if album_id in self.columns else self._body(album_id)
 
 
 def select(photos: DataFrame, rules: dict, now: str, albums: Mapping | None = None) -> DataFrame:
     """A smart album's photos: those in the library that the rules let through."""
-    return photos.where(RuleCompiler(now, albums).compile(rules) & ~F.col("deleted") & ~F.col("local"))
+    found, test = RuleCompiler(now, albums).over(photos, rules)
+    return found.where(test & ~F.col("deleted") & ~F.col("local")).select(*photos.columns)
+
+
+def referred(rules: dict | Column) -> list[int]:
+    """The albums that a rule set names, in the order of the rules."""
+    out = []
+    for r in rules.get("rules", []) if isinstance(rules, Mapping) else []:
+        out += referred(r["group"]) if "group" in r else [r["value"]] if r["field"] == "album" else []
+    return out
 
 
 def issues(rules: dict, path: str = "rules", depth: int = 0) -> list[tuple[str, str]]:
@@ -331,13 +393,6 @@ def upgrade(rules: dict) -> dict:
 
 def reaches(albums: Mapping[int, dict], start: int, goal: int) -> bool:
     """Whether an album's rules lead, through others, to ``goal``."""
-
-    def referred(rules) -> list[int]:
-        out = []
-        for r in rules.get("rules", []) if isinstance(rules, dict) else []:
-            out += referred(r["group"]) if "group" in r else [r["value"]] if r["field"] == "album" else []
-        return out
-
     seen, waiting = set(), [start]
     while waiting:
         at = waiting.pop()

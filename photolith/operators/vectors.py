@@ -1,4 +1,4 @@
-"""Embedding vectors: cosine similarity, ranks, suggestions, clusters."""
+"""Embedding vectors: cosine similarity, ranks, suggestions."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_PER_PASS = 1000
-
 
 def dot(a: Column, b: Column) -> Column:
     """Of unit vectors, in double precision; null if their lengths differ."""
@@ -30,16 +28,20 @@ def rank_people(unknown: DataFrame, known: DataFrame, best: int = 2, block_rows:
     parts = int(unknown.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(1, -(-unknown.count() // block_rows))
     asked = unknown.select("id", "embedding", F.pmod(F.hash("id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    held = known.select("person", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.hash("embedding"), F.lit(parts)).alias("part"))
+    # named anew, as both sides may come from one table
+    held = known.select(F.col("person").alias("person"), F.col("embedding").alias("embedding"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.hash("embedding"), F.lit(parts)).alias("part"))
 
     def top(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(asked) and len(held):
-            scores = np.stack(asked["embedding"].to_numpy()).astype(float) @ np.stack(held["embedding"].to_numpy()).astype(float).T
+        for length, held in held.groupby(held["embedding"].map(len)):  # noqa: B020
+            alike = asked[asked["embedding"].map(len) == length]  # others have no likeness
+            if not len(alike):
+                continue
+            scores = np.stack(alike["embedding"].to_numpy()).astype(float) @ np.stack(held["embedding"].to_numpy()).astype(float).T
             for person, at in held.groupby("person").indices.items():
                 found = -np.sort(-scores[:, at], axis=1)[:, :best]
-                out.append(pd.DataFrame({"id": np.repeat(asked["id"].to_numpy(), found.shape[1]), "person": person, "score": found.ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "person": [], "score": []})
+                out.append(pd.DataFrame({"id": np.repeat(alike["id"].to_numpy(), found.shape[1]), "person": person, "score": found.ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "person": [], "score": []}, dtype=object)
 
     schema = f"id long, person {known.schema['person'].dataType.simpleString()}, score double"
     partial = asked.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInPandas(top, schema)
@@ -79,37 +81,3 @@ def suggest(ranked: DataFrame, least: float, margin: float) -> DataFrame:
     w = Window.partitionBy("id").orderBy(F.desc("score"), "person")
     found = ranked.withColumn("_next", F.lead("score").over(w)).withColumn("_k", F.row_number().over(w)).where("_k = 1")
     return found.where((F.col("score") >= least) & (F.col("_next").isNull() | (F.col("score") - F.col("_next") >= margin))).select("id", "person", "score")
-
-
-def average_link(vectors: np.ndarray, threshold: float) -> np.ndarray:
-    """Merges the two most alike clusters while their mean similarity reaches ``threshold``; first ones on ties."""
-    n = len(vectors)
-    sums = (vectors @ vectors.T).astype(float)
-    np.fill_diagonal(sums, -np.inf)
-    sizes, label = np.ones(n), np.arange(n)
-    while n > 1:
-        mean = sums / np.outer(sizes, sizes)
-        at = int(np.argmax(mean))
-        a, b = sorted(divmod(at, len(vectors)))
-        if not mean[a, b] >= threshold:
-            break
-        sums[a] += sums[b]
-        sums[:, a] = sums[a]
-        sums[a, a] = -np.inf
-        sums[b, :] = sums[:, b] = -np.inf
-        sizes[a] += sizes[b]
-        label[label == b] = a
-    return label
-
-
-def clusters(rows: DataFrame, threshold: float, per_pass: int = MOST_PER_PASS) -> DataFrame:
-    """(id, embedding) -> (id, cluster): passes of bounded size in id order, clustered on their own, as the method is quadratic.
-
-    A pass is a range of ids by hash-free numbering: rows are numbered within id ranges, not in one task."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        label = average_link(np.stack(pdf["embedding"].to_numpy()).astype(float), threshold)
-        return pd.DataFrame({"id": pdf["id"], "cluster": pdf["id"].to_numpy()[label]})
-
-    return rows.withColumn("_pass", F.floor(F.col("id") / per_pass)).groupBy("_pass").applyInPandas(one, "id long, cluster long")

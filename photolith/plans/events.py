@@ -69,7 +69,7 @@ def forget_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.forget_plan(rows, used, 1717200000, 900).select("id", "fate")
 
 
-def _shared(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
@@ -85,14 +85,14 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_OPS} SELECT entity, field, arg_max(value, seq) AS value, max(seq) AS seq FROM ops GROUP BY ALL")
 def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log as a stream: each batch is merged into a versioned snapshot."""
-    return spark.read.parquet(logs.run_fold(_ops(_stream(spark, sf_dir)), spark, _shared(spark)))
+    return spark.read.parquet(logs.run_fold(_ops(_stream(spark, sf_dir)), spark, shared_folder(spark)))
 
 
 @query("""SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM events GROUP BY ALL""")
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windowed counts of a stream, all windows out at its end."""
     counts = _stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
-    out = f"{_shared(spark)}/out"
+    out = f"{shared_folder(spark)}/out"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photolith.plans.events import _shared
+from photolith.plans.events import shared_folder
 from photolith.plans.registry import query
 from photolith.sources import files, metadata
 from photolith.sources.photos import PHOTOS_CTE, photos, read, visible
@@ -19,7 +19,7 @@ UNION SELECT lower(p_type), lower(p_type) || '|' || replace(p_name, ' ', '|') FR
 def keyword_list_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword trees written as indented text files, and read back."""
     part = read(spark, sf_dir, "part").select(F.concat(F.lower("p_type"), F.lit("|"), F.replace("p_name", F.lit(" "), F.lit("|"))).alias("path"))
-    out = f"{_shared(spark)}/lists"
+    out = f"{shared_folder(spark)}/lists"
     files.keyword_list_text(part).select(F.format_string("%s;%06d;%s", "list", F.col("place").cast("int"), "value").alias("value")).write.text(out)
     cells = F.split("value", ";", 3)
     lines = spark.read.text(out).select(cells[0].alias("list"), cells[1].cast("int").alias("place"), cells[2].alias("value"))
@@ -36,7 +36,7 @@ def gpx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").cast("string"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"),
     )
     tracks = clicks.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list(point)), "").alias("points"))
-    out = f"{_shared(spark)}/tracks"
+    out = f"{shared_folder(spark)}/tracks"
     document = F.concat(F.lit("<gpx><trk><trkseg>"), "points", F.lit("</trkseg></trk></gpx>")).alias("value")
     tracks.select("user_id", document).write.partitionBy("user_id").text(out)
     found = files.read_gpx(spark, out)
@@ -62,7 +62,7 @@ def place_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells += [F.lit("")] * 5 + [F.col("p_size").cast("string")] + [F.lit("")] * 4
     short = F.concat_ws("\t", *cells[:6])
     line = F.when(F.col("p_partkey") % 10 == 7, short).otherwise(F.concat_ws("\t", *cells))
-    out = f"{_shared(spark)}/places"
+    out = f"{shared_folder(spark)}/places"
     read(spark, sf_dir, "part").select(line.alias("value")).write.text(out)
     return files.places(spark.read.text(out)).select("place_id", "name", F.round("lat", 6).alias("lat"), "population")
 
@@ -72,7 +72,7 @@ def watch_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four scans of a folder as a stream: a file is taken once its size was the same in two scans in a row."""
     scans = read(spark, sf_dir, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("scan"))
     grown = F.greatest(F.lit(0), F.col("c_custkey") % 3 - F.col("scan")) + F.col("c_custkey") % 5
-    base = _shared(spark)
+    base = shared_folder(spark)
     rows = scans.select(F.col("c_custkey").cast("string").alias("path"), F.col("scan").cast("long").alias("scan"), F.when(F.col("c_custkey") % 5 == 0, 0).otherwise(grown).cast("long").alias("size"))
     rows.repartition("path").write.parquet(f"{base}/scans")
     stream = spark.readStream.schema(rows.schema).parquet(f"{base}/scans")
@@ -85,6 +85,6 @@ def watch_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
 def library_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The library as JSON lines, and read back."""
     rows = visible(photos(spark, sf_dir)).select("id", "file_name", "rating", "captured", "keywords")
-    out = f"{_shared(spark)}/snapshot"
+    out = f"{shared_folder(spark)}/snapshot"
     rows.select(F.to_json(F.struct("*")).alias("value")).write.text(out)
     return spark.read.schema(rows.schema).json(out)

@@ -198,6 +198,30 @@ def rules_album_in_album(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select(photos(spark, sf_dir), wanted, NOW, albums).select("id", "rating", "label")
 
 
+def _chain(n: int) -> dict[int, dict]:
+    """Albums that each name the next twice: in the one or the other half of the photos, or in neither."""
+    next_twice = lambda k: {"match": "any", "rules": [
+        {"group": _all(("rating", "gte" if k % 2 else "lte", k % 6), ("album", "is", k + 1))},
+        {"group": _all(("iso", "gt", 200 * k), ("album", "isNot", k + 1))},
+    ]}
+    return {k: next_twice(k) for k in range(1, n)} | {n: _all(("label", "is", "red"))}
+
+
+def _chain_sql(n: int) -> str:
+    steps = [f"a{n} AS MATERIALIZED (SELECT id, rating, iso, deleted, local, coalesce(label, '') = 'red' AND NOT deleted AS holds FROM photos)"]
+    for k in range(n - 1, 0, -1):
+        rating = f"rating {'>=' if k % 2 else '<='} {k % 6}"
+        test = f"(({rating} AND holds) OR (coalesce(iso > {200 * k}, false) AND NOT holds)) AND NOT deleted"
+        steps.append(f"a{k} AS MATERIALIZED (SELECT id, rating, iso, deleted, local, {test} AS holds FROM a{k + 1})")
+    return ", ".join(steps)
+
+
+@query(W + f", {_chain_sql(32)} SELECT id, rating FROM a1 WHERE holds AND NOT local")
+def rules_album_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty-two albums, each of which names the next twice: as many columns, not 2^32 rules."""
+    return rules.select(photos(spark, sf_dir), _all(("album", "is", 1)), NOW, _chain(32)).select("id", "rating")
+
+
 _STEM = (
     "CASE WHEN regexp_full_match(w, '.{2,}ies') THEN left(w, len(w) - 3) || 'y' WHEN len(w) > 4 AND regexp_matches(w, '(sses|xes|ches|shes)$') THEN left(w, len(w) - 2)"
     " WHEN regexp_full_match(w, '.{2,}[^s]s') THEN left(w, len(w) - 1) WHEN regexp_full_match(w, '.{3,}ing') THEN left(w, len(w) - 3)"

@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from photolith.plans import albums, bulk, events, files, filters, joins, library, scalars  # noqa: E402, F401
+from photolith.plans import albums, bulk, events, files, filters, joins, library, scalars, upkeep  # noqa: E402, F401
