@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from photolith.operators.filters import Filter, apply, recently_added
+from photolith.operators.filters import Filter, apply
+from photolith.session import checkpointed
 
 #: The fields that are copied from one photo to others.
-COPIED = ["rating", "label", "title", "caption", "alt_text", "copyright_status", "creator", "location", "city", "state", "country", "keywords"]
+COPIED = ["rating", "label", "title", "caption", "alt_text", "extended_description", "copyright", "copyright_status", "usage_terms", "copyright_url", "creator", "location", "city", "state", "country", "keywords"]
 
 
 def hand_order(photos: DataFrame, members: DataFrame, album: int, ascending: bool = True) -> tuple[DataFrame, list[Column]]:
@@ -41,14 +42,25 @@ def source_filter(source: str, members: DataFrame | None = None) -> Filter:
     return made[source]
 
 
-def source_totals(photos: DataFrame, members: DataFrame) -> DataFrame:
-    """(source, album, n): the photos that each source shows before the filter bar, each album a source of its own."""
-    one = lambda name: apply(photos, source_filter(name)).agg(F.count("*").alias("n")).select(F.lit(name).alias("source"), F.lit(None).cast("long").alias("album"), "n")
-    recent = recently_added(photos).agg(F.count("*").alias("n")).select(F.lit("recent").alias("source"), F.lit(None).cast("long").alias("album"), "n")
-    shown = apply(photos, Filter()).select("id")
-    of_album = members.select("album", "id").distinct().join(shown, "id", "left_semi").groupBy("album").agg(F.count("*").alias("n"))
-    found = one("all").unionAll(one("deleted")).unionAll(one("picks")).unionAll(recent)
-    return found.unionAll(of_album.select(F.lit("album").alias("source"), "album", "n"))
+def source_totals(photos: DataFrame, members: DataFrame, days: int = 30) -> DataFrame:
+    """(source, album, n): the photos that each source shows before the filter bar, each album a source of its own.
+
+    One pass: photos and the albums they are in meet by id, each photo counts once for all sources and once per album, by
+    its day of import. What is left is a row per day and per album; the latest day is found there."""
+    told = photos.select("id", ~F.col("deleted") & ~F.col("local"), F.col("deleted"), F.col("flag") == "pick", F.substring("imported", 1, 10)).toDF("id", "shown", "gone", "pick", "day")
+    rows = told.withColumn("album", F.lit(None).cast("long")).unionByName(members.select("id", F.col("album").cast("long").alias("album")), allowMissingColumns=True)
+    one = rows.groupBy("id").agg(
+        F.collect_set("album").alias("albums"), F.count_if(F.col("shown").isNotNull()).alias("copies"), F.count_if("shown").alias("shown"),
+        F.count_if("gone").alias("gone"), F.count_if(F.col("shown") & F.col("pick")).alias("picks"), F.max("day").alias("day"),
+    ).where("copies > 0")
+    each = one.select("shown", "gone", "picks", "day", F.explode(F.concat(F.array(F.lit(None).cast("long")), "albums")).alias("album"))
+    by_day = F.when(F.col("album").isNull(), F.col("day"))
+    sums = checkpointed(each.groupBy("album", by_day.alias("day")).agg(F.sum("shown").alias("shown"), F.sum("gone").alias("gone"), F.sum("picks").alias("picks")))
+    plain = sums.where("album is null")
+    latest = plain.where("shown > 0").agg(F.date_sub(F.to_date(F.max("day")), days).cast("string")).scalar()
+    plain = plain.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("shown", "gone", "picks", F.when(F.col("day") >= latest, F.col("shown")))]).toDF("all", "deleted", "picks", "recent")
+    plain = plain.select(F.inline(F.array(*[F.struct(F.lit(c).alias("source"), F.lit(None).cast("long").alias("album"), F.col(c).alias("n")) for c in plain.columns])))
+    return plain.unionAll(sums.where("album is not null and shown > 0").select(F.lit("album").alias("source"), "album", F.col("shown").alias("n")))
 
 
 def paste_metadata(photos: DataFrame, source_id: int, targets: Column, fields: list[str] | None = None) -> DataFrame:

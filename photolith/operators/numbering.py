@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 #: So many keys per range are looked at when the ranges' bounds are chosen.
 SAMPLED = 32
@@ -18,10 +19,16 @@ def _bounds(rows: DataFrame, keys: list[str], ranges: int) -> list[tuple]:
     return [found[len(found) * k // ranges] for k in range(1, ranges)] if len(found) >= ranges else []
 
 
+def _literal(value: object, kind: DataType) -> Column:
+    if isinstance(kind, StructType) and value is not None:
+        return F.struct(*[_literal(v, field.dataType).alias(field.name) for v, field in zip(value, kind.fields, strict=True)])
+    return F.lit(value).cast(kind)
+
+
 def range_of(rows: DataFrame, keys: list[str], ranges: int) -> Column:
     """Which of about even ranges of the keys a row is in, 0 first; nulls come first."""
     kinds = [rows.schema[k].dataType for k in keys]
-    bounds = [F.struct(*[F.lit(v).cast(kind).alias(k) for v, kind, k in zip(b, kinds, keys, strict=True)]) for b in _bounds(rows, keys, ranges)]
+    bounds = [F.struct(*[_literal(v, kind).alias(k) for v, kind, k in zip(b, kinds, keys, strict=True)]) for b in _bounds(rows, keys, ranges)]
     if not bounds:
         return F.lit(0)
     own = F.struct(*keys)

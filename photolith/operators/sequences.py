@@ -65,6 +65,24 @@ def arrange_stacks(rows: DataFrame, order: list[str], collapsed: bool) -> DataFr
     return arranged
 
 
+def stacks_in_order(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows (id, stack_id, stack_pos, collapsed, and the columns ``order``) -> with ``anchor``, where the first shown member
+    of a row's stack stands, and ``stack_place``, its place within the stack; sorted by both they are in the grid's order.
+    Of a collapsed stack only the first shown member is left; rows without a stack stand for themselves."""
+    alone = F.when(F.col("stack_id").isNull(), F.col("id"))
+    first = rows.groupBy("stack_id", alone.alias("_alone")).agg(F.min(F.struct(*order)).alias("anchor"), F.min(F.struct("stack_pos", "id")).alias("_top"))
+    same = F.col("r.stack_id").eqNullSafe(F.col("f.stack_id")) & F.col("r._alone").eqNullSafe(F.col("f._alone"))
+    placed = rows.withColumn("_alone", alone).alias("r").join(first.alias("f"), same)
+    placed = placed.select("r.*", F.col("f.anchor").alias("anchor"), F.col("f._top").alias("_top"), F.struct("r.stack_pos", "r.id").alias("stack_place"))
+    return placed.where(F.col("stack_id").isNull() | ~F.coalesce("collapsed", F.lit(False)) | (F.col("stack_place") == F.col("_top"))).drop("_alone", "_top")
+
+
+def last_steps(rows: DataFrame, keys: list[str], order: list[str], keep: int = 200) -> DataFrame:
+    """The last ``keep`` rows of each key by ``order``; tasks drop earlier ones before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
+    return rows.withColumn("_k", place).where(F.col("_k") <= keep).drop("_k")
+
+
 def history_tail(history: Column, keep: int = 200) -> Column:
     return F.slice(history, F.greatest(F.size(history) - keep + 1, F.lit(1)), F.lit(keep))
 

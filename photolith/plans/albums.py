@@ -72,7 +72,8 @@ def source_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return albums.source_totals(photos(spark, sf_dir), _members(spark, sf_dir))
 
 
-_PASTED = ["rating", "label", "title", "creator", "city", "keywords"]
+#: All that is copied but the whole text of the caption.
+_PASTED = [c for c in albums.COPIED if c != "caption"]
 
 
 @query(W + ", first AS (SELECT * FROM photos WHERE id = (SELECT min(id) FROM photos WHERE id > 20)) SELECT p.id, "

@@ -24,8 +24,15 @@ def selection_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(W + f"""SELECT label, id, place FROM (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY lower(file_name), id) AS place FROM photos WHERE {IN_LIBRARY}) WHERE place BETWEEN 3 AND 7""")
 def selection_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bulk.select_range(visible(photos(spark, sf_dir)), [F.lower("file_name"), F.col("id")], ["label"], 7, 3)
-    return found.select("label", "id", F.col("place").cast("long").alias("place"))
+    listed = visible(photos(spark, sf_dir)).select("label", "id", F.lower("file_name").alias("name"))
+    return bulk.select_range(listed, ["name", "id"], ["label"], 7, 3).select("label", "id", F.col("place").cast("long").alias("place"))
+
+
+@query(W + f"""SELECT id FROM photos WHERE {IN_LIBRARY} AND flag = 'pick' AND rating <= 3 AND label IS NULL UNION SELECT id FROM photos WHERE {IN_LIBRARY} AND rating = 5""")
+def selection_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos without a label among the picks of up to three stars, added to a selection of those with five."""
+    shown = visible(photos(spark, sf_dir))
+    return bulk.select_by(shown, "pick", 3, "lte", "none", add_to=bulk.select_by(shown, rating=9, rating_op="eq"))
 
 
 @query("""WITH s AS (SELECT conv_id, list(turn ORDER BY turn) AS m FROM conversations GROUP BY conv_id)

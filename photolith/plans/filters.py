@@ -9,7 +9,7 @@ from photolith.functions import search
 from photolith.functions.names import people
 from photolith.operators import catalog, rules
 from photolith.operators.filters import Filter, apply, count_presets, merged_kind, recently_added, save_preset
-from photolith.plans.registry import query
+from photolith.plans.registry import ORACLE_SQL, query
 from photolith.sources.photos import NOW, PHOTOS_CTE, photos, visible
 
 W = f"WITH {PHOTOS_CTE} "
@@ -243,13 +243,21 @@ def search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    found = visible(photos(spark, sf_dir))
     weighted = [
         (3, F.concat_ws(" ", F.array_join("keywords", " "), F.array_join("names", " "), "title")),
         (2, F.concat_ws(" ", "caption", "location", "city", "state", "country")),
         (1, F.col("alt_text")),
     ]
-    return found.withColumn("score", search.score(weighted, F.col("captured"), text)).where("score > 0")
+    # scored before the photos are joined with their labels, so that no caption is shuffled
+    made = {"score": search.score(weighted, F.col("captured"), text)}
+    return visible(photos(spark, sf_dir, made).where("score > 0"))
+
+
+@query(ORACLE_SQL["search_rank"] + " ORDER BY score DESC, id LIMIT 60")
+def search_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of a search, best first."""
+    found = _ranked(spark, sf_dir, "Show my dogs at the beaches 2020")
+    return catalog.page(found, [F.desc("score"), F.asc("id")], 0, 60).select("id", F.col("score").cast("long").alias("score"))
 
 
 @query(W + f"SELECT id, captured FROM photos WHERE {IN_LIBRARY} ORDER BY captured NULLS FIRST, imported, lower(file_name), id LIMIT 50 OFFSET 100")

@@ -165,14 +165,14 @@ def find_similar_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "other", F.col("place").cast("long").alias("place"), F.round("score", 6).alias("score"))
 
 
-_RANKED = """pairs AS (SELECT u.vec_id AS id, k.label AS person, list_dot_product(u.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS score FROM embeddings u, embeddings k WHERE u.vec_id % 20 = 0 AND k.vec_id % 20 <> 0),
+_RANKED = """pairs AS (SELECT u.vec_id AS id, k.label AS person, list_dot_product(u.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS score FROM embeddings u, embeddings k WHERE u.vec_id % 20 = 0),
 top AS (SELECT *, row_number() OVER (PARTITION BY id, person ORDER BY score DESC) AS k FROM pairs),
 ranked AS (SELECT id, person, avg(score) AS score, count(*) AS n FROM top WHERE k <= 2 GROUP BY ALL)"""
 
 
 def _rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")
-    known = rows.where("vec_id % 20 <> 0").select(F.col("label").alias("person"), "embedding")
+    known = rows.select(F.col("label").alias("person"), "embedding")
     return vectors.rank_people(rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), "embedding"), known)
 
 

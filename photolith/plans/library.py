@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from photolith.functions import times
 from photolith.functions.names import is_under
 from photolith.operators import catalog, keywords, sequences
+from photolith.operators.numbering import numbered
 from photolith.plans.registry import query
 from photolith.sources.photos import FOLDERS_CTE, PHOTOS_CTE, folders, photos, read, visible
 
@@ -73,10 +74,12 @@ def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.histogram(read(spark, sf_dir, "embeddings").select((F.col("embedding")[0].cast("double") + 0.5).alias("v")), "v")
 
 
-@query(W + f"""SELECT list_sort(list(id)) AS ids, count(*) AS n FROM photos WHERE {IN_LIBRARY} GROUP BY rating, label HAVING count(*) > 1""")
+@query(W + f"""SELECT id, list_sort(list(DISTINCT l_suppkey)) AS albums, count(DISTINCT l_suppkey) AS n FROM photos JOIN lineitem ON l_partkey = id WHERE {IN_LIBRARY} GROUP BY id""")
 def album_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = visible(photos(spark, sf_dir)).groupBy("rating", "label").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.count("*").alias("n"))
-    return found.where("n > 1").select("ids", "n")
+    """The albums of each photo, from the table of members; a photo's list is as long as it has albums."""
+    members = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("album"), F.col("l_partkey").alias("id")).distinct()
+    found = members.join(visible(photos(spark, sf_dir)).select("id"), "id", "left_semi")
+    return found.groupBy("id").agg(F.sort_array(F.collect_list("album")).alias("albums"), F.count("*").alias("n"))
 
 
 @query("""SELECT conv_id AS album, count(*) AS n FROM conversations c LEFT JOIN labels l ON l.doc_id = c.conv_id WHERE coalesce(toxic, 0) = 0 GROUP BY conv_id""")
@@ -197,6 +200,20 @@ def arrange_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.arrange_stacks(rows, ["stack_pos"], True).select("stack_id", "stack_pos", F.col("anchor.stack_pos").alias("anchor"))
 
 
+@query(W + f""", listed AS (SELECT id, CASE WHEN id % 5 < 3 THEN id - id % 5 END AS stack_id, (id * 7) % 5 AS stack_pos, id % 2 = 0 AS open FROM photos WHERE {IN_LIBRARY} AND rating >= 1),
+s AS (SELECT *, min(coalesce(captured, '') || '/' || lpad(id::VARCHAR, 12, '0')) OVER (PARTITION BY coalesce(stack_id, -id - 1)) AS anchor, row_number() OVER (PARTITION BY coalesce(stack_id, -id - 1) ORDER BY stack_pos, id) AS k
+FROM listed JOIN (SELECT id, captured FROM photos) USING (id))
+SELECT id, stack_id, row_number() OVER (ORDER BY anchor, k) AS place FROM s WHERE k = 1 OR stack_id IS NULL OR stack_id % 10 <> 0""")
+def arrange_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid's order with stacks: every second one collapsed to its top, the members of the others together, in their
+    order, where the first of them stands."""
+    rows = visible(photos(spark, sf_dir)).where("rating >= 1").select(
+        "id", F.when(F.col("id") % 5 < 3, F.col("id") - F.col("id") % 5).alias("stack_id"), (F.col("id") * 7 % 5).alias("stack_pos"), F.coalesce("captured", F.lit("")).alias("captured")
+    )
+    shown = sequences.stacks_in_order(rows.withColumn("collapsed", F.col("stack_id") % 10 == 0), ["captured", "id"])
+    return numbered(shown, [], ["anchor", "stack_place"]).select("id", "stack_id", "place")
+
+
 @query("""WITH n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events)
 SELECT user_id, event_id FROM n WHERE c <= 20 OR k = 0 OR floor(k * 19 / (c - 1)) <> floor((k - 1) * 19 / (c - 1))""")
 def thin_track(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,8 +223,10 @@ def thin_track(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id, list(event_type ORDER BY ts, event_id)[-10:] AS tail FROM events GROUP BY user_id""")
 def history_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last ten steps of each user; no user's history is gathered whole."""
+    kept = sequences.last_steps(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], 10)
     steps = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"])
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(steps.alias("h")).select("user_id", sequences.history_tail(F.col("h"), 10).alias("tail"))
+    return kept.groupBy("user_id").agg(steps.alias("tail"))
 
 
 @query(W + f"SELECT strftime(captured::TIMESTAMP, '%B %Y') AS header, count(*) AS n FROM photos WHERE {IN_LIBRARY} AND captured IS NOT NULL GROUP BY header UNION ALL SELECT 'Unknown Date', count(*) FROM photos WHERE {IN_LIBRARY} AND captured IS NULL")
@@ -217,5 +236,6 @@ def date_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(W + """SELECT id, row_number() OVER (PARTITION BY label ORDER BY captured NULLS FIRST, id) + 99 AS seq FROM photos WHERE label IS NOT NULL""")
 def rename_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("label").orderBy(F.col("captured").asc_nulls_first(), "id")
-    return photos(spark, sf_dir).where("label is not null").select("id", (F.row_number().over(w) + 99).cast("long").alias("seq"))
+    """Numbers from 100 on, in the order of capture within each label."""
+    rows = photos(spark, sf_dir).where("label is not null").select("id", "label", "captured")
+    return numbered(rows, ["label"], ["captured", "id"]).select("id", (F.col("place") + 99).alias("seq"))

@@ -22,6 +22,9 @@ def run_fold(stream: DataFrame, spark: SparkSession, state_dir: str) -> str:
         before = spark.read.parquet(f"{state_dir}/v{number - 1}") if number else batch.limit(0).select("entity", "field", "value", "seq")
         compact(before, batch).write.mode("overwrite").parquet(f"{state_dir}/v{number}")
         last["path"] = f"{state_dir}/v{number}"
+        if number > 1:  # a repeated batch reads the version before it, and none earlier
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{state_dir}/v{number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{state_dir}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
