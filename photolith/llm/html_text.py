@@ -3,14 +3,21 @@
 A page is cut at block tags into a flat list of text blocks, references decoded, white space folded. Each block has its
 word count and link density, those of the blocks before and after it, and two marks that the markup gives: whether it
 stands inside an element that names itself as beside the text (nav, footer, class="sidebar", ...) and whether it stands
-inside one that names itself as the text (article, main); where the markup says neither, words and links decide. A name counts for nothing on an element outside of which no article stands, if it holds one or most of the page's
-words: such an element is the page's layout. A decision tree, trained on the small labelled table below,
-tells main text from the rest; the main blocks are joined by blank lines.
+inside one that names itself as the text (article, main); where the markup says neither, words and links decide. A
+decision tree, trained on the small labelled table below, tells main text from the rest; the main blocks are joined by
+blank lines.
+
+A name is a whole word of a container's class, id or role, or of a paragraph's class: one of those below, also together
+with words that say where or what kind of box it is ("cookie-notice", "site-footer"), but not a part of another name
+("related-work"). How much text stands in such an element doesn't matter. An element that holds the page's article, with
+none outside of it, is the page's layout, whatever it is called, and so is a form with all that isn't beside the text.
 
 Scripts, styles and other elements that show no text are dropped with all they hold. Markup may be broken: unclosed
 tags end with their parent, a head also before what can't stand in one, a cut-off tag at the end is dropped, a cut-off script runs to the end.
 
-Nulls: a null html counts as empty and gives an empty text. Repeated rows are extracted each. Empty tables give no rows.
+Nulls: a null html counts as empty and gives an empty text; a null id or url stays. Repeated rows are extracted each. Empty
+tables give no rows. Columns besides page_id, url and html are ignored, whatever their names. Pages are taken whole, of any
+length.
 """
 
 from __future__ import annotations
@@ -46,13 +53,20 @@ BESIDE_NAMES = frozenset(
     " pager menu nav navigation navbar footer header masthead toolbar widget widgets skip complementary contentinfo search"
     " tags meta byline copyright".split()
 )
+#: Words that stand beside such a name without making it another.
+BOX_NAMES = frozenset(
+    "area bar block body bottom box column container content entry first form global group inner item items last left link links"
+    " list main message outer page panel post primary right section secondary site slot text thread top unit user wrap wrapper zone".split()
+)
+#: Elements whose class, id and role say what they hold.
+CONTAINERS = frozenset("div section ul ol dl li dd table tbody tr td details fieldset center figure main article".split())
 
 #: A comment, a tag (quotes count behind = only), a cut-off tag at the end, text, or a lone <.
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|$))|<[!?][^>]*>|</?[a-zA-Z](?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+>|<[a-zA-Z/!?][^>]*$|[^<]+|<", re.S
 )
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 #: The labelled table: words and link density of the block before, of the block, and of the block after (-1 words: no
@@ -66,6 +80,11 @@ LABELLED = [
     (2, 1.0, 2, 0.0, 4, 0.0, 0, 1, 1), (3, 1.0, 3, 0.0, 3, 0.0, 0, 1, 1), (1, 1.0, 1, 0.0, 2, 1.0, 0, 1, 1), (3, 0.0, 3, 0.0, 2, 1.0, 0, 1, 1),
     (2, 0.0, 2, 1.0, 3, 0.0, 0, 1, 1), (4, 0.0, 4, 0.8, 4, 0.0, 0, 1, 1), (3, 0.0, 3, 0.0, 3, 0.0, 0, 1, 1), (8, 0.0, 9, 0.5, 10, 0.0, 0, 1, 1),
     (1, 1.0, 4, 1.0, 9, 0.0, 0, 1, 1), (7, 0.6, 8, 0.0, 1, 1.0, 0, 1, 1), (2, 1.0, 6, 0.9, -1, 0.0, 0, 1, 1), (12, 0.0, 5, 0.0, 2, 1.0, 0, 1, 1),
+    (-1, 0.0, 6, 0.0, 12, 0.0, 0, 1, 1), (6, 0.0, 13, 0.0, 55, 0.0, 0, 1, 1), (1, 1.0, 9, 0.0, 14, 0.0, 0, 1, 1), (75, 0.0, 11, 0.0, -1, 0.0, 0, 1, 1),
+    (130, 0.0, 16, 0.0, -1, 0.0, 0, 1, 1), (44, 0.0, 19, 0.1, -1, 0.0, 0, 1, 1), (2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 1), (3, 1.0, 4, 1.0, 30, 0.0, 0, 1, 1),
+    (85, 0.0, 3, 1.0, 2, 1.0, 0, 1, 1), (2, 1.0, 7, 0.5, 3, 1.0, 0, 1, 1), (60, 0.0, 12, 0.9, -1, 0.0, 0, 1, 1), (5, 0.0, 8, 0.0, 2, 1.0, 0, 1, 1),
+    (3, 1.0, 25, 0.8, 2, 1.0, 0, 1, 1), (-1, 0.0, 3, 1.0, 4, 1.0, 0, 1, 1), (6, 0.4, 10, 0.3, 3, 1.0, 0, 1, 1), (4, 1.0, 6, 0.0, -1, 0.0, 0, 1, 1),
+    (1, 1.0, 13, 0.0, 9, 0.0, 0, 1, 1), (2, 1.0, 4, 0.0, 6, 0.0, 0, 1, 1), (35, 0.0, 20, 0.0, -1, 0.0, 0, 1, 1), (180, 0.0, 7, 0.0, -1, 0.0, 0, 1, 1),
     # what names itself as beside the text, inside and outside of articles
     (-1, 0.0, 1, 1.0, 1, 1.0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (1, 1.0, 2, 1.0, 8, 0.0, 1, 0, 0),
     (1, 1.0, 9, 0.0, 11, 0.0, 1, 0, 0), (2, 1.0, 30, 0.0, 7, 0.0, 1, 0, 0), (90, 0.0, 9, 0.0, -1, 0.0, 1, 0, 0),
@@ -101,8 +120,6 @@ LABELLED = [
     (2, 1.0, 6, 0.0, 3, 1.0, 0, 0, 0), (4, 1.0, 7, 0.0, -1, 0.0, 0, 0, 0), (2, 1.0, 30, 0.9, 2, 1.0, 0, 0, 0),
     (3, 1.0, 4, 0.0, 5, 0.0, 0, 0, 0), (6, 0.5, 9, 0.4, 2, 1.0, 0, 0, 0),
 ]
-# what isn't text on a page that says nothing is text inside an element that names itself so
-LABELLED += [(*row[:6], 0, 1, 1) for row in LABELLED if row[6:] == (0, 0, 0)]
 
 
 @lru_cache(len(RAW))
@@ -113,10 +130,16 @@ def _ends(tag: str) -> re.Pattern:
 def _beside(tag: str, token: str) -> bool:
     if tag in BESIDE_TAGS:
         return True
-    if "class" not in token and "id" not in token and "role" not in token:
+    if tag not in CONTAINERS and tag != "p" or not ("class" in token or "id" in token or "role" in token):
         return False
-    names = " ".join("".join(m) for m in _NAMES.findall(token))
-    return any(w.lower() in BESIDE_NAMES for w in _WORDS.findall(names))
+    for attribute, *values in _NAMES.findall(token):
+        if tag == "p" and attribute.lower() != "class":
+            continue
+        for name in "".join(values).split():
+            words = {w.lower() for w in _WORDS.findall(name)}
+            if words & BESIDE_NAMES and words <= BESIDE_NAMES | BOX_NAMES:
+                return True
+    return False
 
 
 def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
@@ -126,7 +149,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
     linked: list[str] = []
     open_tags: list[tuple[str, bool, bool, bool, list | None]] = []  # tag, beside, text, hidden, wrapper
     in_link = 0
-    # of each element that only its names, or a form around it, set beside: its words, text elements around and in it
+    # of each element that only its names set beside, or that is a form: text elements around and in it, whether it is a form
     wrappers: list[list[int]] = []
     inside_of: list[list[list[int]]] = []
     texts = 0
@@ -143,8 +166,6 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
             in_links = len(html.unescape(" ".join(linked)).split())
             found.append((text, words, min(in_links / words, 1.0), any(t[1] for t in open_tags), any(t[2] for t in open_tags)))
             inside_of.append([t[4] for t in open_tags if t[4]])
-            for wrapper in inside_of[-1]:
-                wrapper[0] += words
         parts, linked = [], []
 
     at = 0
@@ -183,25 +204,27 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
             if any(t[0] == tag for t in open_tags):
                 while open_tags and open_tags.pop()[0] != tag:
                     pass
-        elif tag in BLOCK or tag in HIDDEN or (tag == "span" and _beside(tag, token)):
+        elif tag in BLOCK or tag in HIDDEN:
             if tag == "p" and open_tags and open_tags[-1][0] == "p":
                 open_tags.pop()
             inside = any(t[2] for t in open_tags)
             beside = _beside(tag, token) and not (tag == "header" and inside) and tag not in ("html", "body", "article", "main")
             wrapper = None
             if beside and (tag == "form" or tag not in BESIDE_TAGS):
-                wrapper = [0, sum(t[2] for t in open_tags), 0]
+                wrapper = [sum(t[2] for t in open_tags), 0, int(tag == "form")]
                 wrappers.append(wrapper)
                 beside = False
             elif tag in TEXT_TAGS and not _beside(tag, token):
                 texts += 1
                 for _, _, _, _, around in open_tags:
                     if around:
-                        around[2] += 1
+                        around[1] += 1
             open_tags.append((tag, beside, tag in TEXT_TAGS, tag in HIDDEN, wrapper))
     close()
-    total = sum(b[1] for b in found)
-    layout = {id(w) for w in wrappers if w[1] + w[2] >= texts and (w[2] or 2 * w[0] > total)}
+    layout = {id(w) for w in wrappers if w[1] and w[0] + w[1] >= texts}
+    if not texts:
+        named = [b[3] or any(not w[2] for w in around) for b, around in zip(found, inside_of, strict=True)]
+        layout |= {id(w) for w in wrappers if w[2] and all(n or any(w is x for x in around) for n, around in zip(named, inside_of, strict=True))}
     return [(*b[:3], b[3] or any(id(w) not in layout for w in around), b[4]) for b, around in zip(found, inside_of, strict=True)]
 
 

@@ -149,6 +149,7 @@ def test_no_article_is_lost_to_a_head_or_a_wrapper():
         f"<head><style>x</style>{body}<p>{body}</p>",
         f"<body><div class='content with-sidebar'><article><p>{body}</p></article></div></body>",
         f"<main><div id='page-header-layout'><p>{body}</p></div></main>",
+        f"<div class='header'><main><p>{body}</p></main></div>",
         f"<div class='with-sidebar'><article><p>{body}</p></article><div class=sidebar><p>{'more ' * 9}</p></div></div><div class=notes><p>{'x ' * 90}</p></div>",
     ):
         assert text in html_text.main_text(page) and "T" not in html_text.main_text(page) and "more" not in html_text.main_text(page)
@@ -174,6 +175,30 @@ def test_markup_as_browsers_read_it():
     assert html_text.main_text("<p>A single paragraph of only eight words here.</p>") == "A single paragraph of only eight words here."
 
 
+@pytest.mark.parametrize("times", [0.1, 0.9, 1.1, 2, 5])
+@pytest.mark.parametrize("name", ["comments", "comment-list", "postComments", "cookie-notice", "sidebar left", "site-footer", "ad"])
+def test_what_names_itself_beside_the_text_is_out_at_any_length(times, name):
+    body, other = "word " * 40, "liked " * int(40 * times)
+    for page in (
+        f"<article><h1>Title here</h1><p>{body}</p><div class='{name}'><p>{other}</p></div></article>",
+        f"<article><h1>Title here</h1><p>{body}</p></article><section id={name.split()[0]}><p>{other}</p><p>More.</p></section>",
+        f"<ul class='{name}'><li>{other}</ul><main><h1>Title here</h1><p>{body}</p></main>",
+    ):
+        assert html_text.main_text(page) == "Title here\n\n" + body.strip()
+    form = f"<form><p>{body}</p><div class='{name}'><p>{other}</p></div></form>"
+    assert html_text.main_text(form) == body.strip()
+
+
+def test_names_that_only_look_like_one():
+    body = ("word " * 30).strip()
+    for inner in (
+        f"<section id='related-work'><p>{body}</p></section>", f"<p id='other-side-of-town'>{body}</p>", f"<p id=comments>{body}</p>", f"<div class='shared-history'><p>{body}</p></div>",
+        f"<div class='searching'><p>{body}</p></div>", f"<p><span class=ad>{body}</span></p>", f"<h2 id=notice>{body}</h2>", f"<div class='tags-of-war'><p>{body}</p></div>",
+    ):
+        assert html_text.main_text(f"<article><p>Begin.</p>{inner}<p>End.</p></article>") == f"Begin.\n\n{body}\n\nEnd."
+    assert html_text.main_text(f"<article><p>{body}</p><p class='ad'>Buy now.</p></article>") == body
+
+
 def test_tree_against_brute_force_and_without_marks():
     """The tree's first split is the best of all splits; pages stripped of names and of semantic tags are mostly told right."""
     rows, labels = [r[:-1] for r in html_text.LABELLED], [r[-1] for r in html_text.LABELLED]
