@@ -29,7 +29,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64))[_LOWER]
+#: Random numbers for bytes, and those by which upper and lower case A-Z are one.
+EXACT = mix(np.arange(1, 257, dtype=np.uint64))
+_BYTE = EXACT[_LOWER]
 
 
 @lru_cache(maxsize=2)
@@ -83,8 +85,8 @@ def bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return both[::2], both[1::2]
 
 
-def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of each word."""
+def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, numbers: np.ndarray = _BYTE) -> np.ndarray:
+    """The hash of each word, or of other slices that follow each other, over ``numbers`` for bytes."""
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -95,7 +97,7 @@ def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         power, inverse = _powers(SLICE if size <= SLICE else 1 << size.bit_length())
         sums = np.empty(size + 1, np.uint64)
         sums[0] = 0
-        np.take(_BYTE, raw[low : low + size], out=sums[1:], mode="clip")
+        np.take(numbers, raw[low : low + size], out=sums[1:], mode="clip")
         sums[1:] *= power[:size]
         np.cumsum(sums[1:], out=sums[1:])
         out[at:to] = (sums[e] - sums[s]) * inverse[s]

@@ -35,26 +35,121 @@ def test_tree_locates_an_edit():
     a = "\n".join(f"Paragraph {k} has a few words of its own." for k in range(30))
     b = a.replace("Paragraph 17", "Section 17")
     x, y = fingerprints.fingerprint(a), fingerprints.fingerprint(b)
-    assert fingerprints.likeness(x, x) == 1.0 and 0.9 < fingerprints.likeness(x, y) < 1.0
-    flat = [p for s in fingerprints.tree(a) for p in s]
+    assert fingerprints.likeness(x, x) == 1.0 and 0.95 < fingerprints.likeness(x, y) < 1.0
+    sections = fingerprints.parse(x).sections
     (place,) = fingerprints.differing_paths(x, y)
-    number = sum(len(s) for s in fingerprints.tree(a)[: place[0]]) + place[1]
-    assert number == 17 and len(flat) == 30
+    assert sum(len(s.paragraphs) for s in sections[: place[0]]) + place[1] == 17 and sum(len(s.paragraphs) for s in sections) == 30
     assert fingerprints.likeness(fingerprints.fingerprint(""), x) == 0.0 and fingerprints.fingerprint("a b") != fingerprints.fingerprint("a  b")
-
-
-def test_likeness_across_the_short_length():
-    """Texts on different sides of SHORT are compared leaf by leaf of the same kind."""
-    words = [f"word{k}" for k in range(60)]
-    text, other = " ".join(words[:45]), " ".join(f"other{k}" for k in range(45))
-    edited = fingerprints.edit(text, other[:20])
-    assert len(text) > fingerprints.SHORT > len(edited)
-    by_code_points = difflib.SequenceMatcher(None, text, edited, autojunk=False).ratio()
-    assert abs(fingerprints.likeness(fingerprints.fingerprint(text), fingerprints.fingerprint(edited)) - by_code_points) < 0.1
-    for n in range(20, 45):
-        near = " ".join([*words[:n], "more"])
-        assert fingerprints.likeness(fingerprints.fingerprint(" ".join(words[: n + 1])), fingerprints.fingerprint(near)) > 0.7
-    assert fingerprints.likeness(fingerprints.fingerprint(text), fingerprints.fingerprint(other[:150])) == 0.0
+    assert fingerprints.differing_paths(x, x) == [] and len(fingerprints.fingerprint("").split("/")[0]) == 32
+
+
+def words_in_order(n, seed=0):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(2, 8))) + rng.choice(["", "", "", ",", "."]) for _ in range(n)]
+
+
+def test_one_word_more_changes_little_wherever_it_is():
+    words = words_in_order(400)
+    own = fingerprints.fingerprint(" ".join(words))
+    assert len(own) < len(" ".join(words))
+    for at in (0, 1, 57, 200, 399, 400):
+        other = fingerprints.fingerprint(" ".join([*words[:at], "inserted", *words[at:]]))
+        assert fingerprints.likeness(own, other) > 0.95
+    for n in (20, 30, 45):
+        few = words_in_order(n, n)
+        assert fingerprints.likeness(fingerprints.fingerprint(" ".join(few)), fingerprints.fingerprint(" ".join([*few[:-1], "changed"]))) > 0.7
+
+
+@pytest.mark.parametrize("n", [30, 60, 199, 201, 300, 1000])
+def test_order_counts_at_every_length(n):
+    words = words_in_order(n, n)
+    own, turned, other = (fingerprints.fingerprint(" ".join(w)) for w in (words, words[::-1], words_in_order(n, n + 7)))
+    assert fingerprints.likeness(own, turned) < 0.25 and fingerprints.likeness(own, other) < 0.2
+    half = " ".join(words[: n // 2] + words_in_order(n - n // 2, n + 1))
+    by_code_points = difflib.SequenceMatcher(None, words, half.split(), autojunk=False).ratio()
+    assert abs(fingerprints.likeness(own, fingerprints.fingerprint(half)) - by_code_points) < 0.12
+
+
+def brute_leaves(text):
+    """Leaves by the definition, one character at a time: (text, ends a line)."""
+    from photolith.llm.words import EXACT, hashes, mix
+
+    out, at, words = [], 0, 0
+    for match in re.finditer(r"[^\x20\x09-\x0D]+|\n", text):
+        raw = np.frombuffer(match[0].encode(), np.uint8)
+        even = match[0] != "\n" and int(mix(hashes(raw, np.array([0]), np.array([len(raw)]), EXACT))[0]) % 2 == 0
+        words += 1
+        if even or match[0] == "\n" or words == fingerprints.MOST_WORDS:
+            out.append(text[at : match.end()])
+            at, words = match.end(), 0
+    return out + ([text[at:]] if at < len(text) else [])
+
+
+def brute_tree(text):
+    from photolith.llm.words import EXACT, hashes, mix
+
+    def code(leaf):
+        raw = np.frombuffer(leaf.encode(), np.uint8)
+        return int(mix(hashes(raw, np.array([0]), np.array([len(raw)]), EXACT))[0])
+
+    def digest(raw, size=8):
+        return hashlib.blake2b(raw, digest_size=size).digest()
+
+    lines, line = [], []
+    for leaf in brute_leaves(text):
+        line.append(leaf)
+        if leaf.endswith("\n"):
+            lines.append(line)
+            line = []
+    lines += [line] if line else []
+    sections, held = [], []
+    for k, line in enumerate(lines):
+        held.append((digest(b"".join(code(x).to_bytes(8, "little") for x in line)), line))
+        if not "".join(line).encode().split() or held[-1][0][0] % 4 == 0 or k + 1 == len(lines):
+            sections.append((digest(b"".join(h[0] for h in held)), held))
+            held = []
+    root = digest(b"".join(s for s, _ in sections), 16).hex()
+    return root, [(s[:4].hex(), [(d[:4].hex(), [((code(x) >> 46) << 40) + len(x) for x in line]) for d, line in inner]) for s, inner in sections]
+
+
+@pytest.mark.parametrize("text", [t or "" for _, t in ODD] + ["one line\n\n\nanother é ß\n  \nlast", "\n", " lead\ttab \n", "x" * 70 + " y", "\n".join(f"line {k} of many" for k in range(60))])
+def test_trees_are_those_of_the_definition(text):
+    root, sections = brute_tree(text)
+    for tree in (fingerprints.trees(["before it", text, "", "after\n"])[1], fingerprints.parse(fingerprints.fingerprint(text))):
+        assert tree.root == root
+        assert [(s.digest, [(p.digest, p.leaves) for p in s.paragraphs]) for s in tree.sections] == sections
+        assert sum(s.weight for s in tree.sections) == len(text) == sum(p.weight for s in tree.sections for p in s.paragraphs)
+
+
+def test_walk_of_differing_branches():
+    """Matches rise on both sides, are equal, and are as many as can be where items are distinct."""
+    rng = random.Random(4)
+    for turn in range(300):
+        xs, ys = ([rng.randint(0, 8 if turn % 2 else 10**6) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        if turn % 2 == 0 and xs:
+            ys = rng.sample(xs, len(xs)) if turn % 4 else [x for x in xs if rng.random() < 0.7]
+        pairs = fingerprints.in_order(xs, ys)
+        assert all(xs[i] == ys[j] for i, j in pairs) and all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:]))
+        longest = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i, x in enumerate(xs):
+            for j, y in enumerate(ys):
+                longest[i + 1][j + 1] = longest[i][j] + 1 if x == y else max(longest[i][j + 1], longest[i + 1][j])
+        if len(set(xs)) == len(xs) and len(set(ys)) == len(ys):
+            assert len(pairs) == longest[-1][-1]
+        assert len(pairs) <= longest[-1][-1]
+
+
+def test_equal_branches_are_shared_with_all_they_hold():
+    """The walk gives what an alignment of all leaves gives, where every leaf is in the text once; only those of a line's end
+    alone are all alike, which the walk keeps with their lines."""
+    paragraphs = [" ".join(f"{w}{k}x{i}" for i, w in enumerate(words_in_order(12, 100 + k))) for k in range(40)]
+    text, moved = "\n".join(paragraphs), "\n".join([*paragraphs[:10], "a new line here", *paragraphs[12:30], "another new line", *paragraphs[30:]])
+    a, b = fingerprints.trees([text, moved])
+    left, right = ([leaf for s in t.sections for p in s.paragraphs for leaf in p.leaves] for t in (a, b))
+    whole = sum(leaf & (1 << 40) - 1 for leaf in (left[i] for i, _ in fingerprints.in_order(left, right)))
+    shared = fingerprints.shared_weight(a, b)
+    assert 0 <= shared - whole <= sum(leaf & (1 << 40) - 1 == 1 for leaf in left) < 40
+    assert fingerprints.tree_likeness(a, b) == 2 * shared / (len(text) + len(moved))
 
 
 def brute_repeated(words, n=8):
