@@ -14,6 +14,7 @@ Nulls: a null text counts as empty and has the end id only. Repeated rows are en
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from photolith.llm.common import give_back, table
 
 MARK = "▁"
-#: A task holds so many distinct cuts at most, and a worker so many pairs of pieces.
+#: A task holds so many distinct cuts at most, and a worker so many pairs of pieces; and the ends of pieces that were met.
 HELD = 30_000
-PAIRS_HELD = 200_000
+PAIRS_HELD = 100_000
 _NEVER = float("inf")
 _CUT = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -54,7 +55,7 @@ class PieceModel:
         self.pairs: dict[int, bool] = {}
         self.length = [len(p) for p in self.pieces]
         for i in plain:
-            if self.edge(i)[0]:  # a piece that merging its own text never gives is never a token
+            if len(self.merges(self.pieces[i])[0]) == 1:  # a piece that merging its own text never gives is never a token
                 self.find.add_word(self.pieces[i], (i, self.length[i]))
         self.find.make_automaton()
 
@@ -184,6 +185,8 @@ def digest_rows(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.collect()  # what the worker's tasks before have left
+        give_back()
         model = piece_model(model_path)
         cache = _Cut(model)
         for batch in batches:
