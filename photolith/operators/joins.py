@@ -61,6 +61,42 @@ def as_of(points: DataFrame, track: DataFrame, key: list[str], max_gap: int) ->
     return rows.select(*key, "id", x.alias("x"), how.alias("how"))
 
 
+def utc_seconds(local_seconds: Column, zone_minutes: Column, offset_minutes: int | None = None) -> Column:
+    """When a photo was taken: its clock less its recorded zone, else less ``offset_minutes``, else as it is."""
+    return local_seconds - F.coalesce(zone_minutes, F.lit(offset_minutes or 0)) * 60
+
+
+def locate(points: DataFrame, track: DataFrame, key: str, max_gap: float) -> DataFrame:
+    """(key, id, t) and (key, t, seq, lat, lon, ele, segment) -> (key, id, lat, lon, ele, how): where a logger was.
+
+    At a point's own time, and between two points of one segment at most ``max_gap`` seconds apart, it is interpolated (the
+    short way round the globe; a height that only one point has is that one's); else the nearer point within ``max_gap``
+    counts, the earlier of equally near ones; else there is no row. Of points at one time the first by ``seq`` is met from
+    before and the last from behind. One sort of both together; windows carry the neighbours."""
+    spot = F.struct("t", "lat", "lon", "ele", "segment")
+    both = track.groupBy(key, "t").agg(F.min_by(spot, "seq").alias("first"), F.max_by(spot, "seq").alias("last"))
+    kind = both.schema["first"].dataType.simpleString()
+    asked = points.select(key, "id", "t", F.lit(None).cast(kind).alias("first"), F.lit(None).cast(kind).alias("last"), F.lit(1).alias("ask"))
+    rows = asked.unionByName(both.select(key, F.lit(None).cast(points.schema["id"].dataType).alias("id"), "t", "first", "last", F.lit(0).alias("ask")))
+    # a point at the very time stands behind the photo, so what comes before is earlier
+    ordered = Window.partitionBy(key).orderBy("t", F.desc("ask"))
+    rows = rows.withColumn("a", F.last("last", True).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("b", F.first("first", True).over(ordered.rowsBetween(0, Window.unboundedFollowing))).where("ask = 1")
+    share = (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
+    turn = F.col("b.lon") - F.col("a.lon")
+    turn = F.when(turn > 180, turn - 360).when(turn < -180, turn + 360).otherwise(turn)
+    lon = F.col("a.lon") + turn * share
+    lon = F.when(lon > 180, lon - 360).when(lon < -180, lon + 360).otherwise(lon)
+    ele = F.coalesce(F.col("a.ele") + (F.col("b.ele") - F.col("a.ele")) * share, F.col("a.ele"), F.col("b.ele"))
+    lerp = F.struct((F.col("a.lat") + (F.col("b.lat") - F.col("a.lat")) * share).alias("lat"), lon.alias("lon"), ele.alias("ele"), F.lit("interpolated").alias("how"))
+    at = lambda side, how: F.struct(f"{side}.lat", f"{side}.lon", f"{side}.ele", F.lit(how).alias("how"))
+    before, behind = F.col("t") - F.col("a.t"), F.col("b.t") - F.col("t")
+    on = F.when(behind == 0, at("b", "interpolated")).when((F.col("a.segment") == F.col("b.segment")) & (before + behind <= max_gap), lerp)
+    a_near = before.isNotNull() & (behind.isNull() | (before <= behind))
+    near = F.when(a_near & (before <= max_gap), at("a", "nearest")).when(~a_near & (behind <= max_gap), at("b", "nearest"))
+    return rows.select(key, "id", F.coalesce(on, near).alias("p")).where("p is not null").select(key, "id", "p.lat", "p.lon", "p.ele", "p.how")
+
+
 def nearest_place(photos: DataFrame, places: DataFrame, limit_m: float = 50_000.0) -> DataFrame:
     """The nearest place of each position. Places are dealt to one-degree cells; a position looks in its own and the
     eight around, across the date line; the first of equally near ones counts. Both sides are shuffled by cell. Beyond 63
@@ -143,6 +179,24 @@ def inside_any(photos: DataFrame, circles: DataFrame) -> DataFrame:
     return found if len(used) == 1 else found.dropDuplicates(["id"])
 
 
+def circle_counts(photos: DataFrame, circles: DataFrame, cell: float = 1.0) -> DataFrame:
+    """(id, lat, lon) and (circle, c_lat, c_lon, radius_m) -> (circle, n): the photos inside each saved circle, none among them.
+
+    Photos are counted by cells of ``cell`` degrees first as far as they share a place; a circle meets the cells it touches."""
+    row = lambda lat: F.floor(lat / cell)
+    spots = photos.where("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.count("*").alias("n"))
+    spots = spots.withColumn("cy", row(F.col("lat"))).withColumn("cx", F.pmod(F.floor((F.col("lon") + 180) / cell), F.lit(int(360 / cell))))
+    reach = F.degrees(F.col("radius_m") / F.lit(EARTH_M)) * (1 + 1e-9) + 1e-9
+    wide = F.when(F.abs("c_lat") + reach >= 90, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(reach)) / F.cos(F.radians("c_lat"))))) + 1e-9)
+    column = lambda lon: F.floor((lon + 180) / cell)
+    dealt = circles.withColumn("cy", F.explode(F.sequence(row(F.col("c_lat") - reach), row(F.col("c_lat") + reach))))
+    columns = F.transform(F.sequence(column(F.col("c_lon") - wide), column(F.col("c_lon") + wide)), lambda c: F.pmod(c, F.lit(int(360 / cell))))
+    dealt = dealt.withColumn("cx", F.explode(F.array_distinct(columns)))
+    inside = dealt.join(spots, ["cy", "cx"]).where(distance_m(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")) <= F.col("radius_m"))
+    counts = inside.groupBy("circle").agg(F.sum("n").alias("n"))
+    return circles.select("circle").join(counts, "circle", "left").select("circle", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def map_clusters(photos: DataFrame, zoom: int, cell_px: int = 64) -> DataFrame:
     """Photos by cells of the projected map, at the mean of their projected positions."""
     x, y = project(F.col("lat"), F.col("lon"), zoom)

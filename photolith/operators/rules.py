@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from datetime import datetime, timedelta
 from functools import reduce
 
@@ -321,27 +321,30 @@ def referred(rules: dict | Column) -> list[int]:
     return out
 
 
-def issues(rules: dict, path: str = "rules", depth: int = 0) -> list[tuple[str, str]]:
-    """(where, what) is wrong with a rule set; empty if it can be compiled."""
+def issues(rules: dict, path: str = "rules", depth: int = 0, label_names: Iterable[str] = ()) -> list[tuple[str, str]]:
+    """(where, what) is wrong with a rule set; empty if it can be compiled. ``label_names``: names given to colours."""
     found = [] if rules.get("match", "all") in ("all", "any", "none") else [(path, "unknown match")]
     if depth > DEEPEST:
         return [(path, "too deep")]
     for k, rule in enumerate(rules.get("rules", [])):
         at = f"{path}[{k}]"
         if "group" in rule:
-            found += issues(rule["group"], f"{at}.group", depth + 1)
+            found += issues(rule["group"], f"{at}.group", depth + 1, label_names)
         elif (field := rule.get("field")) not in FIELDS:
             found.append((at, "unknown field"))
         elif rule.get("op") not in OPS[FIELDS[field][0]]:
             found.append((at, "unknown operator"))
         else:
-            found += [(at, what) for what in _value_issue(FIELDS[field][0], rule["op"], rule.get("value"), field)]
+            found += [(at, what) for what in _value_issue(FIELDS[field][0], rule["op"], rule.get("value"), field, label_names)]
     return found
 
 
-def _value_issue(kind: str, op: str, value, field: str) -> list[str]:
+def _value_issue(kind: str, op: str, value, field: str, label_names: Iterable[str] = ()) -> list[str]:
     if op in ("isEmpty", "isNotEmpty"):
         return []
+    if kind == "choice" and field in CHOICES:
+        known = {c.lower() for c in CHOICES[field]} | set(_CHOICES.get(field, {})) | ({n.lower() for n in label_names} if field == "label" else set())
+        return [] if isinstance(value, str) and value.strip().lower() in known else [f"one of {', '.join(CHOICES[field])} needed"]
     if op == "between" and not (isinstance(value, (list, tuple)) and len(value) == 2):
         return ["two values needed"]
     values = value if op == "between" else [value]
@@ -353,6 +356,8 @@ def _value_issue(kind: str, op: str, value, field: str) -> list[str]:
         return [] if span_seconds(value) else ["not a span"]
     if kind == "date" and not all(valid_date(_date(v)) for v in values):
         return ["not a date"]
+    if kind == "date" and op == "between" and _date(values[0]) > _date(values[1]) and not _date(values[0]).startswith(_date(values[1])):
+        return ["the first date is after the second"]
     if kind in ("text", "names", "path") and not isinstance(value, str):
         return ["not a text"]
     return []
@@ -371,12 +376,55 @@ def valid_date(text: str) -> bool:
     return True
 
 
-def describe(rules: dict) -> str:
-    """A rule set in words."""
-    word = {"all": " and ", "any": " or ", "none": " or "}[rules.get("match", "all")]
-    parts = [f"({describe(r['group'])})" if "group" in r else f"{r['field']} {r['op']} {r.get('value', '')}".strip() for r in rules.get("rules", [])]
-    text = word.join(parts) or "everything"
-    return f"none of ({text})" if rules.get("match") == "none" else text
+#: How fields and tests are called in a sentence, where their names don't say it, and what choices there are.
+LABELS = {
+    "flag": "pick flag", "label": "color label", "text": "any searchable text", "stacked": "in a stack", "fileName": "filename", "extension": "file extension", "kind": "file type", "format": "file format",
+    "duration": "video duration", "person": "people", "personCount": "people count", "iso": "iso speed", "state": "state / province", "hasGps": "has gps", "aspect": "aspect ratio", "edited": "has edits",
+    "sharpness": "focus (assisted culling)", "bestOfGroup": "best of similar shots",
+}
+OP_LABELS = {
+    "notContains": "doesn't contain", "isNot": "isn't", "startsWith": "starts with", "endsWith": "ends with", "isEmpty": "is empty", "isNotEmpty": "isn't empty", "gte": "is ≥", "lte": "is ≤", "gt": "is >",
+    "lt": "is <", "between": "is between", "after": "is after", "before": "is before", "inLast": "is in the last", "notInLast": "isn't in the last",
+}
+CHOICES = {
+    "flag": {"pick": "picked", "reject": "rejected", "none": "unflagged"}, "label": {c: c for c in ("red", "yellow", "green", "blue", "purple")} | {"none": "no label"},
+    "kind": {"image": "image", "raw": "raw", "video": "video"}, "copyrightStatus": {"copyrighted": "copyrighted", "publicDomain": "public domain", "unknown": "unknown"},
+    "aspect": {"landscape": "landscape (wide)", "portrait": "portrait (tall)", "square": "square"}, "treatment": {"color": "in color", "monochrome": "black & white"},
+}
+
+
+def field_label(field: str) -> str:
+    """``longEdge`` as long edge."""
+    return LABELS.get(field, re.sub(r"(?=[A-Z])", " ", field).lower())
+
+
+def describe(rules: dict, album_names: Mapping[int, str] | None = None) -> str:
+    """A rule set in words; albums by their names, or by their numbers where those are unknown."""
+
+    def value_of(field: str, value) -> str:
+        if field == "album":
+            return f"“{album_names[value]}”" if album_names and value in album_names else f"#{value}"
+        if isinstance(value, bool):
+            return "yes" if value else "no"
+        if isinstance(value, str):
+            return CHOICES.get(field, {}).get(value, value)
+        if isinstance(value, Mapping):
+            return f"{value.get('n', '')} {value.get('unit') or 'days'}"
+        if isinstance(value, (list, tuple)):
+            return " – ".join(map(str, value))
+        return "" if value is None else str(value)
+
+    def op_of(field: str, op: str) -> str:
+        if FIELDS.get(field, ("",))[0] == "names" and op in ("isEmpty", "isNotEmpty"):
+            return "are empty" if op == "isEmpty" else "aren't empty"
+        return OP_LABELS.get(op, op)
+
+    parts = [
+        f"({describe(r['group'], album_names)})" if "group" in r else f"{field_label(r['field'])} {op_of(r['field'], r['op'])} {value_of(r['field'], r.get('value'))}".strip()
+        for r in rules.get("rules", [])
+    ]
+    text = {"all": " and ", "any": " or ", "none": " nor "}[rules.get("match", "all")].join(parts)
+    return f"none of: {text}" if rules.get("match") == "none" else text
 
 
 def upgrade(rules: dict) -> dict:

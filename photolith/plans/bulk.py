@@ -149,6 +149,14 @@ def named_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visible(photos(spark, sf_dir)).select("id", F.explode(people(F.col("names"))).alias("name"))
 
 
+@query(W + f"""SELECT p.id, vec_id AS face FROM embeddings e JOIN photos p ON p.id = vec_id - vec_id % 3 WHERE {IN_LIBRARY} AND vec_id % 3 >= len(list_distinct(list_filter(list_transform(names, lambda n: lower(trim(n))), lambda n: n <> '')))""")
+def unnamed_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces without a name on photos of the library; a photo's first faces have its names."""
+    shown = visible(photos(spark, sf_dir)).select("id", F.size(people(F.col("names"))).alias("n"))
+    faces = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("face"), (F.col("vec_id") - F.col("vec_id") % 3).alias("id"), (F.col("vec_id") % 3).alias("at"))
+    return faces.join(shown, "id").where("at >= n").select("id", "face")
+
+
 @query(W + f"""SELECT coalesce(CASE WHEN abs(w - h) <= 0.01 * greatest(w, h) THEN 'square' WHEN w > h THEN 'landscape' ELSE 'portrait' END, 'none') AS aspect, count(*) AS n, sum(file_size)::BIGINT AS bytes FROM
 (SELECT CASE WHEN swapped THEN height ELSE width END AS w, CASE WHEN swapped THEN width ELSE height END AS h, file_size FROM photos WHERE {IN_LIBRARY}) GROUP BY aspect""")
 def aspect_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

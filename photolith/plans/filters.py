@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from photolith.functions import search
 from photolith.functions.names import people
-from photolith.operators import catalog, rules
+from photolith.operators import catalog, foreign, rules
 from photolith.operators.filters import Filter, apply, count_presets, merged_kind, recently_added, save_preset
 from photolith.plans.registry import ORACLE_SQL, query
 from photolith.sources.photos import NOW, PHOTOS_CTE, photos, visible
@@ -222,6 +222,35 @@ def rules_album_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select(photos(spark, sf_dir), _all(("album", "is", 1)), NOW, _chain(32)).select("id", "rating")
 
 
+_CRITERIA = {
+    "stars": 's = { { criteria = "rating", operation = ">=", value = 3, value2 = 0 }, { criteria = "labelColor", operation = "!=", value = "Red" }, combine = "intersect" }',
+    "either": 's = { { criteria = "captureTime", operation = "in", value = "2020-02", value2 = "2020-04" }, { combine = "exclude", { criteria = "keywords", operation = "words", value = "travel" }, { criteria = "iso", operation = "<", value = 3000 } }, combine = "union" }',
+    "other": 's = { { criteria = "developPreset", operation = "==", value = "x" }, { criteria = "title", operation = "all", value = "two words" } }',
+}
+
+
+@query(W + f"""SELECT 'stars' AS collection, count(*) AS photos, NULL::VARCHAR AS unmapped FROM photos WHERE {IN_LIBRARY} AND rating >= 3 AND coalesce(label, 'none') <> 'red' UNION ALL
+SELECT 'either', count(*), NULL FROM photos WHERE {IN_LIBRARY} AND (coalesce(captured >= '2020-02' AND (captured <= '2020-04' OR starts_with(captured, '2020-04')), false)
+OR NOT (len(list_filter(keywords, lambda k: contains(lower(k), 'travel'))) > 0 OR coalesce(iso < 3000, false))) UNION ALL
+SELECT 'other', NULL, 'criterion developPreset ==; criterion title all'""")
+def smart_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another program's collections, counted in one pass; one that can't be told in rules says why."""
+    return foreign.smart_collections(photos(spark, sf_dir), _CRITERIA, NOW)
+
+
+_ENTITIES = [
+    {"type": "keyword", "text": "Nature"}, {"type": "place", "text": "Old: Harbour", "confidence": 0.9}, {"type": "rating", "text": "3 stars", "confidence": 0.8}, {"type": "rating_comparison", "text": "up to"},
+    {"type": "flag", "text": "rejected", "confidence": 0.2}, {"type": "date_from", "text": "2020-13"}, {"type": "date_from", "text": "2020-02"}, {"type": "file_type", "text": "JPEG photos?"}, {"type": "Edited", "text": "no"},
+]
+
+
+@query(W + f"""SELECT id, location, rating FROM photos WHERE {IN_LIBRARY} AND rating BETWEEN 0 AND 3 AND captured >= '2020-02' AND NOT is_edited AND len(list_filter(keywords, lambda k: lower(k) = 'nature' OR starts_with(lower(k), 'nature|'))) > 0
+AND contains(lower(concat_ws(' ', file_name, title, caption, camera, lens, location, format, array_to_string(keywords, ' '))), 'old') AND contains(lower(concat_ws(' ', file_name, title, caption, camera, lens, location, format, array_to_string(keywords, ' '))), 'harbour')""")
+def filter_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid for what a model found in a sentence."""
+    return apply(photos(spark, sf_dir), foreign.entities_filter(_ENTITIES)).select("id", "location", "rating")
+
+
 _STEM = (
     "CASE WHEN regexp_full_match(w, '.{2,}ies') THEN left(w, len(w) - 3) || 'y' WHEN len(w) > 4 AND regexp_matches(w, '(sses|xes|ches|shes)$') THEN left(w, len(w) - 2)"
     " WHEN regexp_full_match(w, '.{2,}[^s]s') THEN left(w, len(w) - 1) WHEN regexp_full_match(w, '.{3,}ing') THEN left(w, len(w) - 3)"

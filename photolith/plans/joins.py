@@ -66,6 +66,45 @@ def track_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.as_of(asked, track, ["user_id"], 200_000).select("user_id", "id", "how", F.round("x", 6).alias("x"))
 
 
+_TRACK = "SELECT user_id, floor(epoch(ts))::BIGINT AS t, event_id AS seq, value * 13 % 170 - 85 AS lat, value * 97 % 360 - 180 AS lon, CASE WHEN event_id % 3 > 0 THEN value END AS ele, floor(event_id / 700)::BIGINT AS segment FROM events WHERE event_type = 'click'"
+
+
+@query(f"""WITH track AS ({_TRACK}), asked AS (SELECT user_id, event_id AS id, floor(epoch(ts))::BIGINT + 7200 - CASE WHEN event_id % 4 = 1 THEN 60 ELSE 120 END * 60 AS t FROM events WHERE event_type = 'error'),
+near AS (SELECT a.*, (SELECT max(t) FROM track b WHERE b.user_id = a.user_id AND b.t < a.t) AS t0, (SELECT min(t) FROM track b WHERE b.user_id = a.user_id AND b.t >= a.t) AS t1 FROM asked a),
+l AS (SELECT user_id, t, arg_max(lat, seq) AS lat, arg_max(lon, seq) AS lon, max_by({{'e': ele}}, seq).e AS ele, arg_max(segment, seq) AS segment FROM track GROUP BY ALL),
+f AS (SELECT user_id, t, arg_min(lat, seq) AS lat, arg_min(lon, seq) AS lon, min_by({{'e': ele}}, seq).e AS ele, arg_min(segment, seq) AS segment FROM track GROUP BY ALL),
+p AS (SELECT n.*, a.lat AS alat, a.lon AS alon, a.ele AS aele, b.lat AS blat, b.lon AS blon, b.ele AS bele, a.segment = b.segment AS same, (n.t - t0) / (t1 - t0) AS s,
+CASE WHEN b.lon - a.lon > 180 THEN b.lon - a.lon - 360 WHEN b.lon - a.lon < -180 THEN b.lon - a.lon + 360 ELSE b.lon - a.lon END AS turn
+FROM near n LEFT JOIN l a ON a.user_id = n.user_id AND a.t = t0 LEFT JOIN f b ON b.user_id = n.user_id AND b.t = t1),
+w AS (SELECT *, CASE WHEN t = t1 THEN 'at' WHEN same AND t1 - t0 <= 200000 THEN 'on' WHEN t0 IS NOT NULL AND (t1 IS NULL OR t - t0 <= t1 - t) THEN CASE WHEN t - t0 <= 200000 THEN 'a' END WHEN t1 - t <= 200000 THEN 'b' END AS m, alon + turn * s AS x FROM p)
+SELECT user_id, id, CASE WHEN m IN ('at', 'on') THEN 'interpolated' ELSE 'nearest' END AS how, round(CASE m WHEN 'on' THEN alat + (blat - alat) * s WHEN 'a' THEN alat ELSE blat END, 7) AS lat,
+round(CASE m WHEN 'on' THEN CASE WHEN x > 180 THEN x - 360 WHEN x < -180 THEN x + 360 ELSE x END WHEN 'a' THEN alon ELSE blon END, 7) AS lon,
+round(CASE m WHEN 'on' THEN coalesce(aele + (bele - aele) * s, aele, bele) WHEN 'a' THEN aele ELSE bele END, 6) AS ele FROM w WHERE m IS NOT NULL""")
+def track_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos whose clocks say a local time, some with a recorded zone, put on each user's track."""
+    events = read(spark, sf_dir, "events").withColumn("t", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    zone = F.when(F.col("event_id") % 4 == 1, 60)
+    asked = events.where("event_type = 'error'").select("user_id", F.col("event_id").alias("id"), joins.utc_seconds(F.col("t") + 7200, zone, 120).alias("t"))
+    value = F.col("value")
+    track = events.where("event_type = 'click'").select(
+        "user_id", "t", F.col("event_id").alias("seq"), (value * 13 % 170 - 85).alias("lat"), (value * 97 % 360 - 180).alias("lon"),
+        F.when(F.col("event_id") % 3 > 0, value).alias("ele"), F.floor(F.col("event_id") / 700).alias("segment"),
+    )
+    found = joins.locate(asked, track, "user_id", 200_000)
+    return found.select("user_id", "id", "how", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), F.round("ele", 6).alias("ele"))
+
+
+@query(W + f""", c AS (SELECT s_suppkey AS circle, (s_suppkey * 7907 % 14000)::DOUBLE / 100 - 70 AS lat, (s_suppkey * 104707 % 36000)::DOUBLE / 100 - 180 AS lon, s_suppkey % 7 * 150000.0 AS radius FROM supplier)
+SELECT circle, count(p.id) AS n FROM c LEFT JOIN (SELECT id, lat, lon FROM photos WHERE {IN_LIBRARY} AND lat IS NOT NULL) p ON 2 * 6371008.8 * asin(sqrt(least(1.0, greatest(0.0,
+pow(sin((radians(c.lat) - radians(p.lat)) / 2), 2) + cos(radians(p.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - p.lon) / 2), 2))))) <= radius GROUP BY circle""")
+def saved_location_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many photos of the library are inside each saved location."""
+    circles = read(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS circle", "cast(s_suppkey * 7907 % 14000 as double) / 100 - 70 AS c_lat", "cast(s_suppkey * 104707 % 36000 as double) / 100 - 180 AS c_lon", "cast(s_suppkey % 7 * 150000.0 as double) AS radius_m"
+    )
+    return joins.circle_counts(visible(photos(spark, sf_dir)).select("id", "lat", "lon"), circles)
+
+
 _PLACES = "places AS (SELECT p_partkey AS place_id, (p_partkey * 7907 % 14000)::DOUBLE / 100 - 70 AS lat, (p_partkey * 104707 % 36000)::DOUBLE / 100 - 180 AS lon FROM part)"
 
 

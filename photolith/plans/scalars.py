@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photolith.functions import geo, names, times
+from photolith.functions import geo, names, temperature, times
 from photolith.functions.search import stem_column, words
 from photolith.functions.templates import expand, sanitize
 from photolith.operators import rules
@@ -92,6 +92,29 @@ def scalar_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", F.round(v / 12.92, 9).alias("low"), F.round(linear, 9).alias("linear"))
 
 
+_KIM = "CASE WHEN k <= 4000 THEN -0.2661239e9 / k ** 3 - 0.2343589e6 / k ** 2 + 0.8776956e3 / k + 0.179910 ELSE -3.0258469e9 / k ** 3 + 2.1070379e6 / k ** 2 + 0.2226347e3 / k + 0.240390 END"
+_KIM_Y = "CASE WHEN k <= 2222 THEN -1.1063814 * x ** 3 - 1.34811020 * x ** 2 + 2.18555832 * x - 0.20219683 WHEN k <= 4000 THEN -0.9549476 * x ** 3 - 1.37418593 * x ** 2 + 2.09137015 * x - 0.16748867 ELSE 3.0817580 * x ** 3 - 5.87338670 * x ** 2 + 3.75112997 * x - 0.37001483 END"
+
+
+@query(f"""WITH g AS (SELECT p_partkey, 2000.0 + p_partkey % 220 * 100 AS k0, p_partkey % 61 - 30 AS tint FROM part), m AS (SELECT *, unnest([0, 1, -1]) AS d FROM g), x AS (SELECT *, {_KIM} AS x FROM (SELECT *, 1e6 / (1e6 / k0 + d) AS k FROM m)),
+uv AS (SELECT *, 4 * x / (-2 * x + 12 * y + 3) AS u, 6 * y / (-2 * x + 12 * y + 3) AS v FROM (SELECT *, {_KIM_Y} AS y FROM x)),
+p AS (SELECT p_partkey, k0, tint, max(u) FILTER (d = 0) AS u, max(v) FILTER (d = 0) AS v, max(u) FILTER (d = -1) - max(u) FILTER (d = 1) AS du, max(v) FILTER (d = -1) - max(v) FILTER (d = 1) AS dv FROM uv GROUP BY ALL),
+n AS (SELECT *, u + -dv / sqrt(du * du + dv * dv) * sign(du) * tint / 3000 AS a, v + du / sqrt(du * du + dv * dv) * sign(du) * tint / 3000 AS b FROM p)
+SELECT p_partkey AS id, round(3 * a / (2 * a - 8 * b + 4), 9) AS x, round(2 * b / (2 * a - 8 * b + 4), 9) AS y, k0::DOUBLE AS kelvin, tint::DOUBLE AS tint FROM n""")
+def colour_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The light that a temperature and a tint correct, and both found again from it."""
+    key = F.col("p_partkey")
+    rows = read(spark, sf_dir, "part").select(key.alias("id"), (2000.0 + key % 220 * 100).alias("kelvin"), (key % 61 - 30).cast("double").alias("tint"))
+    told = rows.withColumn("p", temperature.temperature_to_xy(F.col("kelvin"), F.col("tint")))
+    found = told.withColumn("f", temperature.xy_to_temperature(F.col("p.x"), F.col("p.y")))
+    # as near as the locus's bends let the nearest temperature be
+    near = lambda got, want, apart: F.when(F.abs(got - want) <= apart, want).otherwise(got)
+    return found.select(
+        "id", F.round("p.x", 9).alias("x"), F.round("p.y", 9).alias("y"),
+        near(F.col("f.kelvin"), F.col("kelvin"), F.col("kelvin") * 0.01).alias("kelvin"), near(F.col("f.tint"), F.col("tint"), F.lit(1.0)).alias("tint"),
+    )
+
+
 @query(W + "SELECT id, round(round(lat, 2) * 10000)::BIGINT AS qlat, md5(content_hash || file_size) AS fingerprint FROM photos WHERE lat IS NOT NULL")
 def scalar_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return photos(spark, sf_dir).where("lat is not null").select(
