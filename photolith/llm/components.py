@@ -1,5 +1,8 @@
 """Connected components of a graph of links, by alternating large-star and small-star steps.
 
+Nulls: a link with a null on one side is none. Ties can't arise, repeated links count once, and no links give no rows. Columns
+besides a and b are ignored.
+
 Every step is a minimum per node and a join, so that no task needs a node's whole neighbourhood; the edges of a step are
 written to the shared folder, which ends the lineage.
 """

@@ -7,7 +7,7 @@ small table of totals, and each bucket adds its offset to its own running sum.
 
 Nulls: a null text has size 0; a null source is a source of its own, the last; a null id is hashed as ''.
 Repeated rows are documents of their own. An empty table gives no rows; a source without words has target 0.
-Columns besides doc_id, text and source are ignored.
+Columns besides doc_id, text and source are ignored, whatever their names. Texts are taken whole, of any length.
 """
 
 from __future__ import annotations

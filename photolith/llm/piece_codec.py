@@ -10,6 +10,7 @@ encodes each distinct cut once, in a cache of bounded size. Characters outside t
 merge, so they cut too.
 
 Nulls: a null text counts as empty and has the end id only. Repeated rows are encoded each. Empty tables give no rows.
+Columns besides doc_id and text are ignored, whatever their names. Texts are taken whole, of any length.
 """
 
 from __future__ import annotations

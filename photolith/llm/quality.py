@@ -9,7 +9,7 @@ those that lose at most ``LOSS`` of the good ones.
 
 Nulls: a null text has no words and fails the base rules; a label counts if its quality is 0 or 1. Without labels of
 both kinds nothing is anomalous. Rows that share an id share its labels, and each stands for itself. Empty tables give
-no rows. Columns besides doc_id and text are ignored.
+no rows. Columns besides doc_id and text are ignored, whatever their names. Texts are taken whole, of any length.
 """
 
 from __future__ import annotations

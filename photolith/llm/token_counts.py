@@ -11,6 +11,7 @@ special string is cut out first and counts as one token, as in the library. No i
 
 A document is known by its id and the crc32 of its text; rows that share both are counted together and given back as
 often as they came. Nulls: a null text counts as empty (0 tokens); a null id stays null. Empty tables give no rows.
+Columns besides doc_id and text are ignored, whatever their names. Texts are taken whole, of any length.
 """
 
 from __future__ import annotations

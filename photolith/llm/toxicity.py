@@ -11,7 +11,8 @@ text doesn't gather the noise of thousands of neutral words. Scoring is one pass
 
 Nulls: a null text counts as empty and gets the bias's score; a label counts if it is 0 or 1, and the highest of an id
 with several. Without labels of both kinds every score is the share of label 1 (0.0 if there are none). Rows that share
-an id are scored each. Empty tables give no rows. Other columns are never read.
+an id are scored each. Empty tables give no rows. Other columns are never read, whatever
+their names. Texts are taken whole, of any length.
 """
 
 from __future__ import annotations

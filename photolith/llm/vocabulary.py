@@ -1,5 +1,8 @@
 """Counts of distinct strings over a corpus, and how a task gets at them: the frequent ones are broadcast, up to a
-fixed number, and the rest is reached by a join on the string, where by construction no key is frequent."""
+fixed number, and the rest is reached by a join on the string, where by construction no key is frequent.
+
+Null and empty texts have no strings; tables without any give no rows, and nothing is broadcast then. Of equally frequent
+strings all or none are. Texts are taken whole; a task holds ``HELD`` distinct strings or ``HELD_TOKENS`` words at once."""
 
 from __future__ import annotations
 

@@ -9,8 +9,10 @@ Reading: ``spark.read.format("warc")`` plans one partition per file from the lis
 them, on whatever store), takes predicates on record_type and on header columns, parses headers first, and skips the
 bytes of a payload unless the record passes; with payload=digest it hands on length and digest only.
 
-Nulls: a null payload counts as empty; a null url is written as an empty header. Rows with equal ids and payloads
-each get a record: of several with the largest id, all are responses. Empty tables give an archive without records.
+Nulls: a null payload counts as empty; a null url is written as an empty header; a record without an id is a response, as
+none is known to come after it. Rows with equal ids and payloads each get a record: of several with the largest id, all are
+responses. Empty tables give an archive without records. Columns besides page_id, url and html are ignored, whatever their
+names. Payloads are taken whole, of any length.
 """
 
 from __future__ import annotations
@@ -57,7 +59,7 @@ def with_roles(pages: DataFrame) -> DataFrame:
         page.where(F.col("payload_bytes") >= REVISIT_FROM)
         .select("page_id", "payload_digest", F.pmod(F.hash("page_id"), F.lit(salts)).alias("_salt"))
         .join(copies.where("_n > 1").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["payload_digest", "_salt"])
-        .where(F.col("page_id").isNull() | (F.col("page_id") < F.col("_first")))
+        .where(F.col("page_id") < F.col("_first"))
         .select("page_id", "payload_digest", F.col("_first").alias("refers_to"))
         .distinct()
     )

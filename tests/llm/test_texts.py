@@ -173,13 +173,59 @@ def test_rule_statistics_match_brute_force(spark, make):
         assert r["base_failed"] == (len(words) < 20 or 100 * r["n_repeat_words"] > 30 * len(words)) and not (r["base_failed"] and r["kept"])
 
 
-def test_forest_isolates_and_threshold_follows_labels():
-    random_rows = np.random.default_rng(0).normal(0, 1, (500, 3))
-    forest = quality.IsolationForest(np.vstack([random_rows, [[9, 9, 9]]]))
-    scores = forest.score(np.vstack([random_rows, [[9, 9, 9]]]))
+def test_path_lengths_are_those_of_the_splits():
+    """A tree of all rows: each leaf's rows are counted, its level is walked, and what it lacks is the mean of a search."""
+    rows = np.random.default_rng(0).normal(0, 1, (200, 3)).round(1)
+    rows[150:] = rows[0]  # equal rows share a leaf, however deep
+    forest = quality.IsolationForest(rows, trees=4, tree_rows=len(rows))
+
+    def lacks(n):
+        return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    total = np.zeros(len(rows))
+    for feature, threshold, left, depth in forest.trees:
+        where = {}
+        for k, row in enumerate(rows):
+            node, level = 0, 0
+            while feature[node] >= 0:
+                node, level = left[node] + int(row[feature[node]] > threshold[node]), level + 1
+            where.setdefault((node, level), []).append(k)
+        for (node, level), inside in where.items():
+            assert np.isclose(depth[node], level + lacks(len(inside)))
+            total[inside] += level + lacks(len(inside))
+    assert np.allclose(forest.score(rows), 2 ** (-total / 4 / lacks(len(rows))))
+    outlier = np.vstack([rows, [[9, 9, 9]]])
+    scores = quality.IsolationForest(outlier).score(outlier)
     assert scores[-1] == scores.max() and 0 < scores.min() and scores.max() <= 1
-    assert quality.best_threshold([(400, 1, 100), (700, 0, 10), (710, 1, 0)]) == 0.401 or quality.best_threshold([(400, 1, 100), (700, 0, 10)]) <= 0.7
-    assert quality.best_threshold([(400, 1, 10)]) == 2.0
+
+
+def brute_threshold(found):
+    """From (bin, label) of labelled rows: the bin that finds most bad rows less good ones, of those that lose few good ones."""
+    bad, good = (sum(y == label for _, y in found) for label in (0, 1))
+    best, gain = None, 0.0
+    for at in range(quality.BINS + 1):
+        lost, caught = (sum(b >= at and y == label for b, y in found) / n for label, n in ((1, good), (0, bad))) if bad and good else (1, 0)
+        if lost <= quality.LOSS and caught - lost > gain:
+            best, gain = at, caught - lost
+    return best
+
+
+def test_kept_follows_the_threshold_of_the_labels(spark, make):
+    rng = random.Random(6)
+    plain = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(25, 60)))
+    junk = lambda: " ".join(rng.choice(["#", "$$", "a", "|x|", "!!", "b?"]) + str(rng.randint(0, 999)) for _ in range(rng.randint(25, 60)))
+    docs = [(i, junk() if i % 5 == 0 else plain()) for i in range(250)] + [(300, None), (301, "too short"), (302, "again " * 40)]
+    labels = [(i, int(i % 5 != 0 or i % 35 == 0), 0) for i in range(0, 250, 2)] + [(300, 0, 0), (1, None, 0), (3, 7, 0)]
+    got = by_id(QUERIES["op2_quality"](spark, make(documents=docs, labels=labels)))
+    assert [got[i]["base_failed"] for i in (300, 301, 302)] == [True] * 3
+    judged = [(int(np.floor(got[i]["anomaly"] * quality.BINS)), y) for i, y, _ in labels if y in (0, 1) and not got[i]["base_failed"]]
+    at = brute_threshold(judged)
+    assert at is not None
+    for r in got.values():
+        assert r["kept"] == (not r["base_failed"] and np.floor(r["anomaly"] * quality.BINS) < at)
+    assert sum(not got[i]["kept"] for i in range(0, 250, 5)) > 25 and sum(not got[i]["kept"] for i in range(250) if i % 5) <= 5
+    assert quality.best_threshold([(400, 1, 100), (700, 0, 10), (710, 1, 0)]) == 0.401 and quality.best_threshold([(400, 1, 10)]) == 2.0
+    assert quality.best_threshold([(400, 1, 100), (700, 0, 10)]) == brute_threshold([(400, 1)] * 100 + [(700, 0)] * 10) / quality.BINS
 
 
 def test_machine_learns_a_pair():
