@@ -88,6 +88,18 @@ def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(logs.run_fold(_ops(_stream(spark, sf_dir)), spark, shared_folder(spark)))
 
 
+@query(W + """SELECT f.id, f.path, CASE WHEN p.path IS NULL THEN 'new' WHEN p.deleted THEN 'deleted' ELSE 'known' END AS outcome
+FROM (SELECT id, CASE WHEN id % 3 = 0 THEN path || '-2' ELSE path END AS path FROM photos) f LEFT JOIN (SELECT path, bool_and(deleted) AS deleted FROM photos GROUP BY path) p USING (path)""")
+def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the watched folder as a stream, each reported twice, a third of them under new names."""
+    library = photos(spark, sf_dir).select("id", "path", "deleted")
+    kind = read(spark, sf_dir, "documents").schema
+    stream = spark.readStream.schema(kind).option("pathGlobFilter", "*documents*.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
+    path = F.concat(F.lit("/photos/"), "source", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("/"), "lang")), F.lit("/img_"), F.col("doc_id").cast("string"))
+    files = stream.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.concat(path, F.lit("-2"))).otherwise(path).alias("path"), F.explode(F.array(F.lit(1), F.lit(2))).alias("report"))
+    return logs.run_arrivals(files, library, shared_folder(spark))
+
+
 @query("""SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM events GROUP BY ALL""")
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windowed counts of a stream, all windows out at its end."""

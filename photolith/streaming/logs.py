@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from photolith.operators.changes import compact
+from photolith.operators.joins import arrivals
 
 
 def run_fold(stream: DataFrame, spark: SparkSession, state_dir: str) -> str:
@@ -52,6 +53,19 @@ def stable_files(scans: DataFrame) -> DataFrame:
     )
 
 
+def run_arrivals(files: DataFrame, library: DataFrame, folder: str) -> DataFrame:
+    """A stream of (id, path) of files in the watched folder -> (id, path, outcome), as ``joins.arrivals`` tells it in a batch.
+
+    A path counts when it arrives first: that is state, keyed by path, so a file that comes again in a later batch or run is
+    passed by. What was deleted from the library is looked up when a file arrives and doesn't come back by itself."""
+    spark = library.sparkSession
+    first = files.select("id", "path").dropDuplicates(["path"])
+    told = arrivals(first, library)
+    query = told.writeStream.format("parquet").option("path", f"{folder}/arrived").option("checkpointLocation", f"{folder}/checkpoint")
+    query.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(told.schema).parquet(f"{folder}/arrived")
+
+
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Events per kind and day, closed when the watermark has passed."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from photolith.operators import faces, models, numbering, pairing, repair, rules, settings
 from photolith.operators.vectors import rank_people
 from photolith.streaming import faces as stream
+from photolith.streaming import logs
 
 NOW = "2024-06-01T00:00:00"
 
@@ -413,6 +414,19 @@ def test_face_index_grows_with_its_folder(spark, tmp_path):
         assert got == now
 
 
+def test_files_that_come_again_or_were_deleted(spark, tmp_path):
+    library = spark.createDataFrame([(1, "/a", False), (2, "/b", True), (3, "/c", True), (4, "/c", False)], "id long, path string, deleted boolean")
+
+    def run(*paths):
+        spark.createDataFrame([(k, p) for k, p in enumerate(paths)], "id long, path string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream_ = spark.readStream.schema("id long, path string").parquet(str(tmp_path / "in"))
+        return sorted((r["path"], r["outcome"]) for r in logs.run_arrivals(stream_, library, str(tmp_path / "out")).collect())
+
+    first = [("/a", "known"), ("/b", "deleted"), ("/n", "new")]
+    assert run("/a", "/b", "/n", "/n") == first
+    assert run("/n", "/c", "/b", "/m") == sorted([*first, ("/c", "known"), ("/m", "new")])
+
+
 # ---- ridge
 
 
