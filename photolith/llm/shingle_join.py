@@ -63,8 +63,8 @@ SEEDS = 4
 ROUNDS = 4
 #: A task holds so many shingles before it packs their signatures; a range of signatures holds about so many, which meet
 #: so many at a time.
-HELD_SHINGLES = 400_000
-RANGE_SIGNATURES = 2_500_000
+HELD_SHINGLES = 300_000
+RANGE_SIGNATURES = 1_500_000
 HELD_SIGNATURES = 250_000
 #: Pairs with one common set are checked in blocks of about so many.
 BLOCK = 256
@@ -419,6 +419,7 @@ def linked_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataF
         for batch in batches:
             found = pa.array([s.tobytes() for s in shingle_sets(batch.column(0))], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], found], ["a", "salt", "is_b", "key", "shingles"])
+        give_back()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, of = None, np.zeros(0, np.uint64)
@@ -436,6 +437,7 @@ def linked_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataF
                         left.append(a[k])
                         right.append(key[k])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+        give_back()
 
     sent = _sets_of(docs, routes).select("text", "a", "salt", "is_b", "key").mapInArrow(sets, "a long, salt int, is_b boolean, key long, shingles binary")
     sent = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "is_b")
