@@ -9,28 +9,26 @@ from pyspark.sql import functions as F
 
 MAX_TERMS = 12
 #: Words that mean nothing in a search.
-STOP = frozenset(
-    "a an the of on in at with and or to from for by my our me i is are was were that this some all show find photo picture"
-    " shot image pic when where".split()
-)
+STOP = {
+    "a", "an", "the", "of", "on", "in", "at", "with", "and", "or", "to", "from", "for", "by", "my", "our", "me", "i",
+    "is", "are", "was", "were", "that", "this", "some", "all", "show", "find", "photo", "picture", "shot", "image",
+    "pic", "when", "where",
+}
 #: Words that mean the same in a search.
 SYNONYMS = [
-    line.split()
-    for line in (
-        "dog puppy pup canine hound",
-        "cat kitten kitty feline",
-        "beach shore seaside coast coastline",
-        "sunset dusk sundown twilight",
-        "sea ocean wave surf",
-        "mountain peak summit alp",
-        "city urban town",
-        "forest woods woodland tree",
-        "flower blossom bloom",
-        "child kid baby toddler",
-        "night nighttime midnight",
-        "snow winter",
-        "car automobile vehicle",
-    )
+    ["dog", "puppy", "pup", "canine", "hound"],
+    ["cat", "kitten", "kitty", "feline"],
+    ["beach", "shore", "seaside", "coast", "coastline"],
+    ["sunset", "dusk", "sundown", "twilight"],
+    ["sea", "ocean", "wave", "surf"],
+    ["mountain", "peak", "summit", "alp"],
+    ["city", "urban", "town"],
+    ["forest", "woods", "woodland", "tree"],
+    ["flower", "blossom", "bloom"],
+    ["child", "kid", "baby", "toddler"],
+    ["night", "nighttime", "midnight"],
+    ["snow", "winter"],
+    ["car", "automobile", "vehicle"],
 ]
 
 #: Rules by suffix: (what the word must match, characters cut, what is put in their place); the first that fits counts.
