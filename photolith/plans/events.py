@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from photolith.operators import changes
 from photolith.plans.registry import query
-from photolith.sources.photos import PHOTOS_CTE, photos, read
+from photolith.sources.photos import PHOTOS_CTE, photos, read, stream
 from photolith.streaming import logs
 
 W = f"WITH {PHOTOS_CTE} "
@@ -76,16 +76,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base or 'file://' + tempfile.mkdtemp(prefix='photolith-')}/stream-{uuid.uuid4().hex}"
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of its files."""
-    kind = read(spark, sf_dir, "events").schema
-    return spark.readStream.schema(kind).option("pathGlobFilter", "*events*.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
-
-
 @query(f"WITH {_OPS} SELECT entity, field, arg_max(value, seq) AS value, max(seq) AS seq FROM ops GROUP BY ALL")
 def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log as a stream: each batch is merged into a versioned snapshot."""
-    return spark.read.parquet(logs.run_fold(_ops(_stream(spark, sf_dir)), spark, shared_folder(spark)))
+    return spark.read.parquet(logs.run_fold(_ops(stream(spark, sf_dir, "events")), spark, shared_folder(spark)))
 
 
 @query(W + """SELECT f.id, f.path, CASE WHEN p.path IS NULL THEN 'new' WHEN p.deleted THEN 'deleted' ELSE 'known' END AS outcome
@@ -93,17 +87,15 @@ FROM (SELECT id, CASE WHEN id % 3 = 0 THEN path || '-2' ELSE path END AS path FR
 def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of the watched folder as a stream, each reported twice, a third of them under new names."""
     library = photos(spark, sf_dir).select("id", "path", "deleted")
-    kind = read(spark, sf_dir, "documents").schema
-    stream = spark.readStream.schema(kind).option("pathGlobFilter", "*documents*.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
     path = F.concat(F.lit("/photos/"), "source", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("/"), "lang")), F.lit("/img_"), F.col("doc_id").cast("string"))
-    files = stream.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.concat(path, F.lit("-2"))).otherwise(path).alias("path"), F.explode(F.array(F.lit(1), F.lit(2))).alias("report"))
+    files = stream(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.concat(path, F.lit("-2"))).otherwise(path).alias("path"), F.explode(F.array(F.lit(1), F.lit(2))).alias("report"))
     return logs.run_arrivals(files, library, shared_folder(spark))
 
 
 @query("""SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM events GROUP BY ALL""")
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windowed counts of a stream, all windows out at its end."""
-    counts = _stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
+    counts = stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
     out = f"{shared_folder(spark)}/out"
 
     def keep(batch: DataFrame, number: int) -> None:
