@@ -9,7 +9,7 @@ from photolith.operators import evaluation, faces, models, pairing, settings
 from photolith.operators import repair as mending
 from photolith.plans.events import shared_folder
 from photolith.plans.registry import query
-from photolith.sources.photos import read
+from photolith.sources.photos import read, stream
 from photolith.streaming import faces as face_stream
 
 #: Files of shots: stems that many folders share, exports one folder inside, some with another time, camera or size.
@@ -153,10 +153,8 @@ _SCANS = "SELECT vec_id // 4 AS photo, CASE WHEN vec_id % 9 = 4 THEN 2 ELSE 1 EN
 SELECT DISTINCT photo, version::BIGINT AS version, concat_ws(',', round(x0 * 10000)::BIGINT, 2000, round((x0 + 0.5) * 10000)::BIGINT, 6000) AS key FROM l WHERE version = last AND x0 IS NOT NULL""")
 def face_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index after a stream of scans: each face once, none of an older version of its photo."""
-    kind = read(spark, sf_dir, "embeddings").schema
-    stream = spark.readStream.schema(kind).option("pathGlobFilter", "*embeddings*.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
     x = F.when(F.col("vec_id") % 21 != 2, F.col("vec_id") % 3 + F.round(F.col("embedding")[0].cast("double"), 1))
-    scans = stream.select(
+    scans = stream(spark, sf_dir, "embeddings").select(
         F.floor(F.col("vec_id") / 4).cast("long").alias("photo"), F.when(F.col("vec_id") % 9 == 4, 2).otherwise(1).cast("long").alias("version"),
         x.alias("x0"), F.lit(0.2).alias("y0"), (x + 0.5).alias("x1"), F.lit(0.6).alias("y1"), "embedding",
     )

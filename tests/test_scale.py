@@ -34,6 +34,6 @@ def copied(spark, tmp_path, table, **shifted):
     return {table: tmp_path / f"{table}.parquet"}
 
 
-@pytest.mark.parametrize("name, table", [("stream_arrivals", "documents"), ("stream_fold", "events"), ("stream_daily_counts", "events")])
+@pytest.mark.parametrize("name, table", [("stream_arrivals", "documents"), ("stream_fold", "events"), ("stream_daily_counts", "events"), ("face_index", "embeddings")])
 def test_a_stream_of_a_folder_of_files(spark, tmp_path, name, table):
     assert agrees(spark, name, copied(spark, tmp_path, table))
