@@ -37,3 +37,7 @@ def copied(spark, tmp_path, table, **shifted):
 @pytest.mark.parametrize("name, table", [("stream_arrivals", "documents"), ("stream_fold", "events"), ("stream_daily_counts", "events"), ("face_index", "embeddings")])
 def test_a_stream_of_a_folder_of_files(spark, tmp_path, name, table):
     assert agrees(spark, name, copied(spark, tmp_path, table))
+
+
+def test_dates_of_later_centuries_are_dates(spark, tmp_path):
+    assert agrees(spark, "filter_token_flags", copied(spark, tmp_path, "documents", doc_id="doc_id * 499 + 3") | copied(spark, tmp_path, "labels", doc_id="doc_id * 499 + 3"))
