@@ -59,13 +59,15 @@ def places(lines: DataFrame) -> DataFrame:
 
 
 def read_gpx(spark: SparkSession, path: str) -> DataFrame:
-    """(file, segment, time, lat, lon, ele) of the timed points of track segments; an element is a row of Spark's XML source."""
-    point = "trkpt array<struct<_lat: double, _lon: double, ele: double, time: string>>"
-    rows = spark.read.format("xml").option("rowTag", "trkseg").schema(point).load(path)
-    numbered = rows.withColumn("segment", F.monotonically_increasing_id()).withColumn("file", F.input_file_name())
-    points = numbered.select("file", "segment", F.explode("trkpt").alias("p"))
+    """(file, track, segment, time, lat, lon, ele) of the timed points of track segments; a track is a row of Spark's XML
+    source, and ``track`` its name."""
+    kind = "name string, trkseg array<struct<trkpt: array<struct<_lat: double, _lon: double, ele: double, time: string>>>>"
+    tracks = spark.read.format("xml").option("rowTag", "trk").schema(kind).load(path)
+    rows = tracks.select(F.input_file_name().alias("file"), F.col("name").alias("track"), F.explode("trkseg").alias("s"))
+    numbered = rows.withColumn("segment", F.monotonically_increasing_id())
+    points = numbered.select("file", "track", "segment", F.explode("s.trkpt").alias("p"))
     found = points.select(
-        "file", "segment", F.to_timestamp_ntz(F.regexp_replace("p.time", "Z$", "")).alias("time"),
+        "file", "track", "segment", F.to_timestamp_ntz(F.regexp_replace("p.time", "Z$", "")).alias("time"),
         F.col("p._lat").alias("lat"), F.col("p._lon").alias("lon"), F.col("p.ele").alias("ele"),
     )
     return found.where("time is not null and lat between -90 and 90 and lon between -180 and 180")

@@ -41,3 +41,7 @@ def test_a_stream_of_a_folder_of_files(spark, tmp_path, name, table):
 
 def test_dates_of_later_centuries_are_dates(spark, tmp_path):
     assert agrees(spark, "filter_token_flags", copied(spark, tmp_path, "documents", doc_id="doc_id * 499 + 3") | copied(spark, tmp_path, "labels", doc_id="doc_id * 499 + 3"))
+
+
+def test_tracks_of_users_with_large_numbers(spark, tmp_path):
+    assert agrees(spark, "gpx_round_trip", copied(spark, tmp_path, "events", user_id="user_id * 4001"))
