@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from photolith.functions.temperature import let
+
 
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
 def signature(values: Column) -> Column:
-    """Zero mean and unit length; null for a flat image."""
-    v = F.transform(values, lambda x: x.cast("double"))
-    mean = _sum(v) / F.size(v)
-    centred = F.transform(v, lambda x: x - mean)
-    length = F.sqrt(_sum(F.transform(centred, lambda x: x * x)))
-    return F.when(length > 1e-12, F.transform(centred, lambda x: x / length))
+    """Zero mean and unit length; null for a flat image. Mean and length are worked out once, not for each pixel."""
+
+    def scaled(centred: Column) -> Column:
+        length = F.sqrt(_sum(F.transform(centred, lambda x: x * x)))
+        return let(length, lambda length: F.when(length > 1e-12, F.transform(centred, lambda x: x / length)))
+
+    def centred(v: Column) -> Column:
+        return let(_sum(v) / F.size(v), lambda mean: F.transform(v, lambda x: x - mean))
+
+    return let(F.transform(values, lambda x: x.cast("double")), lambda v: let(centred(v), scaled))
 
 
 def laplacian_energy(values: Column, side: int) -> Column:

@@ -19,7 +19,7 @@ def _powers(x: Column, coefficients: tuple[float, ...]) -> Column:
     return ((a * x + b) * x + c) * x + d
 
 
-def _let(value: Column, then) -> Column:
+def let(value: Column, then) -> Column:
     """``then`` of a value that is worked out once."""
     return F.element_at(F.transform(F.array(value), then), 1)
 
@@ -37,7 +37,7 @@ def to_xy(u: Column, v: Column) -> Column:
 def _black_body(kelvin: Column) -> Column:
     k = F.greatest(F.lit(COLDEST), F.least(F.lit(HOTTEST), kelvin))
     x = F.when(k <= 4000, _powers(1 / k, X_LOW)).otherwise(_powers(1 / k, X_HIGH))
-    return _let(x, lambda x: to_uv(x, F.when(k <= 2222, _powers(x, Y_LOW)).when(k <= 4000, _powers(x, Y_MID)).otherwise(_powers(x, Y_HIGH))))
+    return let(x, lambda x: to_uv(x, F.when(k <= 2222, _powers(x, Y_LOW)).when(k <= 4000, _powers(x, Y_MID)).otherwise(_powers(x, Y_HIGH))))
 
 
 def locus(kelvin: Column) -> Column:
@@ -48,7 +48,7 @@ def locus(kelvin: Column) -> Column:
         ends = F.struct(_black_body(F.lit(a)).alias("a"), _black_body(F.lit(b)).alias("b"))
         share = (1e6 / k - 1e6 / a) / (1e6 / b - 1e6 / a)
         at = lambda e, c: e["a"][c] + (e["b"][c] - e["a"][c]) * share
-        return _let(ends, lambda e: F.struct(at(e, "u").alias("u"), at(e, "v").alias("v")))
+        return let(ends, lambda e: F.struct(at(e, "u").alias("u"), at(e, "v").alias("v")))
 
     return F.when(k < COLDEST, along(COLDEST, COLDEST + 50)).when(k > HOTTEST, along(HOTTEST - 500, HOTTEST)).otherwise(_black_body(k))
 
@@ -64,13 +64,13 @@ def _towards_green(kelvin: Column) -> Column:
         turn = F.when(du < 0, -1.0).otherwise(1.0)
         return F.struct((-dv / length * turn).alias("u"), (du / length * turn).alias("v"))
 
-    return _let(ends, normal)
+    return let(ends, normal)
 
 
 def temperature_to_xy(kelvin: Column, tint: Column) -> Column:
     """(x, y) of the light that a temperature and a tint correct; a positive tint means a green light."""
     both = F.struct(locus(kelvin).alias("at"), _towards_green(kelvin).alias("n"))
-    return _let(both, lambda b: to_xy(b["at"]["u"] + b["n"]["u"] * tint / TINT, b["at"]["v"] + b["n"]["v"] * tint / TINT))
+    return let(both, lambda b: to_xy(b["at"]["u"] + b["n"]["u"] * tint / TINT, b["at"]["v"] + b["n"]["v"] * tint / TINT))
 
 
 def xy_to_temperature(x: Column, y: Column) -> Column:
@@ -78,9 +78,9 @@ def xy_to_temperature(x: Column, y: Column) -> Column:
     section around the best, and the distance from there."""
 
     def near(p: Column) -> Column:
-        apart = lambda m: _let(locus(1e6 / m), lambda at: (p["u"] - at["u"]) ** 2 + (p["v"] - at["v"]) ** 2)
+        apart = lambda m: let(locus(1e6 / m), lambda at: (p["u"] - at["u"]) ** 2 + (p["v"] - at["v"]) ** 2)
         scanned = F.transform(F.sequence(F.lit(20), F.lit(1000), F.lit(5)), lambda m: F.struct(apart(m.cast("double")).alias("d"), m.cast("double").alias("m")))
-        start = _let(F.array_min(scanned), lambda best: F.struct(F.greatest(best["m"] - 5, F.lit(20.0)).alias("a"), F.least(best["m"] + 5, F.lit(1000.0)).alias("b")))
+        start = let(F.array_min(scanned), lambda best: F.struct(F.greatest(best["m"] - 5, F.lit(20.0)).alias("a"), F.least(best["m"] + 5, F.lit(1000.0)).alias("b")))
 
         def narrow(s: Column, _: Column) -> Column:
             c, d = s["b"] - GOLDEN * (s["b"] - s["a"]), s["a"] + GOLDEN * (s["b"] - s["a"])
@@ -91,9 +91,9 @@ def xy_to_temperature(x: Column, y: Column) -> Column:
 
         def told(kelvin: Column) -> Column:
             both = F.struct(locus(kelvin).alias("at"), _towards_green(kelvin).alias("n"))
-            tint = _let(both, lambda b: ((p["u"] - b["at"]["u"]) * b["n"]["u"] + (p["v"] - b["at"]["v"]) * b["n"]["v"]) * TINT)
+            tint = let(both, lambda b: ((p["u"] - b["at"]["u"]) * b["n"]["u"] + (p["v"] - b["at"]["v"]) * b["n"]["v"]) * TINT)
             return F.struct(kelvin.alias("kelvin"), tint.alias("tint"))
 
-        return _let(found, told)
+        return let(found, told)
 
-    return _let(to_uv(x, y), near)
+    return let(to_uv(x, y), near)
