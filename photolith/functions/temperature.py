@@ -1,7 +1,9 @@
-"""Colour temperature and tint, to and from chromaticity, as expressions."""
+"""Colour temperature and tint, to and from chromaticity."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ X_LOW, X_HIGH = (-0.2661239e9, -0.2343589e6, 0.8776956e3, 0.179910), (-3.0258469
 Y_LOW, Y_MID, Y_HIGH = (-1.1063814, -1.34811020, 2.18555832, -0.20219683), (-0.9549476, -1.37418593, 2.09137015, -0.16748867), (3.0817580, -5.87338670, 3.75112997, -0.37001483)
 GOLDEN = 0.61803398875
 STEPS = 60
+#: So many rows are looked at side by side.
+HELD = 2048
 
 
 def _powers(x: Column, coefficients: tuple[float, ...]) -> Column:
@@ -73,27 +77,69 @@ def temperature_to_xy(kelvin: Column, tint: Column) -> Column:
     return let(both, lambda b: to_xy(b["at"]["u"] + b["n"]["u"] * tint / TINT, b["at"]["v"] + b["n"]["v"] * tint / TINT))
 
 
-def xy_to_temperature(x: Column, y: Column) -> Column:
-    """(kelvin, tint): the nearest temperature of the locus, by a scan in steps of 5 mired from 20 to 1000 and a golden
-    section around the best, and the distance from there."""
-
-    def near(p: Column) -> Column:
-        apart = lambda m: let(locus(1e6 / m), lambda at: (p["u"] - at["u"]) ** 2 + (p["v"] - at["v"]) ** 2)
-        scanned = F.transform(F.sequence(F.lit(20), F.lit(1000), F.lit(5)), lambda m: F.struct(apart(m.cast("double")).alias("d"), m.cast("double").alias("m")))
-        start = let(F.array_min(scanned), lambda best: F.struct(F.greatest(best["m"] - 5, F.lit(20.0)).alias("a"), F.least(best["m"] + 5, F.lit(1000.0)).alias("b")))
-
-        def narrow(s: Column, _: Column) -> Column:
-            c, d = s["b"] - GOLDEN * (s["b"] - s["a"]), s["a"] + GOLDEN * (s["b"] - s["a"])
-            left = apart(c) < apart(d)
-            return F.struct(F.when(left, s["a"]).otherwise(c).alias("a"), F.when(left, d).otherwise(s["b"]).alias("b"))
-
-        found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, narrow, lambda s: 2e6 / (s["a"] + s["b"]))
-
-        def told(kelvin: Column) -> Column:
-            both = F.struct(locus(kelvin).alias("at"), _towards_green(kelvin).alias("n"))
-            tint = let(both, lambda b: ((p["u"] - b["at"]["u"]) * b["n"]["u"] + (p["v"] - b["at"]["v"]) * b["n"]["v"]) * TINT)
-            return F.struct(kelvin.alias("kelvin"), tint.alias("tint"))
+def _locus_of(kelvin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``locus`` of an array of temperatures."""
+
+    def cubic(x: np.ndarray, c: tuple[float, ...]) -> np.ndarray:
+        return ((c[0] * x + c[1]) * x + c[2]) * x + c[3]
+
+    def black_body(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = np.where(k <= 4000, cubic(1 / k, X_LOW), cubic(1 / k, X_HIGH))
+        y = np.where(k <= 2222, cubic(x, Y_LOW), np.where(k <= 4000, cubic(x, Y_MID), cubic(x, Y_HIGH)))
+        under = -2 * x + 12 * y + 3
+        return 4 * x / under, 6 * y / under
+
+    k = np.maximum(1000.0, kelvin)
+    u, v = black_body(np.clip(k, COLDEST, HOTTEST))
+    for beyond, a, b in ((k < COLDEST, COLDEST, COLDEST + 50), (k > HOTTEST, HOTTEST - 500, HOTTEST)):
+        if beyond.any():
+            ends_u, ends_v = black_body(np.array([a, b]))
+            share = (1e6 / k - 1e6 / a) / (1e6 / b - 1e6 / a)
+            u = np.where(beyond, ends_u[0] + (ends_u[1] - ends_u[0]) * share, u)
+            v = np.where(beyond, ends_v[0] + (ends_v[1] - ends_v[0]) * share, v)
+    return u, v
+
+
+def _nearest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(kelvin, tint) of points of the plane."""
+
+    def apart(mired: np.ndarray) -> np.ndarray:
+        at_u, at_v = _locus_of(1e6 / mired)
+        return (u - at_u) ** 2 + (v - at_v) ** 2
+
+    steps = np.arange(20.0, 1001.0, 5.0)
+    at_u, at_v = _locus_of(1e6 / steps)
+    best = steps[((u[:, None] - at_u) ** 2 + (v[:, None] - at_v) ** 2).argmin(1)]
+    a, b = np.maximum(best - 5, 20.0), np.minimum(best + 5, 1000.0)
+    for _ in range(STEPS):
+        c, d = b - GOLDEN * (b - a), a + GOLDEN * (b - a)
+        left = apart(c) < apart(d)
+        a, b = np.where(left, a, c), np.where(left, d, b)
+    kelvin = 2e6 / (a + b)
+    at_u, at_v = _locus_of(kelvin)
+    mired = 1e6 / kelvin
+    (u0, v0), (u1, v1) = _locus_of(1e6 / (mired + 1)), _locus_of(1e6 / np.maximum(mired - 1, 1.0))
+    du, dv = u1 - u0, v1 - v0
+    length, turn = np.maximum(np.hypot(du, dv), 1e-12), np.where(du < 0, -1.0, 1.0)
+    return kelvin, ((u - at_u) * (-dv / length * turn) + (v - at_v) * (du / length * turn)) * TINT
 
-        return let(found, told)
 
-    return let(to_uv(x, y), near)
+def xy_to_temperature(x: Column, y: Column) -> Column:
+    """(kelvin, tint): the nearest temperature of the locus, by a scan in steps of 5 mired from 20 to 1000 and a golden
+    section around the best, and the distance from there; null without a finite (u, v).
+
+    These are over 300 places of the locus a row, so they are worked out for many rows at once."""
+
+    @F.pandas_udf("kelvin double, tint double")
+    def find(u: pd.Series, v: pd.Series) -> pd.DataFrame:
+        out = np.full((len(u), 2), np.nan)
+        points = np.column_stack([u, v]).astype(float)
+        usable = np.flatnonzero(np.isfinite(points).all(1))
+        for k in range(0, len(usable), HELD):
+            at = usable[k : k + HELD]
+            out[at] = np.column_stack(_nearest(points[at, 0], points[at, 1]))
+        found = pd.DataFrame(out, columns=["kelvin", "tint"])
+        return found.astype(object).where(found.notna(), None)
+
+    uv = to_uv(x, y)
+    return find(uv["u"], uv["v"])

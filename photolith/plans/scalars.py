@@ -109,8 +109,10 @@ def colour_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = told.withColumn("f", temperature.xy_to_temperature(F.col("p.x"), F.col("p.y")))
     # as near as the locus's bends let the nearest temperature be
     near = lambda got, want, apart: F.when(F.abs(got - want) <= apart, want).otherwise(got)
+    # as SQL rounds, from the number itself; F.round goes by its shortest decimals, which can end in a 5 that isn't quite there
+    rounded = lambda c: F.round(F.col(c) * 1e9) / 1e9
     return found.select(
-        "id", F.round("p.x", 9).alias("x"), F.round("p.y", 9).alias("y"),
+        "id", rounded("p.x").alias("x"), rounded("p.y").alias("y"),
         near(F.col("f.kelvin"), F.col("kelvin"), F.col("kelvin") * 0.01).alias("kelvin"), near(F.col("f.tint"), F.col("tint"), F.lit(1.0)).alias("tint"),
     )
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from photolith.functions import pixels
+from photolith.functions import pixels, temperature
 from photolith.plans.registry import ORACLE_SQL, QUERIES
 from tests.test_entry import SF, TABLES, rows
 
@@ -62,3 +62,17 @@ def test_a_signature_takes_its_sums_once(spark):
     v = np.array(values, np.float32).astype(float)
     v -= v.mean()
     assert np.allclose(got, v / np.sqrt((v * v).sum())) and flat is None and null is None
+
+
+def test_many_temperatures_are_found_and_agree_with_sql(spark, tmp_path):
+    """All 220 temperatures and 61 tints; row by row this took minutes. One of them lies where a rounding turns."""
+    spark.range(13420).selectExpr("id AS p_partkey").repartition(3).write.parquet(str(tmp_path / "part.parquet"))
+    began = time.monotonic()
+    assert agrees(spark, "colour_temperature", {"part": tmp_path / "part.parquet"})
+    assert time.monotonic() - began < 60
+
+
+def test_no_temperature_without_a_position(spark):
+    frame = spark.createDataFrame([(None, 0.3), (0.3, float("nan")), (0.31271, 0.32902)], "x double, y double")
+    got = [r["f"] for r in frame.select(temperature.xy_to_temperature(F.col("x"), F.col("y")).alias("f")).collect()]
+    assert [f and f["kelvin"] for f in got[:2]] == [None, None] and abs(got[2]["kelvin"] - 6504) < 60
