@@ -9,7 +9,7 @@ from photolith.plans.events import shared_folder
 from photolith.plans.registry import query
 from photolith.sources import files, metadata
 from photolith.sources.photos import PHOTOS_CTE, photos, read, visible
-from photolith.streaming.logs import stable_files
+from photolith.streaming.logs import run_stable
 
 W = f"WITH {PHOTOS_CTE} "
 
@@ -79,9 +79,7 @@ def watch_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scans.select(F.col("c_custkey").cast("string").alias("path"), F.col("scan").cast("long").alias("scan"), F.when(F.col("c_custkey") % 5 == 0, 0).otherwise(grown).cast("long").alias("size"))
     rows.repartition("path").write.parquet(f"{base}/scans")
     stream = spark.readStream.schema(rows.schema).parquet(f"{base}/scans")
-    taken = stable_files(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/taken")
-    taken.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/taken").select(F.col("path").cast("long").alias("path"), "scan", "size")
+    return run_stable(stream, spark, base).select(F.col("path").cast("long").alias("path"), "scan", "size")
 
 
 @query(W + "SELECT id, file_name, rating, captured, keywords FROM photos WHERE NOT deleted AND NOT local")

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from photolith.operators.changes import compact
 from photolith.operators.joins import arrivals
@@ -32,27 +28,43 @@ def run_fold(stream: DataFrame, spark: SparkSession, state_dir: str) -> str:
     return last["path"]
 
 
-def stable_files(scans: DataFrame) -> DataFrame:
-    """(path, scan, size) -> a row for each file whose size was the same and above 0 in two scans in a row, once."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        size, done = state.get if state.exists else (-1, False)
-        out = []
-        for pdf in frames:
-            for row in pdf.sort_values("scan").itertuples():
-                if not done and row.size > 0 and row.size == size:
-                    done = True
-                    out.append((key[0], int(row.scan), int(row.size)))
-                size = int(row.size)
-        state.update((size, done))
-        if out:
-            yield pd.DataFrame(out, columns=["path", "scan", "size"])
-
-    return scans.groupBy("path").applyInPandasWithState(
-        step, "path string, scan long, size long", "size long, done boolean", "append", GroupStateTimeout.NoTimeout
+_TAKEN = "path string, scan long, size long"
+
+
+def stable_files(before: DataFrame, scans: DataFrame) -> DataFrame:
+    """(path, size, done) so far and new scans (path, scan, size) -> (path, size, done, taken): the state after them, and with
+    a file whose size was the same and above 0 in two scans in a row the second one (scan, size), once."""
+    rows = before.select("path", F.lit(None).cast("long").alias("scan"), "size", "done").unionByName(scans.select("path", "scan", "size", F.lit(False).alias("done")))
+    same = F.lag("size").over(Window.partitionBy("path").orderBy(F.asc_nulls_first("scan"))) == F.col("size")
+    found = rows.withColumn("stable", F.coalesce(same & (F.col("size") > 0) & F.col("scan").isNotNull(), F.lit(False)))
+    at, first = F.struct("scan", "size"), F.min(F.when(F.col("stable"), F.struct("scan", "size")))
+    # nulls are the least of structs' fields, so the state before comes first here too
+    return found.groupBy("path").agg(
+        F.max_by("size", at).alias("size"), (F.bool_or("done") | F.bool_or("stable")).alias("done"), F.when(~F.bool_or("done"), first).alias("taken")
     )
 
 
+def run_stable(scans: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of scans (path, scan, size) -> (path, scan, size) of the files that ``stable_files`` takes.
+
+    As in ``run_fold`` each batch is merged into a versioned snapshot, of which it writes a new one; a repeated batch writes
+    the same version and the same files again."""
+    taken = f"{folder}/taken"
+    spark.createDataFrame([], _TAKEN).write.mode("overwrite").parquet(f"{taken}/batch=-1")
+
+    def merge(batch: DataFrame, number: int) -> None:
+        before = spark.read.parquet(f"{folder}/v{number - 1}") if number else batch.sparkSession.createDataFrame([], "path string, size long, done boolean")
+        stable_files(before.select("path", "size", "done"), batch).write.mode("overwrite").parquet(f"{folder}/v{number}")
+        spark.read.parquet(f"{folder}/v{number}").where("taken is not null").select("path", "taken.*").write.mode("overwrite").parquet(f"{taken}/batch={number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v{number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    query = scans.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(_TAKEN).parquet(f"{taken}/batch=*")
+
+
 def run_arrivals(files: DataFrame, library: DataFrame, folder: str) -> DataFrame:
     """A stream of (id, path) of files in the watched folder -> (id, path, outcome), as ``joins.arrivals`` tells it in a batch.
 

@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 import time
 
 import duckdb
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from photolith.functions import pixels, temperature
 from photolith.plans.registry import ORACLE_SQL, QUERIES
+from photolith.streaming import logs
 from tests.test_entry import SF, TABLES, rows
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
@@ -76,3 +78,20 @@ def test_no_temperature_without_a_position(spark):
     frame = spark.createDataFrame([(None, 0.3), (0.3, float("nan")), (0.31271, 0.32902)], "x double, y double")
     got = [r["f"] for r in frame.select(temperature.xy_to_temperature(F.col("x"), F.col("y")).alias("f")).collect()]
     assert [f and f["kelvin"] for f in got[:2]] == [None, None] and abs(got[2]["kelvin"] - 6504) < 60
+
+
+def test_files_that_stay_as_they_are_are_taken_once(spark, tmp_path):
+    """Scans that come in several runs, against a loop; all paths of a batch in one plan, without a Python call for each."""
+    rng = random.Random(3)
+    scans = [[(f"/{p}", n, rng.choice([0, 1, 1, 2])) for p in range(40) for n in range(4 * run, 4 * run + rng.randint(0, 4))] for run in range(3)]
+    want, size, done = [], {}, set()
+    for run in scans:
+        for path, n, now in run:
+            if path not in done and now > 0 and size.get(path) == now:
+                done.add(path)
+                want.append((path, n, now))
+            size[path] = now
+        rng.shuffle(run)
+        spark.createDataFrame(run, "path string, scan long, size long").repartition(2).write.mode("append").parquet(str(tmp_path / "scans"))
+        stream = spark.readStream.schema("path string, scan long, size long").parquet(str(tmp_path / "scans"))
+        assert sorted(tuple(r) for r in logs.run_stable(stream, spark, str(tmp_path / "out")).collect()) == sorted(want)
