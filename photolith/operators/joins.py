@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from photolith.functions.geo import EARTH_M, distance_m, parse_position, project, unproject
 
+#: Cells of circles that a task holds about.
+CIRCLE_CELLS = 250_000
+
 
 def classify_import(candidates: DataFrame, library: DataFrame) -> DataFrame:
     """new, or already here by path, else by content; the lowest id of several."""
@@ -182,7 +185,9 @@ def inside_any(photos: DataFrame, circles: DataFrame) -> DataFrame:
 def circle_counts(photos: DataFrame, circles: DataFrame, cell: float = 1.0) -> DataFrame:
     """(id, lat, lon) and (circle, c_lat, c_lon, radius_m) -> (circle, n): the photos inside each saved circle, none among them.
 
-    Photos are counted by cells of ``cell`` degrees first as far as they share a place; a circle meets the cells it touches."""
+    Photos are counted by cells of ``cell`` degrees first as far as they share a place; a circle meets the cells it touches.
+    Those are up to hundreds a circle, which no statistics of the circles say: they are counted, and both sides are dealt to
+    so many partitions that each has about ``CIRCLE_CELLS`` of them."""
     row = lambda lat: F.floor(lat / cell)
     spots = photos.where("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.count("*").alias("n"))
     spots = spots.withColumn("cy", row(F.col("lat"))).withColumn("cx", F.pmod(F.floor((F.col("lon") + 180) / cell), F.lit(int(360 / cell))))
@@ -192,7 +197,9 @@ def circle_counts(photos: DataFrame, circles: DataFrame, cell: float = 1.0) -> D
     dealt = circles.withColumn("cy", F.explode(F.sequence(row(F.col("c_lat") - reach), row(F.col("c_lat") + reach))))
     columns = F.transform(F.sequence(column(F.col("c_lon") - wide), column(F.col("c_lon") + wide)), lambda c: F.pmod(c, F.lit(int(360 / cell))))
     dealt = dealt.withColumn("cx", F.explode(F.array_distinct(columns)))
-    inside = dealt.join(spots, ["cy", "cx"]).where(distance_m(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")) <= F.col("radius_m"))
+    parts = max(int(photos.sparkSession.conf.get("spark.sql.shuffle.partitions")), dealt.count() // CIRCLE_CELLS)
+    dealt, spots = (side.repartition(parts, "cy", "cx") for side in (dealt, spots))
+    inside = dealt.hint("merge").join(spots, ["cy", "cx"]).where(distance_m(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")) <= F.col("radius_m"))
     counts = inside.groupBy("circle").agg(F.sum("n").alias("n"))
     return circles.select("circle").join(counts, "circle", "left").select("circle", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 import time
 
 import duckdb
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from photolith.functions import pixels, temperature
+from photolith.operators import joins
 from photolith.plans.registry import ORACLE_SQL, QUERIES
 from photolith.streaming import logs
 from tests.test_entry import SF, TABLES, rows
@@ -95,3 +97,17 @@ def test_files_that_stay_as_they_are_are_taken_once(spark, tmp_path):
         spark.createDataFrame(run, "path string, scan long, size long").repartition(2).write.mode("append").parquet(str(tmp_path / "scans"))
         stream = spark.readStream.schema("path string, scan long, size long").parquet(str(tmp_path / "scans"))
         assert sorted(tuple(r) for r in logs.run_stable(stream, spark, str(tmp_path / "out")).collect()) == sorted(want)
+
+
+def test_cells_of_circles_are_dealt_by_their_number(spark, monkeypatch):
+    """Circles are few rows and very many cells: they aren't broadcast, and more cells go to more partitions."""
+    rng = random.Random(8)
+    spots = spark.createDataFrame([(k, rng.uniform(-70, 70), rng.uniform(-180, 180)) for k in range(300)], "id long, lat double, lon double")
+    circles = spark.createDataFrame([(k, rng.uniform(-70, 70), rng.uniform(-180, 180), rng.uniform(0, 900_000.0)) for k in range(40)], "circle long, c_lat double, c_lon double, radius_m double")
+    want = sorted(tuple(r) for r in joins.circle_counts(spots, circles).collect())
+    monkeypatch.setattr(joins, "CIRCLE_CELLS", 100)
+    found = joins.circle_counts(spots, circles)
+    plan = found._jdf.queryExecution().toString()
+    parts = {int(n) for n in re.findall(r"hashpartitioning\(cy#\d+L, cx#\d+L, (\d+)\)", plan)}
+    assert len(parts) == 1 and min(parts) > 20
+    assert sorted(tuple(r) for r in found.collect()) == want and sum(n for _, n in want) > 0
