@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from photolith.functions import pixels, temperature
-from photolith.operators import joins
+from photolith.operators import joins, vectors
 from photolith.plans.registry import ORACLE_SQL, QUERIES
 from photolith.streaming import logs
 from tests.test_entry import SF, TABLES, rows
@@ -111,3 +111,17 @@ def test_cells_of_circles_are_dealt_by_their_number(spark, monkeypatch):
     parts = {int(n) for n in re.findall(r"hashpartitioning\(cy#\d+L, cx#\d+L, (\d+)\)", plan)}
     assert len(parts) == 1 and min(parts) > 20
     assert sorted(tuple(r) for r in found.collect()) == want and sum(n for _, n in want) > 0
+
+
+def test_vectors_are_sent_as_often_on_more_rows(spark, monkeypatch):
+    """Twenty times the rows go to as many blocks; and groups that hold few scores at once find the same."""
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in rng.normal(size=6)], k % 3) for k in range(400)]
+    few, many = (spark.createDataFrame(rows[:n], "id long, embedding array<float>, person int") for n in (20, 400))
+    assert vectors.grid(few, few, 4000) == vectors.grid(many, many, 4000) == (2, 2)
+    assert vectors.grid(many, few, 50) == (8, 2)
+    monkeypatch.setattr(vectors, "HELD_SCORES", 500)
+    v = np.array([r[1] for r in rows], np.float32).astype(float)
+    want = {(k, p): np.sort((v @ v[k])[[i for i in range(400) if i % 3 == p]])[-2:].mean() for k in range(400) for p in range(3)}
+    got = {(r["id"], r["person"]): r["score"] for r in vectors.rank_people(many.select("id", "embedding"), many.select("person", "embedding"), 2, 64).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
