@@ -414,6 +414,34 @@ def test_token_counts_and_pieces_are_the_libraries(text):
     assert decoded == pieces.decode(ids)
 
 
+def test_cuts_encoded_at_once_are_the_librarys(monkeypatch):
+    """Short, long and odd cuts, in any number at once, with few places for pairs, and again from the cuts held."""
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+
+    from photolith.llm import piece_codec
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, model = SentencePieceProcessor(model_file=path), piece_codec.PieceModel(path)
+    rng = random.Random(12)
+    letters = ["th", "er", "in", "e", "a", "S", "\u00e9", "\U0001f600", "\u4e2d", ".", "9", "\u2581", "\x00", " ", "  "]
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.choice((1, 3, 9, 38, 41, 90)))) for _ in range(rng.randint(0, 6))) for _ in range(400)]
+    texts += ["", " ", None, *texts[:50]]
+    short = [cut for text in texts for cut in piece_codec.cuts(text or "")]
+    assert any(len(c) > piece_codec.SHORT for c in short) and any(len(c) == 1 for c in short)
+    for at_once, places, held in ((10_000, 1_048_573, 80_000), (7, 11, 4)):
+        for name, value in (("AT_ONCE", at_once), ("PAIR_PLACES", places), ("HELD", held), ("LOOKED_UP", at_once)):
+            monkeypatch.setattr(piece_codec, name, value)
+        model = piece_codec.PieceModel(path)
+        assert model.encode_cuts(short) == [model.encode_cut(c) for c in short]
+        cache = piece_codec._Cuts(model)
+        got = [made for group in piece_codec._grouped(texts) for made in cache.of(group)]
+        for text, made in zip(texts, got, strict=True):
+            ids = library.encode(text or "")
+            assert " ".join(x[0] for x in made) == " ".join(map(str, ids))
+            assert "".join(x[1] for x in made)[1:] == library.decode(ids)
+
+
 def test_token_queries_give_the_libraries_results(spark, make):
     import public_tokenizers
     from sentencepiece import SentencePieceProcessor
