@@ -6,9 +6,11 @@ the last three bytes, so that words with one ending share a class). Within a cla
 one unknown word per class, so that the probabilities of all texts sum to one. The states' emissions are bounded, and so
 is the model; the counts of words, which give the shares, grow with the corpus. Words are told apart by 64-bit hashes.
 
-Training: counts of all training tokens (a groupBy). Texts are encoded once to symbols, in the shared folder. A start
-is fitted to about ``START_ROWS`` training texts chosen by hash, of which it reads the first ``START_WORDS`` tokens; then
-follow ``ROUNDS`` rounds of Baum-Welch over all training texts, whole, each task summing its expected counts before they
+Training: counts of all training tokens (a groupBy). Texts are encoded once to symbols, in the shared folder. The start
+is fitted to the counts of all neighbours in all training texts, an end standing before the first token too: the most
+frequent words and the end are told apart in them, the others by their endings, so that these counts are ``PLACES`` ^ 2
+numbers whatever the corpus, and ``START_ROUNDS`` rounds of Baum-Welch over neighbours take no further pass. Then
+follow ``ROUNDS`` rounds over all training texts, whole, each task summing its expected counts before they
 are shuffled by symbol. Emissions are smoothed with the symbols' shares in the training tokens, by which also the unknown
 get theirs.
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from photolith.llm.common import held_out, materialize, table
 from photolith.llm.vocabulary import Lexicon, count_words, most_frequent
-from photolith.llm.words import words_of
+from photolith.llm.words import utf8, words_of
 
 STATES = 8
 CLASSES = 512
@@ -40,15 +42,16 @@ END = 0
 #: So that a symbol takes two bytes.
 OWN = (1 << 16) - 1 - CLASSES
 SYMBOLS = 1 + CLASSES + OWN
-START_ROWS = 1500
-START_WORDS = 2000
-START_ROUNDS = 25
+#: In counts of neighbours: so many places, of which so many are for endings.
+PLACES, ENDINGS = 256, 64
+START_ROUNDS = 200
 ROUNDS = 3
 SMOOTH = 50.0
 FOLD, HELD_OUT = 7, 2
 #: So many tokens are in the arrays of the recursions at once. Texts above LONG go side by side with their like only.
 HELD_TOKENS = 700_000
 LONG = 2000
+START_WORDS = LONG
 
 
 def word_class(endings: np.ndarray) -> np.ndarray:
@@ -185,6 +188,10 @@ class TrainedModel:
         shares[1 : 1 + CLASSES] = self.class_total
         shares[1 + CLASSES : 1 + CLASSES + min(len(n), OWN)] = n[:OWN] + 1
         self.shares = shares / shares.sum()
+        self.places = PLACES - ENDINGS + np.arange(-1, SYMBOLS - 1) % ENDINGS
+        self.places[1 + CLASSES : 1 + CLASSES + min(len(n), OWN)] = PLACES - ENDINGS + of[:OWN] % ENDINGS
+        self.places[1 + CLASSES : 1 + CLASSES + min(len(n), PLACES - ENDINGS - 1)] = np.arange(1, 1 + min(len(n), PLACES - ENDINGS - 1))
+        self.places[END] = 0
         symbol = 1 + of
         symbol[:OWN] = np.arange(1 + CLASSES, 1 + CLASSES + min(len(n), OWN))
         total = float(self.n + self.v + 1)
@@ -256,20 +263,58 @@ def fit(encoded: DataFrame, trained: TrainedModel) -> tuple[HiddenMarkovModel, i
     training = encoded.where("train")
     model, rounds = HiddenMarkovModel.first(trained.shares), 0
     if trained.n_end:
-        by = F.pmod(F.xxhash64("doc_id", "symbols"), 1 << 40)
-        sample = training.where(by <= (1 << 40) * min(1.0, START_ROWS / trained.n_end))
-        # repeated rows share a hash and count once, so that the sample's size is near START_ROWS whatever is repeated
-        sample = sample.select(by.alias("by"), F.substring("symbols", 1, 2 * START_WORDS).alias("symbols")).groupBy("by").agg(F.min("symbols").alias("symbols"))
-        found = sample.select("symbols").toArrow().column(0)
-        texts = [np.frombuffer(raw, np.uint16) for raw in sorted(found.to_pylist())]
-        for _ in range(START_ROUNDS if texts else 0):
-            starts, moves, emits, _ = model.expected(texts)
-            model = HiddenMarkovModel.from_counts(starts, moves, emits, trained.shares)
+        model = start_of(neighbours(training, trained.places), trained)
         for _ in range(ROUNDS):
             model, rounds = _round(training, model, trained.shares), rounds + 1
     return model, rounds
 
 
+def neighbours(training: DataFrame, places: np.ndarray) -> np.ndarray:
+    """How often each place stands before each, in all training texts; an end stands before each text."""
+    shared = training.sparkSession.sparkContext.broadcast(places)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(PLACES * PLACES, np.int64)
+        for batch in batches:
+            # every text ends in an end, which then stands before the next one
+            symbols, before = utf8(batch.column(0))[0].view(np.uint16), END
+            for at in range(0, len(symbols), HELD_TOKENS):
+                place = shared.value[np.concatenate([[before], symbols[at : at + HELD_TOKENS]])]
+                sums += np.bincount(place[:-1] * PLACES + place[1:], minlength=len(sums))
+                before = symbols[min(at + HELD_TOKENS, len(symbols)) - 1]
+        pair = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(sums[pair])], ["pair", "n"])
+
+    found = training.select("symbols").mapInArrow(tally, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(PLACES * PLACES)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    shared.unpersist()
+    return out.reshape(PLACES, PLACES)
+
+
+def start_of(counts: np.ndarray, trained: TrainedModel, seed: int = 5) -> HiddenMarkovModel:
+    """The model whose neighbours are likeliest, by Baum-Welch over all of them; symbols of one place share its emissions."""
+    shares = np.bincount(trained.places, trained.shares, PLACES)
+    emit = shares[:, None] * np.random.default_rng(seed).gamma(1.0, 1.0, (PLACES, STATES))
+    emit /= emit.sum(0)
+    both = (np.full((STATES, STATES), 0.4 / STATES) + 0.6 * np.eye(STATES)) / STATES  # of the states of two neighbours
+    for _ in range(START_ROUNDS):
+        move = both / both.sum(1)[:, None]
+        first, second = emit * both.sum(1), emit @ move.T
+        chance = first @ second.T
+        part = np.divide(counts, chance, out=np.zeros_like(counts), where=counts > 0)
+        emits = first * (part @ second) + emit * (part.T @ first @ move)
+        both = both * (emit.T @ part @ emit) + 1e-3
+        both /= both.sum()
+        emit = emits + SMOOTH * shares[:, None]
+        emit /= emit.sum(0)
+    move = both / both.sum(1)[:, None]
+    start = (emit[trained.places[END]] * both.sum(1)) @ move
+    of = trained.shares / np.maximum(shares, 1e-300)[trained.places]
+    full = emit[trained.places] * of[:, None]
+    return HiddenMarkovModel(start / start.sum(), move, full / full.sum(0))
+
+
 def _round(training: DataFrame, model: HiddenMarkovModel, shares: np.ndarray) -> HiddenMarkovModel:
     """One round of Baum-Welch over all training texts. Symbols -1 and -2... carry starts and moves."""
     shared = training.sparkSession.sparkContext.broadcast(model)

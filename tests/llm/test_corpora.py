@@ -278,6 +278,32 @@ def test_long_texts_alone_are_learned_from(spark):
     assert np.isfinite(model.emit).all() and rounds == 0
 
 
+def test_start_is_learned_from_all_neighbours_of_all_texts(spark):
+    """Long, short, blank and repeated texts, over several partitions and batches, held-out rows left out."""
+    rng = random.Random(10)
+    kinds = [[f"{k}{c}" for c in "abcdefghij"] for k in ("red", "blue")]
+    docs = [(i, " ".join(rng.choice(kinds[(i + k // 3) % 2]) for k in range(rng.randint(0, 60))), i % 7 != 2) for i in range(2500)]
+    docs += [(i, None, True) for i in range(3)] + [(i, "Same text of five words", True) for i in range(400)]
+    docs += [(i, " ".join(rng.choice(kinds[0]) for _ in range(hidden_markov.START_WORDS + 700)), True) for i in range(3)]
+    docs += [(i, " ".join(f"seldom{rng.randint(0, 900)}" for _ in range(40)), True) for i in range(20)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, train boolean").repartition(3)
+    trained = hidden_markov.count(frame)
+    encoded = hidden_markov.encode(frame, trained).cache()
+    got = hidden_markov.neighbours(encoded.where("train"), trained.places)
+    symbols = [np.frombuffer(r[0], np.uint16).tolist() for r in encoded.where("train and symbols is not null").select("symbols").collect()]
+    counts = Counter(pair for s in symbols for pair in zip([hidden_markov.END, *s], s))
+    brute = np.zeros((hidden_markov.PLACES, hidden_markov.PLACES))
+    for (x, y), n in counts.items():
+        brute[trained.places[x], trained.places[y]] += n
+    assert (got == brute).all() and got.sum() == sum(len(s) for s in symbols) == trained.n
+    assert 0 <= trained.places.min() and trained.places.max() < hidden_markov.PLACES and (trained.places == 0).sum() == 1
+    start = hidden_markov.start_of(got, trained)
+    for x in (start.start.sum(), *start.move.sum(1), *start.emit.sum(0)):
+        assert math.isclose(x, 1, rel_tol=1e-9)
+    texts = [np.array(s, np.uint16) for s in symbols]
+    assert start.log10(texts).sum() > hidden_markov.HiddenMarkovModel.first(trained.shares).log10(texts).sum() + 1000
+
+
 def test_mix_is_what_its_sql_gives(spark, make):
     rng = random.Random(11)
     docs = [(i, "w " * rng.randint(0, 30), "en", rng.choice(["a", "b", "B", None, "é"]), 0) for i in range(300)] + [(1000, "big " * 4000, "en", "b", 0)]
