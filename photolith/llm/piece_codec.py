@@ -31,11 +31,11 @@ from photolith.llm.common import give_back, table
 
 MARK = "▁"
 #: A task holds so many distinct cuts at most, and a worker so many pairs of pieces; and the ends of pieces that were met.
-HELD = 40_000
+HELD = 80_000
 SHORT = 40
 #: So many cuts are encoded at once, and those of texts with about so many cuts are looked up at once.
-AT_ONCE = 4_000
-LOOKED_UP = 20_000
+AT_ONCE = 10_000
+LOOKED_UP = 50_000
 PAIR_PLACES = 1_048_573
 _NEVER = float("inf")
 _CUT = re.compile(f"{MARK}+[^{MARK}]*")
