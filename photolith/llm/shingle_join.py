@@ -15,8 +15,10 @@ counted: ``least`` is the number of signatures that a set must share with any pa
 it. Sets for which it falls below one (small ones) are cut anew with another seed; if that fails ``SEEDS`` times, empty
 subsets are signatures as well.
 
-Signatures are packed per task and range of signatures, as sorted 48-bit numbers with positions in a list of sets, so a
-shuffled signature takes a few bytes. In each range equal signatures are found by sorting:
+Signatures are bundled per pack of sets and range of signatures, as sorted 48-bit numbers with positions in the pack, so
+a shuffled signature takes a few bytes, however many ranges there are. Those that occur once in their range have nothing
+to say; the others go back to their packs, get their sets there and are dealt to ranges again. In each range equal
+signatures are found by sorting:
 
 * up to ``COLD`` sets share one: all their pairs are candidates, with the number of signatures they share;
 * more do: it is hot. Of a hot signature no task has more rows than each packing task's first ones; the others are dealt
@@ -65,6 +67,8 @@ ROUNDS = 4
 #: so many at a time.
 HELD_SHINGLES = 300_000
 RANGE_SIGNATURES = 1_500_000
+#: As bundled, without their sets, so many are held.
+BUNDLED_SIGNATURES = 2_000_000
 HELD_SIGNATURES = 250_000
 #: Pairs with one common set are checked in blocks of about so many.
 BLOCK = 256
@@ -248,33 +252,92 @@ def pack(found: np.ndarray, owner: np.ndarray, keys: np.ndarray, sizes: np.ndarr
         if a == b:
             continue
         entries, place = np.unique(owner[a:b], return_inverse=True)
-        top = found[a:b] >> _U(16)
-        high = (top >> _U(32)).astype(np.int64)
-        head = np.array([len(entries), b - a, high[0]], np.uint32).tobytes()
-        steps = zlib.compress(np.diff(high, prepend=high[0]).astype(np.uint16).tobytes(), 1)
-        yield int(of[a]), b"".join(
-            [
-                head, keys[entries].astype(np.int64).tobytes(), sizes[entries].astype(np.uint32).tobytes(),
-                np.minimum(least[entries], 65535).astype(np.uint16).tobytes(), bands[entries].astype(np.uint8).tobytes(),
-                (top & _U(0xFFFFFFFF)).astype(np.uint32).tobytes(), place.astype(np.uint32 if len(entries) > 65535 else np.uint16).tobytes(), steps,
-            ]
-        )
+        yield int(of[a]), pack_entries(keys[entries], sizes[entries], least[entries], bands[entries]) + bundle(found[a:b] >> _U(16), place, len(entries))
 
 
 def unpack(raw: pa.Buffer) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
     """(key, size, least, band) of the entries, and the signatures, sorted, with the position of each one's entry."""
-    entries, n, first = np.frombuffer(raw, np.uint32, 3)
-    entries, n, at = int(entries), int(n), 12
-    parts = []
-    for kind, length in ((np.int64, entries), (np.uint32, entries), (np.uint16, entries), (np.uint8, entries), (np.uint32, n), (np.uint32 if entries > 65535 else np.uint16, n)):
-        parts.append(np.frombuffer(raw, kind, length, at))
+    entries, at = unpack_entries(raw)
+    return entries, *unbundle(raw, at)
+
+
+_ENTRY = (np.int64, np.uint32, np.uint16, np.uint8)
+
+
+def pack_entries(keys: np.ndarray, sizes: np.ndarray, least: np.ndarray, bands: np.ndarray) -> bytes:
+    columns = (keys, sizes, np.minimum(least, 65535), bands)
+    return np.array([len(keys)], np.uint32).tobytes() + b"".join(c.astype(kind).tobytes() for c, kind in zip(columns, _ENTRY, strict=True))
+
+
+def unpack_entries(raw: pa.Buffer) -> tuple[tuple[np.ndarray, ...], int]:
+    """What ``pack_entries`` was given, and where it ends."""
+    n, at, parts = int(np.frombuffer(raw, np.uint32, 1)[0]), 4, []
+    for kind in _ENTRY:
+        parts.append(np.frombuffer(raw, kind, n, at))
         at += parts[-1].nbytes
-    found = np.frombuffer(zlib.decompress(memoryview(raw)[at:]), np.uint16).astype(np.uint64)
+    return tuple(parts), at
+
+
+def bundle(found: np.ndarray, place: np.ndarray, entries: int) -> bytes:
+    """Sorted 48-bit signatures with the position of each one's entry among so many."""
+    high, kind = (found >> _U(32)).astype(np.int64), np.uint32 if entries > 65535 else np.uint16
+    head = np.array([len(found), high[0], kind().nbytes], np.uint32).tobytes()
+    steps = zlib.compress(np.diff(high, prepend=high[0]).astype(np.uint16).tobytes(), 1)
+    return b"".join([head, (found & _U(0xFFFFFFFF)).astype(np.uint32).tobytes(), place.astype(kind).tobytes(), steps])
+
+
+def unbundle(raw: pa.Buffer, at: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    n, first, width = (int(x) for x in np.frombuffer(raw, np.uint32, 3, at))
+    low = np.frombuffer(raw, np.uint32, n, at + 12)
+    place = np.frombuffer(raw, np.uint32 if width == 4 else np.uint16, n, at + 12 + low.nbytes)
+    found = np.frombuffer(zlib.decompress(memoryview(raw)[at + 12 + low.nbytes + place.nbytes :]), np.uint16).astype(np.uint64)
     np.cumsum(found, out=found)
     found += _U(first)
     found <<= _U(32)
-    found |= parts[4]
-    return tuple(parts[:4]), found, parts[5]
+    found |= low
+    return found, place
+
+
+def dealt(found: np.ndarray, owner: np.ndarray, entries: int, ranges: int, salt: int) -> Iterator[tuple[int, int, bytes]]:
+    """(range, signatures, bundle) of a pack's signatures.
+
+    Two of a signature stay in its range, which tells there that it is repeated; the pack's others go to one of as many
+    ranges behind the last, so of a hot signature no range has more than two from each pack."""
+    order = np.argsort(found, kind="stable")
+    found, owner = found[order], owner[order]
+    of = ((found >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
+    top = found >> _U(16)
+    if len(found) > 2:
+        more = np.zeros(len(found), bool)
+        more[2:] = top[2:] == top[:-2]
+        of[more] = ranges + (of[more] + salt) % ranges
+        order = np.argsort(of, kind="stable")
+        top, owner, of = top[order], owner[order], of[order]
+    borders = np.flatnonzero(np.diff(of)) + 1
+    for a, b in zip([0, *borders], [*borders, len(of)], strict=True):
+        if a < b:
+            yield int(of[a]), b - a, bundle(top[a:b], owner[a:b], entries)
+
+
+def repeated(bundles: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Of the signatures of each bundle of one range whether there is another of that number, about ``HELD_SIGNATURES`` looked at at a time."""
+    lowest, highest = min(int(found[0]) for found, _ in bundles), max(int(found[-1]) for found, _ in bundles)
+    turns = sum(len(found) for found, _ in bundles) // HELD_SIGNATURES + 1
+    bounds = np.array([lowest + (highest + 1 - lowest) * t // turns for t in range(turns + 1)], np.uint64)
+    cuts = [np.searchsorted(found, bounds).tolist() for found, _ in bundles]
+    out = [np.zeros(len(found), bool) for found, _ in bundles]
+    for t in range(turns):
+        found = np.concatenate([found[c[t] : c[t + 1]] for (found, _), c in zip(bundles, cuts, strict=True)])
+        order = np.argsort(found)
+        same = found[order[1:]] == found[order[:-1]]
+        of = np.zeros(len(found), bool)
+        of[order[1:][same]] = True
+        of[order[:-1][same]] = True
+        at = 0
+        for own, c in zip(out, cuts, strict=True):
+            own[c[t] : c[t + 1]] = of[at : at + c[t + 1] - c[t]]
+            at += c[t + 1] - c[t]
+    return out
 
 
 _FOUND = "a long, b long, shared int, least_a int, least_b int, up_a boolean, up_b boolean"
@@ -357,8 +420,13 @@ def document_sets(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(rows, "doc_id long, n_shingles long, key long, text_hash long")
 
 
-def packed_signatures(docs: DataFrame, ranges: int) -> DataFrame:
-    """(text) -> (range, packed)."""
+_BUNDLES = "pack long, entries boolean, n long, packed binary"
+
+
+def bundled_signatures(docs: DataFrame, ranges: int) -> DataFrame:
+    """(text) -> (range, pack, entries, n, packed): bundles of n signatures, and of each pack once its entries.
+
+    A pack is known by a hash of its sets, so packs with one name are equal."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -366,9 +434,12 @@ def packed_signatures(docs: DataFrame, ranges: int) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             keys, sets = np.array(list(held), np.int64), list(held.values())
-            s = Signatures(sets)
-            made = list(pack(s.found, s.owner, keys[s.set], np.array([len(x) for x in sets])[s.set], s.least, s.band, ranges))
-            return pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.binary())], ["range", "packed"])
+            s, pack = Signatures(sets), set_key(keys)
+            made = [(pack % ranges, 0, pack_entries(keys[s.set], np.array([len(x) for x in sets])[s.set], s.least, s.band))]
+            made += dealt(s.found, s.owner, len(s.set), ranges, pack % ranges)
+            of, n, packed = zip(*made, strict=True)
+            columns = [pa.array(of, pa.int32()), pa.array([pack] * len(made), pa.int64()), pa.array([k == 0 for k in n]), pa.array(n, pa.int64()), pa.array(packed, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["range", "pack", "entries", "n", "packed"])
 
         for batch in batches:
             for shingles in shingle_sets(batch.column(0)):
@@ -384,11 +455,48 @@ def packed_signatures(docs: DataFrame, ranges: int) -> DataFrame:
             held.clear()
         give_back()
 
-    return docs.select("text").mapInArrow(rows, "range int, packed binary")
+    return docs.select("text").mapInArrow(rows, f"range int, {_BUNDLES}")
+
+
+def repeated_signatures(docs: DataFrame, ranges: int) -> DataFrame:
+    """(text) -> (pack, entries, n, packed) without the signatures that only one set has, or a set and its copies within a pack."""
+
+    def keep(rows: pa.Table) -> pa.Table:
+        every = rows.column("range")[0].as_py() >= ranges
+        kept, bundles = {}, {}
+        for pack, entries, n, raw in zip(*(rows.column(k).to_pylist() for k in ("pack", "entries", "n")), rows.column("packed"), strict=True):
+            if entries or every:
+                kept[pack, entries] = n, raw.as_py()
+            elif pack not in bundles:
+                bundles[pack] = unbundle(raw.as_buffer())
+        for (pack, (found, place)), again in zip(bundles.items(), repeated(list(bundles.values())) if bundles else (), strict=True):
+            if again.any():
+                kept[pack, False] = int(again.sum()), bundle(found[again], place[again], 65536 if place.itemsize == 4 else 0)
+        bundles.clear()
+        give_back()
+        columns = [pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.bool_()), pa.array([v[0] for v in kept.values()], pa.int64()), pa.array([v[1] for v in kept.values()], pa.binary())]
+        return pa.table(columns, ["pack", "entries", "n", "packed"])
+
+    return bundled_signatures(docs, ranges).groupBy("range").applyInArrow(keep, _BUNDLES)
+
+
+def packed_signatures(bundles: DataFrame, ranges: int) -> DataFrame:
+    """(pack, entries, n, packed) -> (range, packed), of the signatures in ``bundles``."""
+
+    def pack_again(rows: pa.Table) -> pa.Table:
+        heads, made = rows.filter(rows.column("entries")).column("packed"), []
+        parts = [unbundle(raw.as_buffer()) for raw in rows.filter(pc.invert(rows.column("entries"))).column("packed")]
+        if parts:
+            found, place = (np.concatenate(p) for p in zip(*parts, strict=True))
+            made = list(pack(found << _U(16), place.astype(np.int64), *unpack_entries(heads[0].as_buffer())[0], ranges))
+        give_back()
+        return pa.table([pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.binary())], ["range", "packed"])
+
+    return bundles.groupBy("pack").applyInArrow(pack_again, "range int, packed binary")
 
 
-def candidates(docs: DataFrame, ranges: int) -> DataFrame:
-    """(text) -> rows of ``meet``."""
+def candidates(bundles: DataFrame, ranges: int) -> DataFrame:
+    """(pack, entries, n, packed) -> rows of ``meet``."""
 
     def meet_range(rows: pa.Table) -> pa.Table:
         raws = [raw.as_buffer() for raw in rows.column("packed")]
@@ -396,7 +504,7 @@ def candidates(docs: DataFrame, ranges: int) -> DataFrame:
         give_back()
         return found
 
-    return packed_signatures(docs, ranges).groupBy("range").applyInArrow(meet_range, _FOUND)
+    return packed_signatures(bundles, ranges).groupBy("range").applyInArrow(meet_range, _FOUND)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -447,8 +555,10 @@ def linked_pairs(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataF
 def find_links(docs: DataFrame, n_shingles: int, classes: DataFrame) -> DataFrame:
     """(node, component) over keys of sets: the classes that links join."""
     spark = docs.sparkSession
-    ranges = int(max(partitions(spark), n_shingles * 5 // 4 // RANGE_SIGNATURES + 1))
-    found = materialize(candidates(docs, ranges), "candidates")
+    in_ranges = lambda n, held: int(max(partitions(spark), n // held + 1))
+    bundles = materialize(repeated_signatures(docs, in_ranges(n_shingles * 5 // 4, BUNDLED_SIGNATURES)), "repeated-signatures")
+    found = materialize(candidates(bundles, in_ranges(bundles.agg(F.sum("n")).first()[0] or 0, RANGE_SIGNATURES)), "candidates")
+    discard(bundles)
     hot = found.where("shared = 0").select(F.col("a").alias("key"), F.col("b").alias("signature"), F.col("least_a").alias("least"), F.col("up_a").alias("up"))
     hot_of = materialize(hot.groupBy("key", "up").agg(F.count("*").alias("hot")), "hot-counts")
     of = lambda side: hot_of.select(F.col("key").alias(side), F.col("up").alias(f"up_{side}"), F.col("hot").alias(f"hot_{side}"))
@@ -483,12 +593,10 @@ def _unresolved(hot: DataFrame) -> DataFrame:
 
     Such a set shares ``least`` hot signatures with the other, and each is found in two components, one of them with a
     set of the signature's own band."""
-    for _ in range(2):
-        mixed = hot.groupBy("signature").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.min("up").alias("_up"))
-        hot = hot.join(mixed.where("_low <> _high and not _up").select("signature"), "signature")
-        many = hot.groupBy("key", "up").agg(F.count("*").alias("_n"), F.max("least").alias("_least")).where("_n >= _least").select("key", "up")
-        hot = hot.join(many, ["key", "up"]).select("key", "signature", "least", "up", "component")
-    return hot
+    mixed = hot.groupBy("signature").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.min("up").alias("_up"))
+    hot = hot.join(mixed.where("_low <> _high and not _up").select("signature"), "signature")
+    many = hot.groupBy("key", "up").agg(F.count("*").alias("_n"), F.max("least").alias("_least")).where("_n >= _least").select("key", "up")
+    return hot.join(many, ["key", "up"]).select("key", "signature", "least", "up", "component")
 
 
 def _led(hot: DataFrame, turn: int) -> DataFrame:
