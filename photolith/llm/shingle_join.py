@@ -725,7 +725,8 @@ def _key_of(column: str) -> Column:
     def key(texts: pd.Series) -> pd.Series:
         return pd.Series([set_key(x) if len(x) else None for x in shingle_sets(pa.array(texts, pa.string()))], dtype="Int64")
 
-    return key(column)
+    # else a filter on it is a second call in the same task, with a Python worker of its own, which then stays
+    return key.asNondeterministic()(column)
 
 
 def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,3 +32,14 @@ def test_components_end_once_all_edges_are_stars(spark, monkeypatch):
     got = components.connected_components(spark.createDataFrame([(k, 1) for k in range(2, 9)] + [(20, 21), (21, 22)], "a long, b long"))
     assert {tuple(r) for r in got.collect()} == {(k, 1) for k in range(1, 9)} | {(k, 20) for k in (20, 21, 22)}
     assert len(made) == 2
+
+
+def test_first_of_each_hashes_a_text_once_in_a_task(spark, make):
+    """pipeline: a second call in a task takes a second Python worker, which stays beside the first one for the stages after."""
+    rows = [(None, "a b c d e f g"), (None, "A b c d e f g"), (None, " "), (1, "a b c d e f g"), (1, "p q r s t"), (1, "p q r s t"), (2, "p q r s t")]
+    docs = spark.read.parquet(f"{make(documents=rows)}/documents.parquet").select("doc_id", "text")
+    got = shingle_join.first_of_each(docs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # one for the rows with words, one for the part of the union that has those without
+    assert plan.count("ArrowEvalPython") == 2, plan
+    assert sorted((str(r[0]), r[1].lower()) for r in got.collect()) == [("1", "a b c d e f g"), ("1", "p q r s t"), ("None", " ")]
