@@ -228,10 +228,10 @@ def suggest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def face_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All faces in groups of likeness, every fifth marked as not being the person of its label; held against brute force
-    over passes in the tests."""
+    """All faces in groups of likeness, every fifth marked as not being the person of its label, all together; held against
+    brute force in the tests."""
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("person"))
-    return faces.face_groups(rows, rows.where("id % 5 = 1").select("id", "person"), rows.select("person", "embedding"), 0.3)
+    return faces.face_groups(rows, rows.where("id % 5 = 1").select("id", "person"), rows.select("person", "embedding"), 0.3, per_pass=None)
 
 
 @query("""SELECT vec_id, round(greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) /

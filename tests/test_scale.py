@@ -12,10 +12,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from photolith.functions import pixels, temperature
-from photolith.operators import joins, vectors
+from photolith.operators import faces, joins, vectors
 from photolith.plans.registry import ORACLE_SQL, QUERIES
 from photolith.streaming import logs
 from tests.test_entry import SF, TABLES, rows
+from tests.test_upkeep import brute_groups
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
 
@@ -125,3 +126,68 @@ def test_vectors_are_sent_as_often_on_more_rows(spark, monkeypatch):
     want = {(k, p): np.sort((v @ v[k])[[i for i in range(400) if i % 3 == p]])[-2:].mean() for k in range(400) for p in range(3)}
     got = {(r["id"], r["person"]): r["score"] for r in vectors.rank_people(many.select("id", "embedding"), many.select("person", "embedding"), 2, 64).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_faces_far_apart_in_the_table_share_a_group(spark, tmp_path):
+    """Three copies of a table, 1500 rows: those of a vector that aren't marked are in one group, however far apart their ids."""
+    given = duckdb.sql(f"SELECT vec_id, embedding, label FROM '{SF}/embeddings.parquet' WHERE vec_id < 500").fetchall()
+    table = [(k + 500 * copy, v, label) for copy in range(3) for k, v, label in given]
+    spark.createDataFrame(table, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["id"]: r["cluster"] for r in QUERIES["face_clusters"](spark, str(tmp_path)).collect()}
+    assert len(got) == 1500 and all(len({got[k + 500 * copy] for copy in range(3)}) == 1 for k in range(500) if k % 5 != 1)
+    # its best two are copies of itself, so a marked face resembles whom it isn't
+    assert all(got[k] == k for k in got if k % 5 == 1)
+
+
+@pytest.mark.parametrize("together", [1 << 20, 1600])
+def test_groups_of_all_faces_together(spark, monkeypatch, together):
+    """As brute force over one pass, merged in one task and in rounds of all tasks; with copies, and vectors without likeness."""
+    monkeypatch.setattr(faces, "TOGETHER", together)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 16))
+    ids = sorted(rng.choice(10**7, 1100, replace=False).tolist())
+    drawn = centres[rng.integers(0, 40, 1100)] + 0.6 * rng.normal(size=(1100, 16))
+    drawn /= np.linalg.norm(drawn, axis=1, keepdims=True)
+    given = [(i, v.astype(np.float32).tolist()) for i, v in zip(ids, drawn, strict=True)]
+    for k in range(60):
+        given[1000 + k] = (ids[1000 + k], given[k % 20][1])
+    given[63], given[64], given[65], given[900], given[901] = (ids[63], None), (ids[64], [float("nan")] * 16), (ids[65], [1.0, 0.0]), (ids[900], []), (ids[901], [1.0, 0.0])
+    known = [(f"p{k % 5}", (centres[k % 5] / np.linalg.norm(centres[k % 5])).astype(np.float32).tolist()) for k in range(12)]
+    marks = [(ids[k], f"p{k % 5}") for k in range(0, 1100, 3)]
+    frame = spark.createDataFrame
+    odd = [("p0", None), ("p0", [float("nan")] * 16), ("p4", [0.0, 1.0])]
+    found = faces.face_groups(frame(given, "id long, embedding array<float>"), frame([*marks, (ids[1], None)], "id long, person string"), frame(known + odd, "person string, embedding array<float>"), 0.55, None)
+    resembles = set()
+    for i, v in given:
+        if v is not None and len(v) == 16 and np.isfinite(v).all():
+            for person in {p for p, _ in known}:
+                if np.mean(sorted((float(np.dot(v, w)) for p, w in known if p == person), reverse=True)[:2]) >= 0.55:
+                    resembles.add((i, person))
+    want = brute_groups(given, marks, resembles, 0.55, len(given))
+    assert {r["id"]: (r["cluster"], r["size"]) for r in found.collect()} == want and resembles
+    assert any(abs(ids.index(i) - ids.index(c)) >= 1000 for i, (c, _) in want.items())
+
+
+def test_merging_in_rounds_is_merging_one_by_one():
+    """Of vectors whose products are exact, so that there are many ties, with and without rows kept apart."""
+    rng = np.random.default_rng(3)
+    for trial in range(30):
+        held = np.zeros((50, 10))
+        for row in held:
+            row[rng.choice(6 + trial % 5, 4, replace=False)] = 0.5 * rng.choice([-1, 1, 1], 4)
+        tags = ({}, {}) if trial % 3 else tuple({0: np.flatnonzero(rng.random(50) < share)} for share in (0.1, 0.4))
+        mean = held @ held.T
+        np.fill_diagonal(mean, -np.inf)
+        for p in tags[0]:
+            mean[np.ix_(tags[0][p], tags[1][p])] = -np.inf
+            mean[np.ix_(tags[1][p], tags[0][p])] = -np.inf
+        got = faces.merge_nearest(held, np.ones(50), tags, np.full(50, -1), np.full(50, -np.inf), 0.25)
+        assert got.tolist() == faces.merge_groups(mean, 0.25).tolist()
+
+
+def test_bests_in_a_ring_still_merge(spark):
+    """As the last digits of equal likenesses could have it, each other's best is another: the highest, lowest pair merges."""
+    ring = faces.merge_nearest(np.eye(4)[[0, 0, 0, 1]], np.ones(4), ({}, {}), np.array([1, 2, 0, -1]), np.array([1.0, 1.0, 1.0, -np.inf]), 0.5)
+    assert ring.tolist() == [0, 0, 0, 3]
+    state = spark.createDataFrame([(7, 5, 0.9), (5, 6, 0.9), (6, 7, 0.9), (8, 6, 0.7)], "label long, best long, score double")
+    assert sorted((r["label"], r["best"]) for r in faces._highest_first(state).collect()) == [(5, 6), (6, 5), (7, 5), (8, 6)]
